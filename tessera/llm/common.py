@@ -61,6 +61,16 @@ def parts_for(df: DataFrame, name: str = "spark.sql.shuffle.partitions") -> int:
     return int(df.sparkSession.conf.get(name))
 
 
+#: Rows of one or two longs up to which a side is broadcast: 32 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` (a few longs a row), written, and broadcast if its count allows; larger ones are joined by shuffling."""
+    df = written(df, "keys")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate from file sizes; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
