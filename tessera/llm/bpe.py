@@ -55,7 +55,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str | None = None, *, id_co
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         enc = tokens.encoder(shipped, specials_as_text)
         texts = [x or "" for x in part.column(1).to_pylist()]
-        ids = enc.arrays(texts)
+        ids = enc.encode(texts)
         out = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
         if spans:
             lengths = np.array([len(x) for x in byte_table(shipped.value[0], shipped.value[1][1])])

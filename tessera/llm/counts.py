@@ -50,8 +50,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         enc = tokens.encoder(shipped)
-        width = enc.dtype.itemsize
-        n = [len(x) // width for x in enc.encode(part.column(1).to_pylist())]
+        n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     counted = arrow_map(to_do, run, "digest string, n_tokens long")

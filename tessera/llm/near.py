@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, arrow_map, broadcast_if_small, connected_components, text_or_empty, written
-from .quality import WORD, _CLASS, _mix, _power
+from .hashing import mix, span_hashes
+from .quality import CLASS, WORD
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 7
@@ -49,13 +50,12 @@ PAIR = "a long, b long"
 def words_of(text: str) -> np.ndarray:
     """A 64-bit hash for every word: runs of letters and digits, in lower case."""
     raw = np.frombuffer(text.lower().encode(), np.uint8)
-    word = (_CLASS[raw] == WORD).astype(np.int8)
+    word = (CLASS[raw] == WORD).astype(np.int8)
     edge = np.diff(np.r_[np.int8(0), word, np.int8(0)])
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, _U)
-    sums = np.r_[_U(0), np.cumsum((raw.astype(_U) + _U(1)) * _power(len(raw), "up"), dtype=_U)]
-    return _mix((sums[end] - sums[start]) * _power(len(raw), "down")[start] + (end - start).astype(_U))
+    return span_hashes(raw, start, end)
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(words) - width + 1
     total = np.full(n, width, _U)
     for i in range(width):
-        total = _mix(total * _U(0x9E3779B97F4A7C15) + words[i : i + n])
+        total = mix(total * _U(0x9E3779B97F4A7C15) + words[i : i + n])
     return np.unique(total, return_counts=True)
 
 
@@ -88,7 +88,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             # the range [low, high) of weight: everything of it counts, or only levels below the count
             high = 1 << j
             bag.append(np.full(len(hashes), i))
-            seed.append(_mix(hashes + _U(j * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)))
+            seed.append(mix(hashes + _U(j * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)))
             width.append(np.full(len(hashes), high - low, float))
             room.append(np.minimum(counts - low, high - low).astype(float))
             low, j, more = high, j + 1, counts > high
@@ -100,11 +100,11 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     while len(bag):
         ahead = int(np.clip(20_000 // len(bag), 1, 64))
         t = np.arange(step, step + ahead, dtype=_U)
-        h = _mix(seed[:, None] + t * _U(0x2545F4914F6CDD1D) + _U(1))
+        h = mix(seed[:, None] + t * _U(0x2545F4914F6CDD1D) + _U(1))
         gaps = -np.log(((h >> _U(11)).astype(float) + 0.5) * 2.0**-53) / width[:, None]
         gaps[:, 0] += at
         points = np.cumsum(gaps, axis=1)
-        h = _mix(h + _U(0x632BE59BD9B4E019))
+        h = mix(h + _U(0x632BE59BD9B4E019))
         register = ((h & _U(0xFFFFFFFF)) * _U(REGISTERS) >> _U(32)).astype(np.int64)
         level = (h >> _U(32)).astype(float) * 2.0**-32 * width[:, None]
         counts = level < room[:, None]
@@ -123,8 +123,8 @@ def _sign(part: pa.RecordBatch) -> pa.RecordBatch:
     points = signatures([shingles(w) for w in words]).view(_U)
     bands = np.zeros((len(words), BANDS), _U) + np.arange(BANDS, dtype=_U)
     for r in range(ROWS):
-        bands = _mix(bands * _U(31) + points[:, r::ROWS])
-    sketch = (_mix(points) >> _U(56)).astype(np.uint8)
+        bands = mix(bands * _U(31) + points[:, r::ROWS])
+    sketch = (mix(points) >> _U(56)).astype(np.uint8)
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(w.tobytes(), digest_size=16).hexdigest() for w in words], pa.string()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())],
         ["doc_id", "digest", "bands", "sketch"],

@@ -61,7 +61,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         enc = tokens.encoder(shipped)
-        n = [len(x) // enc.dtype.itemsize for x in enc.encode(part.column(1).to_pylist())]
+        n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, n_tokens long")

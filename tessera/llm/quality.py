@@ -20,53 +20,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, text_or_empty
+from .hashing import mix, span_hashes
 
 BITS = 18
 #: Labelled rows learnt from, at most.
 SAMPLE = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 1e-3
 
-_M1, _M2, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 0x100000001B3
 SPACE, WORD, MARK = 0, 1, 2
-_CLASS = np.full(256, MARK, np.uint8)
-_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
-_CLASS[np.r_[48:58, 65:91, 97:123, 128:256]] = WORD
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += np.uint64(32)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M2
-    return (h ^ (h >> np.uint64(29))) * _M1
-
-
-def _power(n: int, way: str) -> np.ndarray:
-    """Powers of the hash base, or of its inverse modulo 2**64."""
-    if len(_powers[way]) < n:
-        base = np.uint64(_P if way == "up" else pow(_P, -1, 1 << 64))
-        _powers[way] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16) - 1, base, np.uint64)], dtype=np.uint64)
-    return _powers[way][:n]
+CLASS = np.full(256, MARK, np.uint8)
+CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+CLASS[np.r_[48:58, 65:91, 97:123, 128:256]] = WORD
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a text: every n-gram with its share, repeats not yet added up."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    kind = _CLASS[raw]
+    kind = CLASS[raw]
     edge = np.flatnonzero(np.diff(kind)) + 1
     start, end = np.r_[0, edge], np.r_[edge, len(raw)]
     start, end = start[keep := kind[start] != SPACE] if len(raw) else start[:0], end[keep] if len(raw) else end[:0]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0)
-    sums = np.r_[np.uint64(0), np.cumsum((_FOLD[raw] + np.uint64(1)) * _power(len(raw), "up"), dtype=np.uint64)]
-    word = _mix((sums[end] - sums[start]) * _power(len(raw), "down")[start] + (end - start).astype(np.uint64))
+    word = span_hashes(_FOLD[raw], start, end)
     large = np.r_[0, np.cumsum((raw >= 65) & (raw <= 90))]
     n_large, length = large[end] - large[start], end - start
     shape = np.where(kind[start] == MARK, 4, np.where(n_large == 0, 0, np.where((n_large == length) & (length > 1), 2, np.where((n_large == 1) & (raw[start] >= 65) & (raw[start] <= 90), 1, 3)))).astype(np.uint64)
     shape = np.where(shape == 4, word ^ np.uint64(77), shape + np.uint64(1))
-    pairs = np.where(word[1:] == word[:-1], np.uint64(12345), _mix(word[:-1] + np.uint64(3) * word[1:]))
-    triples = _mix(shape[:-2] + np.uint64(0x10001) * shape[1:-1] + np.uint64(0x100000007) * shape[2:] + np.uint64(99))
-    grams = np.concatenate([word, pairs, triples, _mix(shape + np.uint64(7))])
+    pairs = np.where(word[1:] == word[:-1], np.uint64(12345), mix(word[:-1] + np.uint64(3) * word[1:]))
+    triples = mix(shape[:-2] + np.uint64(0x10001) * shape[1:-1] + np.uint64(0x100000007) * shape[2:] + np.uint64(99))
+    grams = np.concatenate([word, pairs, triples, mix(shape + np.uint64(7))])
     return (grams >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(grams), 4.0 / len(start))
 
 

@@ -84,8 +84,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, id_col
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         enc = tokens.encoder(shipped, specials_as_text)
-        end = np.array([end_id], enc.dtype).tobytes()
-        ids = [np.frombuffer(x + end, enc.dtype) for x in enc.encode(part.column(1).to_pylist())]
+        ids = [np.append(x, enc.dtype.type(end_id)) for x in enc.encode(part.column(1).to_pylist())]
         out = [frame(d, x) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 

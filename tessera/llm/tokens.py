@@ -7,16 +7,20 @@ import functools
 import hashlib
 import json
 import os
-import re
 from pathlib import Path
 
 import numpy as np
 
-#: Chunks kept per Python worker; beyond it the memo starts anew. Bounds memory, never changes a result.
-MEMO_CHUNKS = 600_000
+from .hashing import mix, span_hashes
 
-#: Texts in which cutting at single spaces and newlines may not agree with the pre-tokenizer.
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: Chunks kept per Python worker (some 25 bytes each); beyond it the memo starts anew. Bounds memory, never changes
+#: a result: chunks are known by 64-bit hashes, of which two in a million memos of this size agree by chance.
+MEMO_CHUNKS = 3_000_000
+#: From here on, library and Python may not agree on what a letter is; and the marks that never join letters.
+FIRST_UNSURE = "\u0530"
+MARKS = ".,;:!?)]}*%&$#|\"-"
+#: Bytes of text cut into chunks at once.
+AT_ONCE = 2 << 20
 
 
 @functools.cache
@@ -70,18 +74,62 @@ def spec_digest(spec: tuple[str, str | bytes]) -> str:
     return hashlib.sha256(spec[0].encode() + b"\0" + body).hexdigest()
 
 
+class Memo:
+    """Ids of chunks by hash: sorted keys, with each chunk's place in one pool of ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, dtype), 0
+
+    def add(self, keys: np.ndarray, ids: list[int], lengths: list[int]) -> None:
+        """``keys`` ascending and new; ``ids`` of all chunks, one after the other."""
+        length, total = np.array(lengths, np.int32), len(ids)
+        while self.used + total > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        self.pool[self.used : self.used + total] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.place = np.insert(self.place, at, self.used + np.cumsum(length, dtype=np.int64) - length)
+        self.length, self.keys = np.insert(self.length, at, length), np.insert(self.keys, at, keys)
+        self.used += total
+
+
+def _uneven(raw: np.ndarray) -> np.ndarray:
+    """Places where cutting at single spaces and newlines may not agree with the pre-tokenizer: white space next to
+    white space, or other white space than these two."""
+    kind = _KIND[raw]
+    odd = [np.flatnonzero(kind == 2), np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0)), np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0)) + 1]
+    for lead, tails in _WIDE_SPACE.items():
+        at = np.flatnonzero(raw == lead)
+        for tail in tails:
+            own = at[at + len(tail) < len(raw)]
+            for k, byte in enumerate(tail):
+                own = own[raw[own + 1 + k] == byte]
+            odd.append(own)
+    return np.concatenate(odd)
+
+
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+_KIND[[10, 32]] = 1
+#: Every other character that counts as white space, in UTF-8, by first byte.
+_WIDE_SPACE: dict[int, list[bytes]] = {}
+for _c in map(chr, range(0x80, 0x3001)):
+    if _c.isspace():
+        _WIDE_SPACE.setdefault(_c.encode()[0], []).append(_c.encode()[1:])
+
+
 class Encoder:
-    """Encodes whole texts. For byte-level JSON vocabularies, evenly spaced texts are cut at spaces and newlines,
-    where no token crosses, and the ids of each distinct chunk are kept; every other text goes to the library whole."""
+    """Encodes whole texts with the library. For byte-level JSON vocabularies, evenly spaced texts are cut at spaces
+    and newlines, where no token crosses, and each distinct chunk is encoded once; other texts are encoded whole."""
 
     def __init__(self, spec: tuple[str, str | bytes], specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.kind, self.memo, self.first = spec[0], {}, {}
+        self.kind, self.specials = spec[0], []
         if self.kind == "piece":
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=spec[1])
-            self.size, self.chunks, self.specials = self.library.get_piece_size(), False, None
+            self.size, self.chunks = self.library.get_piece_size(), False
         else:
             from tokenizers import Tokenizer
 
@@ -93,48 +141,97 @@ class Encoder:
             form = json.loads(spec[1])
             cut = json.dumps(form.get("pre_tokenizer") or {})
             self.chunks = form.get("normalizer") is None and '"ByteLevel"' in cut and '"add_prefix_space": true' not in cut
-            added = [t["content"] for t in form.get("added_tokens") or []]
-            self.specials = re.compile("|".join(map(re.escape, added))) if added and not specials_as_text else None
-            if self.chunks:
-                self.library.model._resize_cache(0)
+            self.specials = [] if specials_as_text else [t["content"] for t in form.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.newline = self._ids(["\n"])[0] if self.chunks else b""
+        self.memo = Memo(self.dtype)
+        if self.chunks:
+            self.newline = self._ids(["\n"])[0].tolist()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         if self.kind == "piece":
-            return [np.array(x, self.dtype).tobytes() for x in self.library.encode(texts, num_threads=1)]
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], chunks: set[str], before: str) -> None:
-        new = [x for x in chunks if x not in memo]
-        for x, ids in zip(new, self._ids([before + x for x in new]), strict=True):
-            memo[x] = ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the bytes of an array of ``self.dtype``."""
-        if not self.chunks:
-            return self._ids(texts)
-        cut = [None if not x or UNEVEN.search(x) or (self.specials and self.specials.search(x)) else [line.split(" ") for line in x.split("\n")] for x in texts]
-        if len(self.memo) + len(self.first) > MEMO_CHUNKS:
-            self.memo.clear()
-            self.first.clear()
-        self._learn(self.first, {line[0] for lines in cut if lines for line in lines}, "")
-        inner: set[str] = set()
-        for lines in cut:
-            for line in lines or ():
-                inner.update(line[1:])
-        self._learn(self.memo, inner, " ")
-        whole = iter(self._ids([x for x, lines in zip(texts, cut, strict=True) if lines is None]))
-        first, memo, out = self.first.__getitem__, self.memo.__getitem__, []
-        for lines in cut:
-            if lines is None:
-                out.append(next(whole))
+            return [np.array(x, self.dtype) for x in self.library.encode(texts, num_threads=1)]
+        return [np.array(x.ids, self.dtype) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str], lead: list[int]) -> tuple[list[int], list[int]]:
+        """All ids of chunks after nothing (0), a space (1) or a newline (2), and how many each has. A run of letters,
+        with marks after it or not, is cut as the pre-tokenizer would, and goes to the library's model directly."""
+        merge, shown, ids, lengths = self.library.model.tokenize, byte_alphabet(), [], []
+        for c, b in zip(chunks, lead, strict=True):
+            n = len(ids)
+            word = c.rstrip(MARKS)
+            if b == 2:
+                ids += self.newline
+            if word.isalpha() and max(word) < FIRST_UNSURE:
+                spelt = word if word.isascii() else "".join(map(shown.__getitem__, word.encode()))
+                ids += [t.id for t in merge("\u0120" + spelt if b == 1 else spelt)]
+                if len(word) < len(c):
+                    ids += [t.id for t in merge(c[len(word) :])]
             else:
-                out.append(self.newline.join([first(line[0]) + b"".join(map(memo, line[1:])) for line in lines]))
+                ids += self._ids([" " + c if b == 1 else c])[0].tolist()
+            lengths.append(len(ids) - n)
+        return ids, lengths
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        even, size = [], 0
+        for i, x in enumerate(texts):
+            if not self.chunks or not x or len(x) > AT_ONCE or any(s in x for s in self.specials):
+                continue
+            if size + len(x) > AT_ONCE:
+                self._cut(texts, even, out)
+                even, size = [], 0
+            even.append(i)
+            size += len(x)
+        self._cut(texts, even, out)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for start in range(0, len(rest), 64):
+            part = rest[start : start + 64]
+            for i, ids in zip(part, self._ids([texts[i] for i in part]), strict=True):
+                out[i] = ids
         return out
 
-    def arrays(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.dtype) for x in self.encode(texts)]
+    def _cut(self, texts: list[str], which: list[int], out: list[np.ndarray | None]) -> None:
+        """Puts the ids of evenly spaced texts in ``out``."""
+        bodies = [texts[i].encode() for i in which]
+        for again in (True, False):
+            if not bodies:
+                return
+            joined = b"\n".join(bodies)
+            raw = np.frombuffer(joined, np.uint8)
+            ends = np.cumsum([len(b) + 1 for b in bodies])
+            odd = np.unique(np.searchsorted(ends, _uneven(raw), "right"))
+            if not len(odd):
+                break
+            if again:
+                odd = set(odd.tolist())
+                which, bodies = ([x for k, x in enumerate(y) if k not in odd] for y in (which, bodies))
+        gaps = np.flatnonzero(_KIND[raw] == 1)
+        start, end = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
+        # what stands before a chunk: 0 the start of a text, 1 a space, 2 a newline
+        before = np.r_[0, np.where(raw[gaps] == 32, 1, 2)].astype(np.uint64)
+        heads = np.r_[0, ends[:-1]]
+        first = np.searchsorted(start, heads)
+        before[first] = 0
+        keys, at, inverse = np.unique(mix(span_hashes(raw, start, end) + before), return_index=True, return_inverse=True)
+        if len(self.memo.keys) > MEMO_CHUNKS:
+            self.memo = Memo(self.dtype)
+        place = np.searchsorted(self.memo.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[inside] = self.memo.keys[place[inside]] == keys[inside] if (inside := place < len(self.memo.keys)).any() else False
+        new = np.flatnonzero(~known)
+        if len(new):
+            lead = before[at[new]].tolist()
+            chunks = [joined[s:e].decode() for s, e in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            self.memo.add(keys[new], *self._learn(chunks, lead))
+            place = np.searchsorted(self.memo.keys, keys)
+        place = place[inverse]
+        length = self.memo.length[place].astype(np.int64)
+        done = np.cumsum(length)
+        ids = self.memo.pool[np.repeat(self.memo.place[place] - (done - length), length) + np.arange(done[-1])]
+        borders = np.r_[(done - length)[first], done[-1]].tolist()
+        for k, i in enumerate(which):
+            out[i] = ids[borders[k] : borders[k + 1]]
 
 
 _made: dict[tuple, Encoder] = {}
