@@ -8,8 +8,8 @@ come in ascending order and a process ends once it passes the largest register.
 
 Groups. Documents with the same words are one class. Classes whose signatures agree on a band meet in a bucket.
 First every class is compared with the smallest class that it meets: one pair each. Then only buckets that still
-hold several components are searched, block by block inside tasks, and only pairs whose signatures are similar
-leave them. Every pair is verified on the whole texts: overlap of the multisets, intersection over union.
+hold several components are searched, block by block inside tasks: once for each class's likeliest partner, and once
+for every pair whose signatures are similar. Every pair is verified on the whole texts: overlap of the multisets, intersection over union.
 
 Defined results: a document is its id; null texts, texts without words and rows with null ids link with nothing;
 texts of fewer than five words have one shingle, all their words; rows that share an id are one document to
@@ -131,34 +131,56 @@ def _sign(part: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell (bucket, block, block): pairs of different components whose sketches are similar."""
-    cell, rows = None, []
+def _likely(best: bool):
+    """Over rows sorted by cell (bucket, block, block): pairs of different components whose sketches are similar, each
+    in the first band on which it agrees. With ``best``, only each row's most similar partner."""
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
+    def pairs(cell: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2 or len({r[1] for r in rows}) < 2:
             return
         ids, comps, block = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        own, other = cell[1], cell[2]
+        band, own, other = rows[0][4], cell[1], cell[2]
         sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
         left, right = np.flatnonzero(block == own), np.flatnonzero(block == other)
+        most, partner = np.full(len(right), -1), np.zeros(len(right), np.int64)
         for start in range(0, len(left), 64):
             i = left[start : start + 64]
             equal = np.count_nonzero(sketch[i][:, None, :] == sketch[right][None, :, :], axis=2)
-            x, y = np.nonzero((equal >= LIKELY * REGISTERS) & (comps[i][:, None] != comps[right][None, :]))
-            a, b = ids[i[x]], ids[right[y]]
-            if own == other:
-                a, b = a[a < b], b[a < b]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    for batch in batches:
-        for key, own, other, block, doc, comp, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, own, other) != cell:
-                yield from pairs()
-                cell, rows = (key, own, other), []
-            rows.append((doc, comp, block, sketch))
-    yield from pairs()
+            fits = (equal >= LIKELY * REGISTERS) & (comps[i][:, None] != comps[right][None, :])
+            if best:
+                equal = np.where(fits, equal, -1)
+                x, y = np.flatnonzero(equal.max(axis=1) >= 0), equal.argmax(axis=1)
+                x, y = i[x], right[y[x]]
+                top = equal.argmax(axis=0)
+                higher = equal[top, np.arange(len(right))] > most
+                most[higher], partner[higher] = equal[top, np.arange(len(right))][higher], i[top][higher]
+            else:
+                x, y = np.nonzero(fits)
+                x, y = i[x], right[y]
+                if own == other:
+                    x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
+                agree = (sketch[x] == sketch[y]).reshape(-1, BANDS, ROWS).all(axis=2)
+                x, y = x[agree.argmax(axis=1) == band], y[agree.argmax(axis=1) == band]
+            if len(x):
+                yield _pairs(ids[x], ids[y])
+        if best and own != other and (most >= 0).any():
+            yield _pairs(ids[right[most >= 0]], ids[partner[most >= 0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for batch in batches:
+            for key, own, other, block, doc, comp, sketch, band in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, own, other) != cell:
+                    yield from pairs(cell, rows)
+                    cell, rows = (key, own, other), []
+                rows.append((doc, comp, block, sketch, band))
+        yield from pairs(cell, rows)
+
+    return run
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _verify(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -184,6 +206,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(both, _verify, PAIR, rows=64).distinct()
 
 
+def search(places: DataFrame, own: DataFrame, links: DataFrame, best: bool) -> DataFrame:
+    """Likely pairs (a, b) in buckets that hold several components of ``links``. A bucket of many classes is dealt
+    out by pairs of blocks of about BLOCK classes."""
+    parts = connected_components(links)
+    placed = places.join(parts, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
+    still = written(placed.join(broadcast_if_small(mixed), "bucket", "left_semi"), "near-open")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cells = still.select("bucket", "band", "id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    sketches = own.join(broadcast_if_small(still.select("id").distinct()), "id", "left_semi").select("id", "sketch")
+    dealt = cells.join(sketches, "id").select("bucket", F.least("block", "other").alias("own"), F.greatest("block", "other").alias("other"), "block", "id", "component", "sketch", "band")
+    in_cells = dealt.repartition("bucket", "own", "other").sortWithinPartitions("bucket", "own", "other")
+    return arrow_batches(in_cells, _likely(best), PAIR).distinct()
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest document with the same words), group_id (smallest document
     reachable by links), kept (it is the smallest of its group)."""
@@ -194,26 +232,18 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
     own = signed.join(broadcast_if_small(first), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch")
 
-    met = own.select("id", F.explode("bands").alias("bucket"))
+    met = own.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = met.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     places = written(met.join(buckets, "bucket"), "near-places")
-    stars = places.groupBy("id").agg(F.min("leader").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
-    linked = written(verified(written(stars, "near-stars"), texts), "near-linked")
-
-    parts = connected_components(linked)
-    placed = places.join(parts, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-    open_places = written(placed.join(broadcast_if_small(mixed), "bucket", "left_semi"), "near-open")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    cells = open_places.select("bucket", "id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    sketches = own.join(broadcast_if_small(open_places.select("id").distinct()), "id", "left_semi").select("id", "sketch")
-    dealt = cells.join(sketches, "id").select("bucket", F.least("block", "other").alias("own"), F.greatest("block", "other").alias("other"), "block", F.col("id"), "component", "sketch")
-    in_cells = dealt.repartition("bucket", "own", "other").sortWithinPartitions("bucket", "own", "other")
-    likely = arrow_batches(in_cells, _likely, PAIR).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(written(likely, "near-likely"), texts)
-
-    joined = connected_components(linked.unionByName(more))
+    tested = written(places.groupBy("id").agg(F.min("leader").alias("a")).where("a < id").select("a", F.col("id").alias("b")), "near-stars")
+    links = written(verified(tested, texts), "near-links")
+    # first each class's likeliest partner, which joins most components at a pair a row; then all that is left
+    for best in (True, False):
+        likely = written(search(places, own, links, best).join(tested, ["a", "b"], "left_anti"), "near-likely")
+        links = links.unionByName(written(verified(likely, texts), "near-links"))
+        tested = tested.unionByName(likely)
+
+    joined = connected_components(links)
     placed = classes.join(joined, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
     # rows that share an id but not their words belong together
     whole = placed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component").alias("group_id"))
