@@ -48,8 +48,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return arrow_batches(df, run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of long texts are held several times over, in the executor and in Python: where the session has
+    Spark's own limits, lower ones are set."""
+    for key, usual, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b",), "8388608b")):
+        if spark.conf.get(key) in usual:
+            spark.conf.set(key, wanted)
+
+
 def arrow_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

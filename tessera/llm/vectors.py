@@ -1,8 +1,8 @@
 """Operator 6: pairs of vectors with cosine at or above a threshold, by dual traversal of cover trees.
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c). Vectors are dealt to cells by their nearest pivot and
-cells cut into blocks of bounded size. Each block is a cover tree: nested levels of centres with halving radii, a
-node's points in one range. Two blocks, and inside them two nodes, are passed over where the distance of their
+cells cut into blocks of bounded size. Each block is a cover tree: nested levels of centres with halving radii, from the
+threshold's distance down (balls wider than that overlap too much to be told apart), a node's points in one range. Two blocks, and inside them two nodes, are passed over where the distance of their
 centres exceeds both covering radii and the threshold together, taken whole where even the farthest points are
 within it, and otherwise opened; what is left at the bottom is compared in double precision. Pairs are exact.
 
@@ -32,9 +32,9 @@ from .common import arrow_batches, arrow_map, connected_components, slices, writ
 
 BLOCK = 4096
 PIVOT_SAMPLE, MOST_PIVOTS = 1024, 256
-RADII = (1.0, 0.5, 0.25, 0.125)
+LEVELS = 3
 #: Slack for rounding in bounds; compared vectors decide by their own cosine.
-SLACK = 1e-9
+SLACK = 1e-7
 #: Node pairs of fewer point pairs than this are compared at once.
 SMALL = 1 << 14
 
@@ -69,24 +69,37 @@ def pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def cover_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def net(x: np.ndarray, own: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, float]]:
+    """The points ``own`` cut into balls: each centre is the first point that no earlier ball covers, and comes first.
+    Yields (points, covering radius). Distances are taken for some hundred possible centres at once."""
+    while len(own):
+        some = own[:256]
+        gap = np.sqrt(np.maximum(2 - 2 * (x[some] @ x[own].T), 0))
+        left = np.ones(len(own), bool)
+        for i in range(len(some)):
+            if left[i]:
+                inside = left & (gap[i] <= radius)
+                inside[i] = False
+                left &= ~inside
+                left[i] = False
+                yield np.r_[own[i], own[inside]], float(gap[i][inside].max(initial=0.0))
+        own = own[left]
+
+
+def cover_tree(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
     """(order of the points, nodes): a node is (level, start, end, first child, end of children, radius) over the
-    ordered points, its centre being its first point. Children lie on the next level and share the centre or are
-    nets of half the radius."""
+    ordered points, its centre being its first point. Each level halves the radius of the one above."""
     order = np.arange(len(x))
     levels: list[list[tuple[int, int, float]]] = []
-    ranges = [(0, len(x))]
-    for radius in RADII:
+    ranges = [(0, len(x))] if len(x) else []
+    for level in range(LEVELS):
         nodes = []
         for start, end in ranges:
-            own, pieces = order[start:end], []
-            while len(own):
-                gap = np.linalg.norm(x[own] - x[own[0]], axis=1) if len(own) > 1 else np.zeros(1)
-                inside = gap <= radius
-                inside[0] = True
-                nodes.append((start, start + int(inside.sum()), float(gap[inside].max())))
-                pieces.append(own[inside])
-                start, own = start + len(pieces[-1]), own[~inside]
+            pieces = []
+            for points, reached in net(x, order[start:end], top / 2**level):
+                nodes.append((start, start + len(points), reached))
+                start += len(points)
+                pieces.append(points)
             order[end - sum(map(len, pieces)) : end] = np.concatenate(pieces)
         levels.append(nodes)
         ranges = [(s, e) for s, e, _ in nodes]
@@ -101,13 +114,13 @@ def cover_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(rows, dtype=np.float64).reshape(-1, 6)
 
 
-def _pack(table: pa.Table) -> pa.Table:
+def _pack(table: pa.Table, top: float) -> pa.Table:
     ids = table.column("vec_id").to_numpy()
     vecs = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
     x = unit(vecs)
     by_id = np.argsort(ids, kind="stable")
     ids, x, weights = ids[by_id], x[by_id], table.column("weight").to_numpy()[by_id]
-    order, nodes = cover_tree(x)
+    order, nodes = cover_tree(x, top)
     centre = x.mean(axis=0)
     radius = float(np.linalg.norm(x - centre, axis=1).max())
     row = [table.column("block")[0].as_py(), ids[order].tobytes(), weights[order].astype(np.int64).tobytes(), x[order].tobytes(), nodes.tobytes(), centre.tobytes(), radius]
@@ -236,7 +249,7 @@ def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", v
     placed = written(arrow_map(points, cell, "vec binary, vec_id long, weight long, cell long", rows=2048), "cells")
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = placed.join(F.broadcast(parts), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), "parts")).alias("block"), "vec_id", "weight", "vec")
-    packed = written(dealt.groupBy("block").applyInArrow(_pack, PACKED), "blocks")
+    packed = written(dealt.groupBy("block").applyInArrow(lambda t: _pack(t, math.sqrt(2 - 2 * cosine)), PACKED), "blocks")
 
     heads = sorted((r.block, r.radius, r.centre) for r in packed.select("block", "radius", "centre").collect())
     pairs = []
