@@ -46,6 +46,11 @@ BRACKET_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*")
 BRACKET_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*")
 PLAIN = re.compile(r"(?<![\w.%+-])[a-z0-9._%+-]+(?: (?:dot) [a-z0-9_%+-]+)*(?P<at> at |@)[a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)*(?: dot [a-z0-9-]+)(?![\w-])")
 PLAIN_AT_DOTTED = re.compile(r"(?<![\w.%+-])[a-z0-9._%+-]+ at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk)(?![\w-])")
+#: Cheap signs that a transducer may apply; they only save the slower patterns above.
+TWO_WORDS = re.compile(rf"(?:{_WORD}){_SEP}(?:{_WORD})(?![^\W_])")
+BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]")
+AT_HOST = re.compile(r" at [a-z0-9-]+\.[a-z0-9-]")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 AT_OR_DOT = re.compile(r" (at|dot) ")
 
 
@@ -88,7 +93,7 @@ DIGITS_ONLY = re.compile(r"[^0-9]")
 
 
 @functools.cache
-def letters() -> tuple[dict[int, str], re.Pattern]:
+def letters() -> tuple[dict[int, str], frozenset[str]]:
     """One-to-one rewriting of characters: lookalikes, compatibility forms and digits of any script."""
     table = dict(LOOKALIKES)
     for point in (*range(0x0660, 0x2000), *range(0x2000, 0x20000)):
@@ -97,7 +102,7 @@ def letters() -> tuple[dict[int, str], re.Pattern]:
         plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c) if point >= 0x2070 else ""
         if len(plain) == 1 and plain != c and (plain in LOCAL or plain == "@"):
             table.setdefault(c, plain)
-    return str.maketrans(table), re.compile("[" + "".join(map(re.escape, sorted(table))) + ZERO_WIDTH + "]")
+    return str.maketrans(table), frozenset(table) | frozenset(ZERO_WIDTH)
 
 
 class Rewritten:
@@ -127,9 +132,9 @@ def _lower(text: str) -> str:
 def deobfuscate(text: str) -> Rewritten | None:
     """None if no transducer applies."""
     found = None
-    if not text.isascii():
+    if not text.isascii() and ("\u00ad" in text or BEYOND_LATIN.search(text)):
         table, odd = letters()
-        if odd.search(text):
+        if not odd.isdisjoint(text):
             found = Rewritten(text.translate(table))
             found.replace([(m.start(), m.end(), "") for m in re.finditer(f"[{ZERO_WIDTH}]+", found.text)])
     low = _lower(found.text if found else text)
@@ -141,16 +146,17 @@ def deobfuscate(text: str) -> Rewritten | None:
             found.replace(changes)
             low = _lower(found.text)
 
-    if any(w in low for w in ("two", "four", "seven", "zero", "six", "nine", "three", "five", "eight", "one")):
+    if TWO_WORDS.search(low):
         changes = []
         for m in SPELLED.finditer(low):
             words = list(ONE_WORD.finditer(low, m.start(), m.end()))
             changes += [(w.start(), words[i + 1].start() if i + 1 < len(words) else w.end(), DIGIT_WORDS[w[0]]) for i, w in enumerate(words)]
         rewrite(changes)
-    rewrite([(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(low)] if "at" in low or "@" in low else [])
-    rewrite([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(low)])
-    if " dot " in low or " at " in low and "." in low:
-        for pattern in (PLAIN, PLAIN_AT_DOTTED):
+    if BRACKETED.search(low):
+        rewrite([(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(low)])
+        rewrite([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(low)])
+    for pattern, applies in ((PLAIN, " dot " in low), (PLAIN_AT_DOTTED, bool(AT_HOST.search(low)))):
+        if applies:
             changes = [(m.start() + w.start(), m.start() + w.end(), "@" if w[1] == "at" else ".") for m in pattern.finditer(low) for w in AT_OR_DOT.finditer(m[0])]
             rewrite(changes)
     return found
