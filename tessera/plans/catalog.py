@@ -726,5 +726,5 @@ def resolve_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = view(spark, sf_dir, "req")
     candidates = _tags(spark, sf_dir).select(F.col("pkg").cast("string").alias("dep"), F.lit("git").alias("source"), "version", F.col("text"), "rev")
     declared = reqs.select(F.col("src").cast("string").alias("parent"), F.col("dst").cast("string").alias("dep"), "pos", F.lit("git").alias("source"), F.col("req").alias("constraint"))
-    picked, conflicts = resolve(declared, candidates, root="99")
+    picked, conflicts = resolve(declared, candidates, root=str(reqs.agg(F.max("src")).first()[0]))
     return picked.select("dep", "text", "rev", F.lit("picked").alias("state")).unionByName(conflicts.select("dep", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("rev"), F.lit("conflict").alias("state")))
