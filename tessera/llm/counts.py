@@ -53,6 +53,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
         n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    counted = arrow_map(to_do, run, "digest string, n_tokens long")
+    # rows that repeat both id and text are encoded each, and told once
+    counted = arrow_map(to_do, run, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     return digests.join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
