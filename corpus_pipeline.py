@@ -20,18 +20,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs.select(COLUMNS), model)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(COLUMNS)
+def _without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    ids = broadcast_if_small(ids.select(F.col("doc_id").alias("listed")))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("listed")), how).select(COLUMNS)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id. Ids that stay and also go (repeated rows) keep one row a text."""
-    judged = exact.exact_duplicates(docs)
-    ids = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
-    ids = written(ids, "judged")
-    once = _without(docs, ids.where("NOT stays OR n > 1").select("doc_id"))
-    again = docs.join(broadcast_if_small(ids.where("stays AND n > 1").select("doc_id")), "doc_id", "left_semi")
-    return once.unionByName(again.select(COLUMNS).dropDuplicates(["doc_id", "text"]))
+    """Of equal texts the one with the largest id. Rows that share an id are told apart by the digests of their texts."""
+    judged = written(exact.exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "judged")
+    ids = written(judged.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n")), "judged-ids")
+    once = _without(docs, ids.where("NOT stays OR n > 1"))
+    shared = ids.where("stays AND n > 1")
+    again = _without(docs, shared, "left_semi").withColumn("sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), exact.UPPER, exact.LOWER), 256))
+    kept = judged.where("kept").join(shared.select(F.col("doc_id").alias("shared")), F.col("doc_id").eqNullSafe(F.col("shared")), "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    again = again.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi").dropDuplicates(["doc_id", "sha"])
+    return once.unionByName(again.select(COLUMNS))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
