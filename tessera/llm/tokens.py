@@ -43,6 +43,7 @@ def _halves(token: bytes, ranks: dict[bytes, int], below: int) -> tuple[bytes, b
     return parts[0], parts[1]
 
 
+@functools.lru_cache(4)
 def spec_from_ranks(path: str, pattern: str) -> str:
     """The JSON of a tokenizers byte-level BPE with the ranks of a .tiktoken file, splitting by ``pattern``."""
     from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
