@@ -60,6 +60,13 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(safe, "\u0001", ".*"), F.lit("$"))
 
 
+def loose_glob_regex(pattern: Column) -> Column:
+    """As ``glob_regex``, but every wildcard crosses components: the rule of copying."""
+    safe = F.regexp_replace(pattern, r"([.+^${}()|\[\]\\])", r"\\$1")
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(safe, r"\*\*/", "\u0001"), r"\*+", ".*"), r"\?", ".")
+    return F.concat(F.lit("^"), F.regexp_replace(safe, "\u0001", "(?:.*/)?"), F.lit("$"))
+
+
 def substitute(path: Column, env: dict[str, str]) -> Column:
     """$NAME and ${NAME} replaced; a name that is not in ``env`` is an error."""
     out = path

@@ -146,6 +146,14 @@ def compile(expr: Expr, active: Column) -> Column:
     return ~out if expr.kind == "not" else out
 
 
+def holds(expr: Expr, active: set[str]) -> bool:
+    """The expression for one known set."""
+    if expr.kind in ("wildcard", "name"):
+        return expr.kind == "wildcard" or expr.name in active
+    found = [holds(m, active) for m in expr.members]
+    return all(found) if expr.kind == "all" else any(found) if expr.kind == "any" else not found[0]
+
+
 def matches(text: Column, active: Column, texts: list[str | None]) -> Column:
     """Whether the row's expression holds, ``texts`` being all distinct ones; null is the wildcard."""
     out = F.when(text.isNull(), F.lit(True))

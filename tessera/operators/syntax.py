@@ -103,12 +103,16 @@ def renamed(text: str, names: dict[str, str]) -> str:
     return "".join(out) + text[at:]
 
 
-def without_comments(text: str, squash: bool = False) -> str:
-    """``text`` without comments; with ``squash`` also without empty lines."""
-    out = re.sub(r'("(?:\\.|[^"\\\n])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+def shown(text: str, *, squash: bool = False, comments: bool = True) -> str:
+    """``text`` without comments unless ``comments``; with ``squash`` without empty lines."""
+    out = text if comments else re.sub(r'("(?:\\.|[^"\\\n])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
     return re.sub(r"[ \t]*\n(?:[ \t]*\n)+", "\n", out) if squash else out
 
 
+def without_comments(text: str, squash: bool = False) -> str:
+    return shown(text, squash=squash, comments=False)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(idx, path, parsed_ok, encrypted, declared, referenced, included) of files (idx, path, text)."""
     ship_package(files.sparkSession)

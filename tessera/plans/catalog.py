@@ -728,3 +728,72 @@ def resolve_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = reqs.select(F.col("src").cast("string").alias("parent"), F.col("dst").cast("string").alias("dep"), "pos", F.lit("git").alias("source"), F.col("req").alias("constraint"))
     picked, conflicts = resolve(declared, candidates, root=str(reqs.agg(F.max("src")).first()[0]))
     return picked.select("dep", "text", "rev", F.lit("picked").alias("state")).unionByName(conflicts.select("dep", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("rev"), F.lit("conflict").alias("state")))
+
+
+# Plans of what a workspace needs done
+
+
+@query("""WITH w AS (SELECT l_orderkey AS ord, l_linenumber AS ln, l_linenumber % 7 <> 0 AS e, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_partkey % 4 END AS cur, l_suppkey % 4 AS want, l_quantity % 2 = 0 AS url, l_orderkey % 3 > 0 AS ok, l_orderkey % 2 = 0 AS own, l_suppkey % 11 = 0 AS forced, l_partkey % 13 = 0 AS listed FROM lineitem),
+d AS (SELECT *, CASE WHEN NOT e OR cur IS NULL THEN 'clone' WHEN cur = want THEN 'clean' WHEN url THEN 'checkout' ELSE 'clone' END AS raw FROM w),
+g AS (SELECT *, e AND own AND NOT (forced OR listed) AND (raw = 'clone' OR raw = 'checkout' AND NOT ok) AS held FROM d)
+SELECT CASE WHEN held THEN 'clean' ELSE raw END AS state, CASE WHEN held THEN 'W19' END AS code, count(*) AS n, min(ord) AS first_order FROM g GROUP BY 1, 2""")
+def checkout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do with each working copy."""
+    from .workspace import checkout_state
+
+    c, line = F.col, spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    current = F.when(c("l_partkey") % 9 != 0, c("l_partkey") % 4)
+    state = checkout_state(c("l_linenumber") % 7 != 0, current, c("l_suppkey") % 4, c("l_quantity") % 2 == 0, c("l_orderkey") % 3 > 0, chosen_dir=c("l_orderkey") % 2 == 0, force=c("l_suppkey") % 11 == 0, listed=c("l_partkey") % 13 == 0)
+    return line.select("l_orderkey", state.alias("s")).groupBy(c("s.state").alias("state"), c("s.code").alias("code")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
+
+
+@query("""SELECT CASE WHEN c_custkey % 5 = 0 THEN 'init' WHEN c_custkey % 7 = 0 THEN 'fetch' WHEN c_nationkey < c_custkey % 25 THEN 'skip' ELSE 'fetch' END AS action, count(*) AS n FROM customer GROUP BY 1""")
+def database_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which databases are made, fetched or fresh."""
+    from .workspace import database_action
+
+    c, made = F.col, spark.read.parquet(f"{sf_dir}/customer.parquet")
+    action = database_action(c("c_custkey") % 5 != 0, c("c_nationkey"), c("c_custkey") % 25, force=F.when(c("c_custkey") % 7 == 0, F.lit(True)))
+    return made.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN id % 4 = 0 THEN 'create' WHEN id % 4 = 1 THEN 'skip' WHEN id % 3 = kind % 3 THEN 'keep' ELSE 'replace' END AS action, count(*) AS n FROM pkg GROUP BY 1""", "pkg")
+def link_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to create, replace, keep or leave to a real file."""
+    from .workspace import link_action
+
+    action = link_action(F.col("id") % 4 != 0, F.col("id") % 4 != 1, F.col("id") % 3, F.col("kind") % 3)
+    return view(spark, sf_dir, "pkg").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(p_size AS BIGINT) AS dir, CAST(coalesce(max(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 10000 END), 0) + 1 AS BIGINT) AS number FROM part GROUP BY p_size""")
+def patch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of the next patch of each folder."""
+    from .workspace import next_patch
+
+    name = F.concat(F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.when(F.col("p_partkey") % 3 == 0, "-x.patch").otherwise("-x.md"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("dir"), name.alias("name"))
+    return next_patch(parts).select(F.col("dir").cast("long").alias("dir"), F.col("number").cast("long").alias("number"))
+
+
+@query("""WITH m AS (SELECT c_nationkey AS n, max(c_custkey % 3) AS depth FROM customer GROUP BY 1)
+SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN depth = 0 THEN '/w/' || CAST(n AS STRING) WHEN depth = 1 THEN '/w/' || CAST(n AS STRING) || '/a' ELSE '/w/' || CAST(n AS STRING) || '/a/b' END AS root FROM customer JOIN m ON c_nationkey = n""".replace("CAST(n AS STRING)", "CAST(n AS VARCHAR)"))
+def manifest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest folder with a manifest at or above each start."""
+    from .workspace import roots
+
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    top = F.concat(F.lit("/w/"), F.col("c_nationkey").cast("string"))
+    starts = customer.select("c_custkey", F.concat(top, F.lit("/a/b/"), F.col("c_custkey").cast("string")).alias("start"), F.lit(1).alias("device"))
+    deep = F.when(F.col("c_custkey") % 3 == 0, top).when(F.col("c_custkey") % 3 == 1, F.concat(top, F.lit("/a"))).otherwise(F.concat(top, F.lit("/a/b")))
+    found = roots(starts, customer.select(deep.alias("dir"), F.lit(1).alias("device")))
+    return found.select(F.element_at(F.split("start", "/"), -1).cast("long").alias("id"), "root")
+
+
+@query("""SELECT id, path FROM file WHERE (path LIKE 'src1%' AND path LIKE '%.sv' OR path LIKE 'src2/%') AND NOT path LIKE '%7.v'""", "file")
+def vendor_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that vendoring copies; wildcards cross folders here."""
+    from .workspace import copied
+
+    include, exclude = F.array(F.lit("src1*.sv"), F.lit("src2"), F.lit("src1*/*.sv")), F.array(F.lit("*7.v"), F.lit(".git"))
+    return view(spark, sf_dir, "file").where(copied(F.col("path"), include, exclude)).select("id", "path")
