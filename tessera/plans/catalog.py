@@ -790,10 +790,11 @@ def manifest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("start", "/"), -1).cast("long").alias("id"), "root")
 
 
-@query("""SELECT id, path FROM file WHERE (path LIKE 'src1%' AND path LIKE '%.sv' OR path LIKE 'src2/%') AND NOT path LIKE '%7.v'""", "file")
+@query("""SELECT id, path FROM file WHERE (path LIKE 'src1/%.sv' OR path LIKE 'src2/%' OR path LIKE 'src3%') AND NOT path LIKE '%7.v'""", "file")
 def vendor_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that vendoring copies; wildcards cross folders here."""
+    """Files that vendoring copies. Wildcards cross folders, and the folder part of a pattern counts as a pattern, so
+    ``src3*/*.v`` takes all of those folders."""
     from .workspace import copied
 
-    include, exclude = F.array(F.lit("src1*.sv"), F.lit("src2"), F.lit("src1*/*.sv")), F.array(F.lit("*7.v"), F.lit(".git"))
+    include, exclude = F.array(F.lit("src1/*.sv"), F.lit("src2"), F.lit("src3*/*.v")), F.array(F.lit("*7.v"), F.lit(".git"))
     return view(spark, sf_dir, "file").where(copied(F.col("path"), include, exclude)).select("id", "path")
