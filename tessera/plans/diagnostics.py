@@ -27,3 +27,11 @@ def missing_files(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Files (subject, path) that the listing (path) lacks."""
     gone = files.join(listing.select("path").distinct(), "path", "left_anti")
     return gone.select("subject", F.lit("error").alias("severity"), F.lit("E31").alias("code"), F.concat(F.lit("no such file: "), "path").alias("message"))
+
+
+def rendered(severity: Column, code: Column, message: Column, causes: Column, help_text: Column) -> Column:
+    """A diagnostic as plain text: its heading, then its causes and the lines of its help as a tree."""
+    lines = F.when(F.coalesce(help_text, F.lit("")) == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.regexp_replace(help_text, r"\r?\n\z", ""), r"\r?\n"))
+    notes = F.concat(F.transform(F.coalesce(causes, F.expr("cast(array() as array<string>)")), lambda x: F.concat(F.lit("caused by: "), x)), F.transform(lines, lambda x: F.concat(F.lit("help: "), x)))
+    tree = F.transform(notes, lambda x, i: F.concat(F.when(i == F.size(notes) - 1, "\n ╰─› ").otherwise("\n ├─› "), x))
+    return F.concat(severity, F.when(code.isNotNull(), F.concat(F.lit("["), code, F.lit("]"))).otherwise(""), F.lit(": "), message, F.array_join(tree, ""))

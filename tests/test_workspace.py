@@ -158,3 +158,11 @@ def test_plugins(spark):
             plugins.run(name, [], call_dir="/c")
     with pytest.raises(ValueError, match="declared by"):
         Plugins(declared.unionByName(spark.createDataFrame([("z", "gen", "/z")], declared.schema)), {}, root="/r")
+
+
+def test_rendered(spark):
+    from tessera.plans.diagnostics import rendered
+
+    df = spark.createDataFrame([("error", "E31", "bad", ["x", "y"], "do\nthis\n"), ("warning", None, "odd", None, None), ("advice", "A1", "m", [], "h")], "s string, c string, m string, causes array<string>, h string")
+    out = [r.t for r in df.select(rendered(*(F.col(k) for k in ("s", "c", "m", "causes", "h"))).alias("t")).collect()]
+    assert out == ["error[E31]: bad\n ├─› caused by: x\n ├─› caused by: y\n ├─› help: do\n ╰─› help: this", "warning: odd", "advice[A1]: m\n ╰─› help: h"]
