@@ -133,7 +133,7 @@ def _sign(part: pa.RecordBatch) -> pa.RecordBatch:
 
 def _likely(best: bool):
     """Over rows sorted by cell (bucket, block, block): pairs of different components whose sketches are similar, each
-    in the first band on which it agrees. With ``best``, only each row's most similar partner."""
+    in the first band whose hash it shares. With ``best``, only each row's most similar partner; bands are not read."""
 
     def pairs(cell: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2 or len({r[1] for r in rows}) < 2:
@@ -141,6 +141,7 @@ def _likely(best: bool):
         ids, comps, block = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
         band, own, other = rows[0][4], cell[1], cell[2]
         sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
+        bands = None if best else np.stack([r[5] for r in rows])
         left, right = np.flatnonzero(block == own), np.flatnonzero(block == other)
         most, partner = np.full(len(right), -1), np.zeros(len(right), np.int64)
         for start in range(0, len(left), 64):
@@ -159,8 +160,9 @@ def _likely(best: bool):
                 x, y = i[x], right[y]
                 if own == other:
                     x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
-                agree = (sketch[x] == sketch[y]).reshape(-1, BANDS, ROWS).all(axis=2)
-                x, y = x[agree.argmax(axis=1) == band], y[agree.argmax(axis=1) == band]
+                # sketches may agree on a band by chance; only shared hashes are buckets that both are in
+                here = (bands[x] == bands[y]).argmax(axis=1) == band
+                x, y = x[here], y[here]
             if len(x):
                 yield _pairs(ids[x], ids[y])
         if best and own != other and (most >= 0).any():
@@ -169,11 +171,13 @@ def _likely(best: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
         for batch in batches:
-            for key, own, other, block, doc, comp, sketch, band in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            *plain, hashes = batch.columns
+            hashes = [None] * len(hashes) if best else hashes.flatten().to_numpy().reshape(-1, BANDS)
+            for key, own, other, block, doc, comp, sketch, band, shared in zip(*(c.to_pylist() for c in plain), hashes, strict=True):
                 if (key, own, other) != cell:
                     yield from pairs(cell, rows)
                     cell, rows = (key, own, other), []
-                rows.append((doc, comp, block, sketch, band))
+                rows.append((doc, comp, block, sketch, band, shared))
         yield from pairs(cell, rows)
 
     return run
@@ -216,8 +220,8 @@ def search(places: DataFrame, own: DataFrame, links: DataFrame, best: bool) -> D
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     cells = still.select("bucket", "band", "id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    sketches = own.join(broadcast_if_small(still.select("id").distinct()), "id", "left_semi").select("id", "sketch")
-    dealt = cells.join(sketches, "id").select("bucket", F.least("block", "other").alias("own"), F.greatest("block", "other").alias("other"), "block", "id", "component", "sketch", "band")
+    sketches = own.join(broadcast_if_small(still.select("id").distinct()), "id", "left_semi").select("id", "sketch", F.lit(None).cast("array<long>").alias("bands") if best else "bands")
+    dealt = cells.join(sketches, "id").select("bucket", F.least("block", "other").alias("own"), F.greatest("block", "other").alias("other"), "block", "id", "component", "sketch", "band", "bands")
     in_cells = dealt.repartition("bucket", "own", "other").sortWithinPartitions("bucket", "own", "other")
     return arrow_batches(in_cells, _likely(best), PAIR).distinct()
 

@@ -87,6 +87,20 @@ def test_near_blocks(spark, monkeypatch):
     assert {r.doc_id: r.group_id for r in near.groups(df).collect()} == brute_groups(texts)
 
 
+def test_near_chance_agreement_of_sketches(spark):
+    # 1 and 2 share the hash of band 3 only; on band 0 their sketches agree by chance
+    sketch = np.zeros((2, near.REGISTERS), np.uint8)
+    sketch[1, near.ROWS :: near.ROWS] = 1
+    sketch[1, 3 * near.ROWS] = 0
+    bands = np.arange(2 * near.BANDS).reshape(2, near.BANDS)
+    bands[:, 3] = 500
+    own = spark.createDataFrame([(i + 1, bands[i].tolist(), bytearray(sketch[i])) for i in range(2)], "id long, bands array<long>, sketch binary")
+    places = spark.createDataFrame([(500, 3, i, 1, 2) for i in (1, 2)], "bucket long, band int, id long, leader long, n long")
+    links = spark.createDataFrame([], "a long, b long")
+    for best in (True, False):
+        assert [tuple(r) for r in near.search(places, own, links, best).collect()] == [(1, 2)]
+
+
 def test_near_hard_rows(spark, hard):
     rows = near.groups(hard).collect()
     assert len(rows) == hard.count() and near.groups(hard.limit(0)).count() == 0
