@@ -3,7 +3,8 @@
 The page is parsed into a tree; what is a menu, notice, form, advert or reader comment by its element, role or
 class is left out. For every node the link-adjusted characters per tag are computed (more links, less density)
 and the densities of its children summed. The least density on the path from the densest node up to the body is
-the threshold: among nodes that reach it, the subtree with the largest sum is the article. Its text is taken
+the threshold: among nodes that reach it, the subtree with the largest sum is the article. Where other children of
+a node above reach the threshold too (an article in several sections), the highest such node is taken. Text is taken
 whole, block by block.
 
 Defined results: null, empty and text-less pages give the empty text; unclosed elements are closed as browsers do
@@ -172,7 +173,12 @@ def article(root: Node) -> Node | None:
     threshold, node = densest.density, densest
     while node is not None and (not marked or node.content):
         threshold, node = min(threshold, node.density), node.parent
-    best = max((n for n in order if n.density >= threshold), key=lambda n: n.sum)
+    best = node = max((n for n in order if n.density >= threshold), key=lambda n: n.sum)
+    while not marked and node.parent is not None:
+        # a section outsums the element that holds all sections
+        node, below = node.parent, node
+        if any(isinstance(c, Node) and c is not below and c.chars and c.density >= threshold for c in node.children):
+            best = node
     while best.parent is not None and best.parent.content or best.tag in INLINE and best.parent is not None:
         best = best.parent
     return best

@@ -19,6 +19,13 @@ def test_article(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == TEXT
 
 
+def test_article_in_sections():
+    parts = [[f"{s}{p} " + "word " * n + "end." for p in "abcde"] for s, n in (("x", 40), ("y", 30), ("z", 38))]
+    sections = "".join("<section>" + "".join(f"<p>{p}</p>" for p in part) + "</section>" for part in parts)
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Menu item {i}</a></li>' for i in range(12)) + "</ul>"
+    assert html_text.main_text(PAGE % f"{menu}<div class='post'><h1>Title</h1>{sections}</div>") == "\n".join(["Title", *sum(parts, [])])
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<!-- b", "a"), ("<script>x", ""), ("<p>a</p", "a"), ("<div><p>x &eacute;&nbsp; y</p></div>", "x é y"), ("</p></div>", ""), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
 def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
