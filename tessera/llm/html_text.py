@@ -4,8 +4,10 @@ The page is parsed into a tree; what is a menu, notice, form, advert or reader c
 class is left out. For every node the link-adjusted characters per tag are computed (more links, less density)
 and the densities of its children summed. The least density on the path from the densest node up to the body is
 the threshold: among nodes that reach it, the subtree with the largest sum is the article. Where other children of
-a node above reach the threshold too (an article in several sections), the highest such node is taken. Text is taken
-whole, block by block.
+a node above reach the threshold too (an article in several sections), the highest such node is taken. An article,
+main or articleBody mark bounds the choice: the subtree is sought inside marks, and the topmost mark around it is
+taken. Text is taken block by block: the subtree of the largest sum and what reaches the threshold whole; of what else
+was taken around them, elements that are mostly links are dropped, while titles, captions and cells stay.
 
 Defined results: null, empty and text-less pages give the empty text; unclosed elements are closed as browsers do
 for paragraphs, list items and table parts, or by their ancestors; an unclosed comment, script or tag runs to the
@@ -173,7 +175,7 @@ def article(root: Node) -> Node | None:
     threshold, node = densest.density, densest
     while node is not None and (not marked or node.content):
         threshold, node = min(threshold, node.density), node.parent
-    best = node = max((n for n in order if n.density >= threshold), key=lambda n: n.sum)
+    best = node = dense = max((n for n in order if n.density >= threshold), key=lambda n: n.sum)
     while not marked and node.parent is not None:
         # a section outsums the element that holds all sections
         node, below = node.parent, node
@@ -181,9 +183,29 @@ def article(root: Node) -> Node | None:
             best = node
     while best.parent is not None and best.parent.content or best.tag in INLINE and best.parent is not None:
         best = best.parent
+    _drop_links(best, dense, threshold)
     return best
 
 
+def _drop_links(top: Node, dense: Node, threshold: float) -> None:
+    """Leaves out, below ``top`` and around ``dense``, what is below the threshold and mostly links."""
+    path, node = {dense}, dense
+    while node is not top and node.parent is not None:
+        node = node.parent
+        path.add(node)
+    stack = [top] if dense is not top else []
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str) or c is dense or c.tag in INLINE:
+                continue
+            if c in path:
+                stack.append(c)
+            elif c.density < threshold:
+                c.out = 2 * c.link_chars > c.chars
+                if not c.out:
+                    stack.append(c)
+
+
 def blocks(node: Node) -> list[str]:
     """The blocks of a subtree: pieces of text between block borders, references decoded, white space as one space."""
     out, piece, stack = [], [], [node]
@@ -200,6 +222,8 @@ def blocks(node: Node) -> list[str]:
             border()
         elif isinstance(x, str):
             piece.append(references.unescape(x))
+        elif x.out:
+            border()
         elif x.tag == "br":
             piece.append("\n")
         else:

@@ -26,6 +26,13 @@ def test_article_in_sections():
     assert html_text.main_text(PAGE % f"{menu}<div class='post'><h1>Title</h1>{sections}</div>") == "\n".join(["Title", *sum(parts, [])])
 
 
+def test_links_beside_a_marked_article():
+    menu = "<div><h3>More</h3><ul>" + "".join(f'<li><a href="/{i}">Another story {i}</a></li>' for i in range(12)) + "</ul></div>"
+    parts = [f"{p} " + "word " * 40 + "end." for p in "abcde"]
+    article = "<article>" + "".join(f"<p>{p}</p>" for p in parts) + '<ul><li><a href="/s">Source</a></li></ul></article>'
+    assert html_text.main_text(PAGE % f"<main><h1>Title</h1>{article}{menu}<p>By <b>me</b></p></main>") == "\n".join(["Title", *parts, "Source", "By me"])
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<!-- b", "a"), ("<script>x", ""), ("<p>a</p", "a"), ("<div><p>x &eacute;&nbsp; y</p></div>", "x é y"), ("</p></div>", ""), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
 def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
