@@ -101,6 +101,15 @@ def test_near_chance_agreement_of_sketches(spark):
         assert [tuple(r) for r in near.search(places, own, links, best).collect()] == [(1, 2)]
 
 
+def test_near_low_estimates_are_verified(spark):
+    # 200 of 280 registers are equal, an estimate of 0.714
+    sketch = np.zeros((2, near.REGISTERS), np.uint8)
+    sketch[1, 200:] = 1
+    own = spark.createDataFrame([(i + 1, [500] * near.BANDS, bytearray(sketch[i])) for i in range(2)], "id long, bands array<long>, sketch binary")
+    places = spark.createDataFrame([(500, 0, i, 1, 2) for i in (1, 2)], "bucket long, band int, id long, leader long, n long")
+    assert near.search(places, own, spark.createDataFrame([], "a long, b long"), False).count() == 1
+
+
 def test_near_hard_rows(spark, hard):
     rows = near.groups(hard).collect()
     assert len(rows) == hard.count() and near.groups(hard.limit(0)).count() == 0
