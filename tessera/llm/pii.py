@@ -2,7 +2,7 @@
 
 The base detectors run on the text as it is. Transducers then rewrite it, each output character keeping the span
 of source characters it came from: homoglyphs and foreign digits to ASCII, zero-width characters away, spelled
-digits to digits, "(at)" and "dot" disguises to @ and full stop. The same detectors run on the rewritten text, and
+digits to digits (also where they alternate with figures), "(at)" and "dot" disguises to @ and full stop. The same detectors run on the rewritten text, and
 their spans are mapped back. Base spans always stay; a rewritten span is added where no base span of its kind
 already covers it.
 
@@ -42,12 +42,19 @@ _SEP = r"[ \t]*[-.,/]?[ \t]*"
 #: Three digits in words at least: fewer are prose.
 SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_WORD})(?![^\W_])(?:{_SEP})){{2,}}(?:{_WORD})(?![^\W_])")
 ONE_WORD = re.compile(_WORD)
+#: Words and figures in any order. Such a run is rewritten if it has as many digits as the shortest phone number, or
+#: the three full stops of an address.
+_PART = rf"(?:(?:{_WORD})|[0-9]++)(?![^\W_])"
+MIXED = re.compile(rf"(?<![^\W_]){_PART}(?:[ \t().,/-]{{1,3}}{_PART})+")
+PART = re.compile(rf"{_WORD}|[0-9]+")
+LEAST_DIGITS = 10
 BRACKET_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*")
 BRACKET_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*")
 PLAIN = re.compile(r"(?<![\w.%+-])[a-z0-9._%+-]+(?: (?:dot) [a-z0-9_%+-]+)*(?P<at> at |@)[a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)*(?: dot [a-z0-9-]+)(?![\w-])")
 PLAIN_AT_DOTTED = re.compile(r"(?<![\w.%+-])[a-z0-9._%+-]+ at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk)(?![\w-])")
 #: Cheap signs that a transducer may apply; they only save the slower patterns above.
 TWO_WORDS = re.compile(rf"(?:{_WORD}){_SEP}(?:{_WORD})(?![^\W_])")
+BESIDE_FIGURES = re.compile(rf"(?:{_WORD})[ \t().,/-]{{1,3}}[0-9]|[0-9][ \t().,/-]{{1,3}}(?:{_WORD})(?![^\W_])")
 BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]")
 AT_HOST = re.compile(r" at [a-z0-9-]+\.[a-z0-9-]")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -129,6 +136,29 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _mixed(text: str, low: str) -> list[tuple[int, int, str]]:
+    """Changes that make figures of the words in mixed runs. What stands between a word and its neighbour goes, but for
+    the full stops of an address. A word or two after an identifier in plain figures are prose."""
+    changes, base = [], None
+    for run in MIXED.finditer(low):
+        parts = list(PART.finditer(low, run.start(), run.end()))
+        words = [p[0] in DIGIT_WORDS for p in parts]
+        gaps = [low[p.end() : q.start()] for p, q in zip(parts, parts[1:], strict=False)]
+        address = gaps.count(".") == 3
+        if not any(words) or all(words) or not address and sum(1 if w else len(p[0]) for p, w in zip(parts, words, strict=True)) < LEAST_DIGITS:
+            continue
+        base = detect(text) if base is None else base
+        plain = [(s, e) for s, kind, e in base if kind and s < run.end() and run.start() < e]
+        if plain and all(w or any(s <= p.start() and p.end() <= e for s, e in plain) for p, w in zip(parts, words, strict=True)):
+            continue
+        for i, p in enumerate(parts):
+            beside = i < len(gaps) and (words[i] or words[i + 1]) and not (address and gaps[i] == ".")
+            if words[i] or beside:
+                new = DIGIT_WORDS[p[0]] if words[i] else p[0][-1]
+                changes.append((p.start() if words[i] else p.end() - 1, parts[i + 1].start() if beside else p.end(), new))
+    return changes
+
+
 def deobfuscate(text: str) -> Rewritten | None:
     """None if no transducer applies."""
     found = None
@@ -146,6 +176,8 @@ def deobfuscate(text: str) -> Rewritten | None:
             found.replace(changes)
             low = _lower(found.text)
 
+    if DIGIT.search(low) and BESIDE_FIGURES.search(low):
+        rewrite(_mixed(found.text if found else text, low))
     if TWO_WORDS.search(low):
         changes = []
         for m in SPELLED.finditer(low):

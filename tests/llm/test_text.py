@@ -75,6 +75,14 @@ def test_disguises(text, masked):
     assert pii.masked_text(text) == masked
 
 
+@pytest.mark.parametrize("text, masked", [
+    ("tel +1 4 one 5 5 five 5 2 six 7 one ok", "tel [PHONE] ok"), ("tel +one 4 one 5 5 five 5 2 six 7 1 ok", "tel [PHONE] ok"), ("card 4 one 1 one 1111 1 one 1, one 111 one.", "card [CARD]."), ("host 192.168.one.7 up", "host [IP] up"), ("host 1.two.3.four", "host [IP]"),
+    ("+1 (four 1 five) 555-26 seven 1", "[PHONE]"), ("call +1 415 555 2671, one more time", "call [PHONE], one more time"), ("in 2010 one of 3 men had 4, one 5", "in 2010 one of 3 men had 4, one 5"), ("chapter 1. one day", "chapter 1. one day"),
+])
+def test_words_between_figures(text, masked):
+    assert pii.masked_text(text) == masked
+
+
 def test_long_digits_end():
     assert pii.spans("1" * 200_000 + "." * 1000 + "a" * 100_000) == []
 
