@@ -9,8 +9,8 @@ within it, and otherwise opened; what is left at the bottom is compared in doubl
 A task keeps the links of a pair of nodes as counts and as a star to the smallest vector of each local component,
 never as pairs; equal vectors are one point with a weight.
 
-Defined results: vectors that are null, zero or hold null or non-finite components, vectors of another length than
-the most common one, and rows with null ids link with nothing; rows that share an id count as linked to each other in components, not
+Defined results: vectors that are null, zero or hold null or non-finite components and rows with null ids
+link with nothing; vectors of different lengths do not link, each length is searched by itself; rows that share an id count as linked to each other in components, not
 in n_links; an empty table gives an empty table; other columns are not read.
 
 The driver holds one centre for each block of some 4,096 distinct vectors, and at most 1,024 sampled rows for pivots,
@@ -228,17 +228,9 @@ def _traverse(cosine: float):
     return run
 
 
-def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (smallest id reachable), kept (it is its own component's)."""
-    spark = vectors.sparkSession
-    ship_package(spark)
-    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
-    clean = written(arrow_map(given, _clean, UNIT, rows=2048), "vectors")
-    length = clean.select(F.octet_length("vec").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    usable = clean.where(F.octet_length("vec") == (length.n if length else 0))
-    points = written(usable.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "points")
-
-    n = points.count()
+def _search(points: DataFrame, n: int, cosine: float) -> DataFrame:
+    """Links of ``n`` distinct vectors of one length, as LINKS."""
+    spark = points.sparkSession
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vec").collect()
     tops = pivots(unit(np.array([np.frombuffer(r.vec, np.float64) for r in sample])), min(MOST_PIVOTS, math.ceil(n / BLOCK))) if sample else np.zeros((1, 1))
 
@@ -264,12 +256,26 @@ def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", v
     body = ["ids", "weights", "vecs", "nodes"]
     guests = packed.join(spark.createDataFrame(pairs, "owner long, partner long"), F.col("block") == F.col("partner")).select("owner", "partner", *body)
     work = packed.select(F.col("block").alias("owner"), F.lit(-1).cast("long").alias("partner"), *body).unionByName(guests)
-    found = written(arrow_batches(work.repartition(max(1, len(heads)), "owner").sortWithinPartitions("owner", "partner"), _traverse(cosine), LINKS), "links")
+    return written(arrow_batches(work.repartition(max(1, len(heads)), "owner").sortWithinPartitions("owner", "partner"), _traverse(cosine), LINKS), "links")
+
+
+def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id (smallest id reachable), kept (it is its own component's)."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
+    clean = written(arrow_map(given, _clean, UNIT, rows=2048), "vectors")
+    points = written(clean.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "points")
+    size = F.octet_length("vec")
+    found = spark.createDataFrame([], LINKS)
+    # a point without another of its length has no links but to its own copies
+    for r in points.groupBy(size.alias("size")).count().where("count > 1").orderBy("size").collect():
+        found = found.unionByName(_search(points.where(size == r["size"]), r["count"], cosine))
 
     counts = found.where("n_links > 0").groupBy("vec_id").agg(F.sum("n_links").alias("n"))
     parts = connected_components(found.where("vec_id != root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     rep = points.select("vec", F.col("vec_id").alias("rep"), "weight")
-    members = usable.join(rep, "vec").select("vec_id", "rep", "weight")
+    members = clean.join(rep, "vec").select("vec_id", "rep", "weight")
     told = members.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     yes = told.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rest = given.select("vec_id").exceptAll(members.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -167,3 +167,9 @@ def test_vectors_hard_rows(spark):
     got = vectors.linked(df).collect()
     assert len(got) == len(rows) and {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 2, 1), (2, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (None, 0, None), (8, 0, 8), (9, 0, 9), (10, 2, 1)}
     assert vectors.linked(df.limit(0)).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [1.0]), (7, [2.0])]
+    got = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6)}
