@@ -11,11 +11,13 @@ from pathlib import Path
 
 import numpy as np
 
-from .hashing import mix, span_hashes
+from .hashing import SHORT, span_words, words_hash
 
-#: Chunks kept per Python worker (some 25 bytes each); beyond it the memo starts anew. Bounds memory, never changes
-#: a result: chunks are known by 64-bit hashes, of which two in a million memos of this size agree by chance.
-MEMO_CHUNKS = 3_000_000
+#: Chunks kept per Python worker (some 60 bytes each); beyond it the memo starts anew. Bounds memory, never changes
+#: a result: a chunk is found by a hash of its bytes, but the bytes decide.
+MEMO_CHUNKS = 1_500_000
+#: Longer chunks than this are known by a dictionary of their bytes, or, from the second figure on, not kept at all.
+KEY_BYTES, KEPT_BYTES, LONG_CHUNKS = SHORT - 1, 256, 50_000
 #: From here on, library and Python may not agree on what a letter is; and the marks that never join letters.
 FIRST_UNSURE = "\u0530"
 MARKS = ".,;:!?)]}*%&$#|\"-"
@@ -76,22 +78,42 @@ def spec_digest(spec: tuple[str, str | bytes]) -> str:
 
 
 class Memo:
-    """Ids of chunks by hash: sorted keys, with each chunk's place in one pool of ids."""
+    """Ids of chunks by their bytes. Rows are in order of arrival: a chunk's words, and its place in one pool of ids;
+    sorted hashes of the words lead to the rows."""
 
     def __init__(self, dtype: np.dtype):
-        self.keys, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words = [np.zeros(1 << 14, np.uint64) for _ in range(SHORT // 8)]
+        self.place, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.pool, self.used = np.zeros(1 << 16, dtype), 0
 
-    def add(self, keys: np.ndarray, ids: list[int], lengths: list[int]) -> None:
-        """``keys`` ascending and new; ``ids`` of all chunks, one after the other."""
-        length, total = np.array(lengths, np.int32), len(ids)
-        while self.used + total > len(self.pool):
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key; -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.row[at], -1)
+
+    def room(self, ids: list[int]) -> int:
+        """Puts ids behind those in use, where the next call overwrites them unless they are kept; their place."""
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-        self.pool[self.used : self.used + total] = ids
+        self.pool[self.used : self.used + len(ids)] = ids
+        return self.used
+
+    def add(self, keys: np.ndarray, words: list[np.ndarray], ids: list[int], lengths: list[int]) -> None:
+        """``keys`` ascending and new; ``ids`` of all chunks, one after the other."""
+        n, more, length = len(self.keys), len(keys), np.array(lengths, np.int32)
+        while n + more > len(self.place):
+            self.words = [np.r_[w, np.zeros_like(w)] for w in self.words]
+            self.place, self.length = np.r_[self.place, np.zeros_like(self.place)], np.r_[self.length, np.zeros_like(self.length)]
+        for own, new in zip(self.words, words, strict=True):
+            own[n : n + more] = new
+        self.place[n : n + more] = self.room(ids) + np.cumsum(length, dtype=np.int64) - length
+        self.length[n : n + more] = length
+        self.used += len(ids)
         at = np.searchsorted(self.keys, keys)
-        self.place = np.insert(self.place, at, self.used + np.cumsum(length, dtype=np.int64) - length)
-        self.length, self.keys = np.insert(self.length, at, length), np.insert(self.keys, at, keys)
-        self.used += total
+        self.keys, self.row = np.insert(self.keys, at, keys), np.insert(self.row, at, np.arange(n, n + more, dtype=np.int32))
 
 
 def _uneven(raw: np.ndarray) -> np.ndarray:
@@ -110,7 +132,8 @@ def _uneven(raw: np.ndarray) -> np.ndarray:
 
 
 _KIND = np.zeros(256, np.uint8)
-_KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+#: Among them the zero byte, with which chunks are filled up.
+_KIND[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = 2
 _KIND[[10, 32]] = 1
 #: Every other character that counts as white space, in UTF-8, by first byte.
 _WIDE_SPACE: dict[int, list[bytes]] = {}
@@ -145,6 +168,7 @@ class Encoder:
             self.specials = [] if specials_as_text else [t["content"] for t in form.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.memo = Memo(self.dtype)
+        self.long: dict[tuple[int, bytes], list[int]] = {}
         if self.chunks:
             self.newline = self._ids(["\n"])[0].tolist()
 
@@ -214,25 +238,50 @@ class Encoder:
         heads = np.r_[0, ends[:-1]]
         first = np.searchsorted(start, heads)
         before[first] = 0
-        keys, at, inverse = np.unique(mix(span_hashes(raw, start, end) + before), return_index=True, return_inverse=True)
         if len(self.memo.keys) > MEMO_CHUNKS:
             self.memo = Memo(self.dtype)
-        place = np.searchsorted(self.memo.keys, keys)
-        known = np.zeros(len(keys), bool)
-        known[inside] = self.memo.keys[place[inside]] == keys[inside] if (inside := place < len(self.memo.keys)).any() else False
-        new = np.flatnonzero(~known)
-        if len(new):
-            lead = before[at[new]].tolist()
-            chunks = [joined[s:e].decode() for s, e in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-            self.memo.add(keys[new], *self._learn(chunks, lead))
-            place = np.searchsorted(self.memo.keys, keys)
-        place = place[inverse]
-        length = self.memo.length[place].astype(np.int64)
+        place, length = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        short = np.flatnonzero(end - start <= KEY_BYTES)
+        place[short], length[short], unlike = self._short(joined, raw, start[short], end[short], before[short])
+        long = np.flatnonzero(end - start > KEY_BYTES)
+        if len(long):
+            each = [self._long(int(before[i]), joined[start[i] : end[i]]) for i in long.tolist()]
+            length[long] = [len(x) for x in each]
+            place[long] = self.memo.room([i for x in each for i in x]) + np.cumsum(length[long]) - length[long]
         done = np.cumsum(length)
-        ids = self.memo.pool[np.repeat(self.memo.place[place] - (done - length), length) + np.arange(done[-1])]
+        ids = self.memo.pool[np.repeat(place - (done - length), length) + np.arange(done[-1])]
         borders = np.r_[(done - length)[first], done[-1]].tolist()
+        other = set((np.searchsorted(first, short[unlike], "right") - 1).tolist())
         for k, i in enumerate(which):
-            out[i] = ids[borders[k] : borders[k + 1]]
+            if k not in other:
+                out[i] = ids[borders[k] : borders[k + 1]]
+
+    def _short(self, joined: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of the ids of each chunk, and which chunks share a hash with other bytes: those are not told."""
+        words = span_words(raw, start, end)
+        words[-1] |= before << np.uint64(8 * (KEY_BYTES % 8))
+        keys, at, inverse = np.unique(words_hash(words), return_index=True, return_inverse=True)
+        row = self.memo.find(keys)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            chunks = [joined[s:e].decode() for s, e in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            row[new] = np.arange(len(self.memo.keys), len(self.memo.keys) + len(new))
+            self.memo.add(keys[new], [w[at[new]] for w in words], *self._learn(chunks, before[at[new]].tolist()))
+        row = row[inverse]
+        unlike = np.zeros(len(row), bool)
+        for own, word in zip(self.memo.words, words, strict=True):
+            unlike |= own[row] != word
+        return self.memo.place[row], self.memo.length[row], np.flatnonzero(unlike)
+
+    def _long(self, lead: int, chunk: bytes) -> list[int]:
+        known = self.long.get((lead, chunk))
+        if known is None:
+            known = self._learn([chunk.decode()], [lead])[0]
+            if len(chunk) <= KEPT_BYTES:
+                if len(self.long) >= LONG_CHUNKS:
+                    self.long.clear()
+                self.long[lead, chunk] = known
+        return known
 
 
 _made: dict[tuple, Encoder] = {}

@@ -30,6 +30,42 @@ def test_encoder_equals_libraries():
         assert [x.tolist() for x in by_ranks.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+def test_bytes_decide_what_is_known(monkeypatch):
+    plain = Tokenizer.from_file(JSON)
+    texts = [t for n in (8, 16, 32, 1024, 2048, 65536) for w in thue_morse(n) for t in (w, f"x {w}\n{w[::-1]}")] + ["a", "a\0", "x" * 31 + " " + "x" * 32] + ODD
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for few in (None, 3):
+        if few:  # most chunks share a hash
+            real = tokens.words_hash
+            monkeypatch.setattr(tokens, "words_hash", lambda words: real(words) % np.uint64(few))
+        enc = tokens.Encoder(tokens.load_spec(JSON))
+        for _ in range(2):
+            assert [x.tolist() for x in enc.encode(texts)] == want
+
+
+def test_colliding_chunks_in_the_operators(spark, tmp_path):
+    plain = Tokenizer.from_file(JSON)
+    texts = [w for n in (1024, 2048, 65536) for w in thue_morse(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(df, RANKS, P.PATTERN).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    counted = {r.doc_id: r.n_tokens for r in counts.token_counts(df, JSON, f"file://{tmp_path}/cache").collect()}
+    assert [counted[i] for i in range(len(texts))] == [len(x) for x in want]
+    records.write(df, f"file://{tmp_path}/records", JSON)
+    read = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in records.read(spark, f"file://{tmp_path}/records").collect()}
+    assert [read[i] for i in range(len(texts))] == [[*x, 0] for x in want]
+    packed = packing.pack_documents(df, JSON).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {i: len(x) for i, x in enumerate(want)}
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers(name):
     enc = tokens.Encoder(tokens.load_spec(P.path(name)))
