@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -33,6 +34,72 @@ def test_links_beside_a_marked_article():
     assert html_text.main_text(PAGE % f"<main><h1>Title</h1>{article}{menu}<p>By <b>me</b></p></main>") == "\n".join(["Title", *parts, "Source", "By me"])
 
 
+LINE = "Some words that make a paragraph of a fair length, so that it counts as text."
+PARAGRAPHS = f"<p>One. {LINE}</p><p>Two. {LINE}</p>"
+BOTH = f"One. {LINE}\nTwo. {LINE}"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<article class="post has-sidebar">{PARAGRAPHS}</article>', BOTH), (f'<article class="tag-menu hentry">{PARAGRAPHS}</article>', BOTH), (f'<div id="page" class="with-sidebar"><main>{PARAGRAPHS}</main></div>', BOTH),
+    (f'<div class="social-science">{PARAGRAPHS}</div>', BOTH), (f'<article><p>Zero.</p><section class="related-work">{PARAGRAPHS}</section></article>', f"Zero.\n{BOTH}"),
+    ("<article><h2>T</h2><p>one</p></article><article><h2>U</h2><p>two</p></article>", "T\none\nU\ntwo"), (f"<form><div>{PARAGRAPHS}<input></div></form><div>(c) me</div>", BOTH), (f'<div class="widget"><div class="nav">x</div>{PARAGRAPHS}</div>', BOTH),
+    (f'<p>Short news.</p><div id="comments"><article class="comment">{PARAGRAPHS * 9}</article></div>', "Short news."), (f'<aside><article class="teaser"><p>{LINE}</p></article></aside><article>{PARAGRAPHS}</article>', BOTH),
+    ('<div class="nav">' * 3000 + LINE, LINE),
+])
+def test_hints(page, text):
+    assert html_text.main_text(page) == text
+
+
+def brute_choice(root):
+    """The node of the largest density sum above the threshold, from the formula, by plain recursion."""
+
+    def walk(n):
+        return [n] + [x for c in n.children if not isinstance(c, str) for x in walk(c)]
+
+    def text(n, links=False):
+        return sum((len(" ".join(c.split())) if not links else 0) if isinstance(c, str) else text(c, links and c.tag != "a") for c in n.children)
+
+    def density(n):
+        c, t = text(n), len(walk(n))
+        lc = text(n) if n.tag == "a" else text(n, True)
+        lt = sum(x.tag == "a" for x in walk(n))
+        if not c:
+            return 0.0
+        inner = math.log(c / max(c - lc, 1) * lc + text(root, True) / max(text(root), 1) * c + math.e)
+        return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0) / (max(math.log(inner), 1e-9) if inner > 1.0001 else 1e-4)
+
+    nodes = [n for n in walk(root) if text(n)]
+    densest = max(nodes, key=density)
+    path, n = [], densest
+    while n is not None:
+        path.append(density(n))
+        n = n.parent
+    total = lambda n: sum(density(c) for c in n.children if not isinstance(c, str)) or density(n)
+    best = max((total(n) for n in nodes if density(n) >= min(path)), default=None)
+    return min(path), best, total
+
+
+@given(st.recursive(st.sampled_from(["word", "a longer piece of text, with some words", ""]), lambda kids: st.tuples(st.sampled_from(["div", "a", "span", "section"]), st.lists(kids, max_size=4)), max_leaves=25))
+def test_density_against_brute_force(tree):
+    def write(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(write, x[1]))}</{x[0]}>"
+
+    root = html_text.parse(write(tree))
+    order = [n for n in html_text.measure(root) if n.chars]
+    if not order:
+        assert html_text.article(root) == []
+        return
+    threshold, best, total = brute_choice(root)
+    assert all(math.isclose(n.sum, total(n), abs_tol=1e-9) for n in order)
+    above = [n for n in order if n.density >= threshold - 1e-12]
+    assert math.isclose(max(n.sum for n in above), best, abs_tol=1e-9)
+    chosen, = html_text.article(root)
+    node = max(above, key=lambda n: n.sum)
+    while node is not None and node is not chosen:  # what is taken is the choice or what holds it
+        node = node.parent
+    assert node is chosen
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<!-- b", "a"), ("<script>x", ""), ("<p>a</p", "a"), ("<div><p>x &eacute;&nbsp; y</p></div>", "x é y"), ("</p></div>", ""), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
 def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
