@@ -7,7 +7,13 @@ their spans are mapped back. Base spans always stay; a rewritten span is added w
 already covers it.
 
 Defined results: null text is empty and has no spans; offsets are code points, ends exclusive; repeated rows each
-get their own output row; an empty table gives an empty table; other columns are not read (``redact`` keeps them).
+get their own output row; spans of different kinds may overlap and are all told, in order of start and kind (masking
+takes the one that starts first, then the longest); texts of any length take time in proportion to their length; an
+empty table gives an empty table; other columns are not read (``redact`` keeps them).
+
+What is not found: an address with " at " and a host in plain writing after a word that prose has there ("find us at
+example.org"), a host whose ending is neither of two letters nor in ENDINGS unless its full stop is disguised, and
+identifiers split over lines by words.
 """
 
 from __future__ import annotations
@@ -50,15 +56,25 @@ PART = re.compile(rf"{_WORD}|[0-9]+")
 LEAST_DIGITS = 10
 BRACKET_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*")
 BRACKET_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*")
-PLAIN = re.compile(r"(?<![\w.%+-])[a-z0-9._%+-]+(?: (?:dot) [a-z0-9_%+-]+)*(?P<at> at |@)[a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)*(?: dot [a-z0-9-]+)(?![\w-])")
-PLAIN_AT_DOTTED = re.compile(r"(?<![\w.%+-])[a-z0-9._%+-]+ at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk)(?![\w-])")
+#: Walks outwards from an " at " or a spaced mark: the local part before it, the labels after it.
+AT = re.compile(r" at | ?@ ?")
+LOCAL_WORD = re.compile(r"[a-z0-9_%+-][a-z0-9._%+-]*")
+LABEL = re.compile(r"[a-z0-9-]+")
+LABEL_DOT = re.compile(r" dot | ?\. ?")
+LOCAL_DOT = " dot "
+#: Endings of host names beside those of two letters.
+ENDINGS = frozenset("com org net edu gov mil int info biz name dev app xyz online site shop tech cloud email".split())
+#: Words before " at " that go on in prose ("find us at example.org"): with a host in plain writing they are no address.
+PROSE = frozenset("us me it them him her you here there online available found find look looking visit more page pages site website and is are was were be shop download read see live located hosted posted published".split())
+#: Full stops of an address in words or brackets are found between its figures.
+IP_DOTS = re.compile(r"(?<![\w.])[0-9]{1,3}(?: dot [0-9]{1,3}| ?\. ?[0-9]{1,3}){3}(?![\w]|\.[0-9])")
+SPACED_DOT = re.compile(r" dot | ?\. ?")
 #: Cheap signs that a transducer may apply; they only save the slower patterns above.
 TWO_WORDS = re.compile(rf"(?:{_WORD}){_SEP}(?:{_WORD})(?![^\W_])")
 BESIDE_FIGURES = re.compile(rf"(?:{_WORD})[ \t().,/-]{{1,3}}[0-9]|[0-9][ \t().,/-]{{1,3}}(?:{_WORD})(?![^\W_])")
 BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]")
-AT_HOST = re.compile(r" at [a-z0-9-]+\.[a-z0-9-]")
+FIGURE_DOT = re.compile(r"[0-9] (?:dot|\.)|[0-9]\. [0-9]")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-AT_OR_DOT = re.compile(r" (at|dot) ")
 
 
 def luhn(digits: str) -> bool:
@@ -159,6 +175,63 @@ def _mixed(text: str, low: str) -> list[tuple[int, int, str]]:
     return changes
 
 
+def _local_start(low: str, done: int, end: int) -> int:
+    """Where the local part that ends at ``end`` begins, not before ``done``; words may be joined by " dot "."""
+    start = end
+    while True:
+        at = start
+        while at > done and low[at - 1] in LOCAL:
+            at -= 1
+        if at == start:
+            return start + len(LOCAL_DOT) if start < end else end
+        start = at
+        if start - len(LOCAL_DOT) < done or not low.startswith(LOCAL_DOT, start - len(LOCAL_DOT)):
+            return start
+        start -= len(LOCAL_DOT)
+
+
+def _disguised(text: str, low: str) -> list[tuple[int, int, str]]:
+    """Changes that make an address of words around an " at " or a mark with spaces. Each is walked from once, left to
+    the one before and right to the first word that no full stop joins, so the work follows the text's length."""
+    changes, done = [], 0
+    for m in AT.finditer(low):
+        if m.start() < done or m.end() < len(low) and not LABEL.match(low, m.end()):
+            continue
+        start = _local_start(low, done, m.start())
+        if start >= m.start() or not LOCAL_WORD.match(low, start):
+            continue
+        label = LABEL.match(low, m.end())
+        dots = []
+        while label:
+            end = label.end()
+            dot = LABEL_DOT.match(low, end)
+            label = LABEL.match(low, dot.end()) if dot else None
+            if label:
+                dots.append((dot.start(), dot.end(), label.start(), label.end()))
+        # a sentence may go on after the host: labels count up to the last that a host may end with
+        spelt = m[0] == " at "
+        while dots:
+            a, b, x, y = dots[-1]
+            ending = low[x:y]
+            said = any(low[p:q] == LOCAL_DOT for p, q, _, _ in dots)
+            loose = any(low[p:q] != "." for p, q, _, _ in dots)
+            known = ending in ENDINGS or len(ending) == 2 and ending.isalpha()
+            if low[a:b] == LOCAL_DOT and ending.isalnum() or known and text[x:y] == ending and low[a:b] in (".", " . ", " ."):
+                break
+            dots.pop()
+        if not dots or not (spelt or loose or said or m[0] != "@"):
+            continue
+        if spelt and not said and (loose or low[start : m.start()] in PROSE):
+            continue  # "at example . com" after plain words is prose
+        done = dots[-1][3]
+        inner, at = [], low.find(LOCAL_DOT, start, m.start())
+        while at >= 0:
+            inner.append((at, at + len(LOCAL_DOT), "."))
+            at = low.find(LOCAL_DOT, at + len(LOCAL_DOT), m.start())
+        changes += [*inner, (m.start(), m.end(), "@"), *((a, b, ".") for a, b, _, _ in dots)]
+    return [(a, b, new) for a, b, new in changes if low[a:b] != new]
+
+
 def deobfuscate(text: str) -> Rewritten | None:
     """None if no transducer applies."""
     found = None
@@ -187,10 +260,10 @@ def deobfuscate(text: str) -> Rewritten | None:
     if BRACKETED.search(low):
         rewrite([(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(low)])
         rewrite([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(low)])
-    for pattern, applies in ((PLAIN, " dot " in low), (PLAIN_AT_DOTTED, bool(AT_HOST.search(low)))):
-        if applies:
-            changes = [(m.start() + w.start(), m.start() + w.end(), "@" if w[1] == "at" else ".") for m in pattern.finditer(low) for w in AT_OR_DOT.finditer(m[0])]
-            rewrite(changes)
+    if FIGURE_DOT.search(low):
+        rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in IP_DOTS.finditer(low) if " dot " in m[0] or m[0].count(" . ") == 3 for d in SPACED_DOT.finditer(m[0]) if d[0] != "."])
+    if " at " in low or "@" in low:
+        rewrite(_disguised(found.text if found else text, low))
     return found
 
 

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -150,6 +151,26 @@ def test_words_between_figures(text, masked):
     assert pii.masked_text(text) == masked
 
 
+@pytest.mark.parametrize("text, masked", [
+    ("john at example.it", "[EMAIL]"), ("user at sub.example.co.jp now", "[EMAIL] now"), ("john @ example . com", "[EMAIL]"), ("bob @example.com", "[EMAIL]"), ("john@example dot com", "[EMAIL]"), ("a dot b at c dot de. then", "[EMAIL]. then"),
+    ("192 dot 168 dot 1 dot 1", "[IP]"), ("host 192 . 168 . 1 . 1", "host [IP]"), ("host 10 [.] 0 [.] 0 [.] 7", "host [IP]"), ("find us at example.org", "find us at example.org"), ("look at home.It was", "look at home.It was"),
+    ("price @ 3.50 us, at st. petersburg", "price @ 3.50 us, at st. petersburg"), ("at 5.30 pm, at fig. 3", "at 5.30 pm, at fig. 3"),
+])
+def test_plain_disguises(text, masked):
+    assert pii.masked_text(text) == masked
+
+
+@pytest.mark.parametrize("piece", ["a dot ", "a at ", "a at b dot ", "a at b.c", "@ ", "1 dot ", "one ", "one 1 ", "[at]", "1 one.", "+1 "])
+def test_time_follows_length(piece):
+    def seconds(n):
+        text, began = piece * (n // len(piece)), time.perf_counter()
+        pii.spans(text)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < 60 * (seconds(50_000) + 0.02)
+
+
 def test_long_digits_end():
     assert pii.spans("1" * 200_000 + "." * 1000 + "a" * 100_000) == []
 
