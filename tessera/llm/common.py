@@ -17,9 +17,12 @@ SLICE_ROWS = 256
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; without that setting (tests), under /tmp."""
+    """A new path under ``spark.checkpoint.dir``. Without that setting a local master (tests) gets a folder under /tmp;
+    on a cluster it is an error, since each executor would write to its own disk."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -80,6 +83,24 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: A key that holds more than this part of a partition's share of rows is joined where its rows are.
+HOT_PART = 4
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` to ``keyed``, which has one row a key and in ``weight`` how many rows that key has. Hot
+    keys, of which there can be HOT_PART for each partition at most, are broadcast, so that no task gets all rows of one;
+    the rest shuffles. Both sides are read twice: hand in written tables."""
+    parts = parts_for(rows)
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = keyed.where(F.col(weight) > max(1, total // (HOT_PART * parts)))
+    keys = hot.select(key)
+    if keys.isEmpty():
+        return rows.join(keyed, key)
+    cold = rows.join(F.broadcast(keys), key, "left_anti").join(keyed.join(F.broadcast(keys), key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate from file sizes; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,20 +1,25 @@
 """Operator 6: pairs of vectors with cosine at or above a threshold, by dual traversal of cover trees.
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c). Vectors are dealt to cells by their nearest pivot and
-cells cut into blocks of bounded size. Each block is a cover tree: nested levels of centres with halving radii, from the
-threshold's distance down (balls wider than that overlap too much to be told apart), a node's points in one range. Two blocks, and inside them two nodes, are passed over where the distance of their
-centres exceeds both covering radii and the threshold together, taken whole where even the farthest points are
-within it, and otherwise opened; what is left at the bottom is compared in double precision. Pairs are exact.
-
-A task keeps the links of a pair of nodes as counts and as a star to the smallest vector of each local component,
-never as pairs; equal vectors are one point with a weight.
-
-Defined results: vectors that are null, zero or hold null or non-finite components and rows with null ids
-link with nothing; vectors of different lengths do not link, each length is searched by itself; rows that share an id count as linked to each other in components, not
-in n_links; an empty table gives an empty table; other columns are not read.
-
-The driver holds one centre for each block of some 4,096 distinct vectors, and at most 1,024 sampled rows for pivots,
-which only steer where vectors go, not what is found.
+cells cut into blocks of bounded size. Each block is a cover tree: nested levels of centres with halving radii; a node's
+points stand in one range. The widest level is the widest whose balls can be apart at all on the unit sphere, (2 -
+reach) / 2. Two blocks, and inside them two nodes, are passed over where the distance of their centres exceeds both
+covering radii and the threshold together, taken whole where even the farthest points are within it, and otherwise
+opened; what is left at the bottom is compared in double precision. Pairs are exact.
+
+A task gets one pair of blocks and tells, for each of their points, how many links it has and one other point of its
+local component: rows grow with points, not with links. Equal vectors are one point with a weight.
+
+Defined results: vectors that are null, zero or hold null or non-finite components and rows with null ids link with
+nothing; vectors of different lengths do not link, each length is searched by itself; rows that share an id are told
+apart, each with its own links, and only their ids are compared for ``kept``; repeated rows link with each other; an
+empty table gives an empty table; other columns are not read.
+
+At scale: a vector is copied once for each block that its own may reach. Their number is BLOCKS while blocks hold at
+most BLOCK_BYTES, so small tables move in proportion to their size; beyond, it grows with the table, less what bounds
+prune: of directions without structure in many dimensions no metric bound prunes anything, and the work is quadratic. The
+driver holds at most 1,024 sampled rows for pivots, which only steer where vectors go, not what is found; pairs of blocks
+are found by executors.
 """
 
 from __future__ import annotations
@@ -28,19 +33,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_batches, arrow_map, connected_components, slices, written
+from .common import arrow_batches, arrow_map, connected_components, join_counted, slices, written
 
-BLOCK = 4096
+#: Blocks that a table is cut into at least, points in a block at least, and bytes of vectors in one at most.
+BLOCKS, LEAST_BLOCK, BLOCK_BYTES = 8, 1024, 16 << 20
 PIVOT_SAMPLE, MOST_PIVOTS = 1024, 256
-LEVELS = 3
+#: Blocks whose centres are compared at once.
+HEADS = 2048
+#: Levels below the threshold's distance.
+FINER = 2
 #: Slack for rounding in bounds; compared vectors decide by their own cosine.
 SLACK = 1e-7
-#: Node pairs of fewer point pairs than this are compared at once.
-SMALL = 1 << 14
+#: Node pairs of fewer point pairs than this are compared at once; and the most distances that are taken at once.
+SMALL, AT_ONCE = 1 << 14, 1 << 22
+#: Tasks that pairs of blocks are dealt to at most.
+MOST_TASKS = 20_000
+#: Links that a task holds before it makes stars of them.
+MOST_EDGES = 1 << 20
 
 UNIT = "vec_id long, vec binary"
 PACKED = "block long, ids binary, weights binary, vecs binary, nodes binary, centre binary, radius double"
-LINKS = "vec_id long, n_links long, root long"
+LINKS = "point long, n_links long, root long"
 
 
 def unit(vecs: np.ndarray) -> np.ndarray:
@@ -49,15 +62,15 @@ def unit(vecs: np.ndarray) -> np.ndarray:
 
 
 def _clean(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Usable vectors as the bytes of doubles."""
-    ids, out = [], []
-    for i, v in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-        if i is not None and v.is_valid and v.values.null_count == 0 and len(v.values):
+    """Vectors as the bytes of doubles; null where a row can have no links."""
+    out = []
+    for i, v in zip(part.column(0), part.column(1), strict=True):
+        x = None
+        if i.is_valid and v.is_valid and v.values.null_count == 0 and len(v.values):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                ids.append(i)
-                out.append((x / top).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vec"])
+            x = (x / top).tobytes() if np.isfinite(x).all() and (top := np.abs(x).max()) > 0 else None
+        out.append(x)
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
 
 def pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -86,17 +99,25 @@ def net(x: np.ndarray, own: np.ndarray, radius: float) -> Iterator[tuple[np.ndar
         own = own[left]
 
 
-def cover_tree(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+def level_radii(reach: float) -> list[float]:
+    """Radii that halve from the widest that may prune, to FINER levels below the threshold's distance."""
+    wider = 0
+    while reach * 2 ** (wider + 1) <= (2 - reach) / 2:
+        wider += 1
+    return [reach * 2.0**k for k in range(wider, -FINER - 1, -1)]
+
+
+def cover_tree(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """(order of the points, nodes): a node is (level, start, end, first child, end of children, radius) over the
     ordered points, its centre being its first point. Each level halves the radius of the one above."""
     order = np.arange(len(x))
     levels: list[list[tuple[int, int, float]]] = []
     ranges = [(0, len(x))] if len(x) else []
-    for level in range(LEVELS):
+    for radius in level_radii(reach):
         nodes = []
         for start, end in ranges:
             pieces = []
-            for points, reached in net(x, order[start:end], top / 2**level):
+            for points, reached in net(x, order[start:end], radius):
                 nodes.append((start, start + len(points), reached))
                 start += len(points)
                 pieces.append(points)
@@ -114,13 +135,13 @@ def cover_tree(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(rows, dtype=np.float64).reshape(-1, 6)
 
 
-def _pack(table: pa.Table, top: float) -> pa.Table:
-    ids = table.column("vec_id").to_numpy()
+def _pack(table: pa.Table, reach: float) -> pa.Table:
+    ids = table.column("point").to_numpy()
     vecs = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
     x = unit(vecs)
     by_id = np.argsort(ids, kind="stable")
     ids, x, weights = ids[by_id], x[by_id], table.column("weight").to_numpy()[by_id]
-    order, nodes = cover_tree(x, top)
+    order, nodes = cover_tree(x, reach)
     centre = x.mean(axis=0)
     radius = float(np.linalg.norm(x - centre, axis=1).max())
     row = [table.column("block")[0].as_py(), ids[order].tobytes(), weights[order].astype(np.int64).tobytes(), x[order].tobytes(), nodes.tobytes(), centre.tobytes(), radius]
@@ -137,126 +158,199 @@ class Tree:
         self.links = np.zeros(len(self.ids), np.int64)
 
 
+def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least point that each of ``n`` points reaches over the edges (u, v)."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        if not len(u):
+            break
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label != (up := label[label])).any():
+            label = up
+    return label
+
+
 class Join:
     """Dual traversal of two trees, or of one with itself."""
 
     def __init__(self, cosine: float):
         self.cosine, self.reach = cosine, math.sqrt(2 - 2 * cosine)
 
-    def run(self, s: Tree, t: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Adds to both trees' link counts; yields (vectors, root) stars of local components."""
-        same = s is t
+    def run(self, s: Tree, t: Tree) -> np.ndarray:
+        """Adds to both trees' link counts; the component of each point of ``s`` and then, if it is another, of ``t``."""
+        same, self.edges, self.held = s is t, [], 0
+        self.shift, n = 0 if same else len(s.ids), len(s.ids) if same else len(s.ids) + len(t.ids)
         todo = [(s.root, t.root)]
         while todo:
             i, j = todo.pop()
+            rows = max(1, AT_ONCE // max(1, len(j)))
+            if len(i) > rows:
+                todo += [(i[k : k + rows], j) for k in range(0, len(i), rows)]
+                continue
             gap = np.sqrt(np.maximum(2 - 2 * (s.x[s.start[i]] @ t.x[t.start[j]].T), 0))
             near = gap <= s.radius[i][:, None] + t.radius[j][None, :] + self.reach + SLACK
             if same:
+                # nodes of one level stand in the order of their numbers: a pair is met once
                 near &= i[:, None] <= j[None, :]
             for p, q in zip(*np.nonzero(near), strict=True):
                 a, b, d = i[p], j[q], gap[p, q]
                 size = (s.end[a] - s.start[a]) * (t.end[b] - t.start[b])
                 if not (same and a == b) and d + s.radius[a] + t.radius[b] <= self.reach - 1e-6:
-                    yield from self.whole(s, t, a, b)
+                    self.whole(s, t, a, b)
                 elif size <= SMALL or s.a[a] == s.b[a] or t.a[b] == t.b[b]:
-                    yield from self.compare(s, t, a, b, same and a == b)
+                    self.compare(s, t, a, b, same and a == b)
                 else:
                     todo.append((np.arange(s.a[a], s.b[a]), np.arange(t.a[b], t.b[b])))
-                    # one level down the pairs below the diagonal of a node with itself come back by symmetry
-
-    def whole(self, s: Tree, t: Tree, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, y = slice(s.start[a], s.end[a]), slice(t.start[b], t.end[b])
+            if self.held > MOST_EDGES:
+                label = components(n, *self.all_edges())
+                own = np.flatnonzero(label != np.arange(n))
+                self.edges, self.held = [(own, label[own])], 0
+        return components(n, *self.all_edges())
+
+    def all_edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.edges:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*self.edges, strict=True))
+
+    def link(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Edges between points of the one tree and of the other."""
+        self.edges.append((u, v + self.shift))
+        self.held += len(u)
+
+    def whole(self, s: Tree, t: Tree, a: int, b: int) -> None:
+        x, y = np.arange(s.start[a], s.end[a]), np.arange(t.start[b], t.end[b])
         s.links[x] += t.weights[y].sum()
         t.links[y] += s.weights[x].sum()
-        ids = np.concatenate([s.ids[x], t.ids[y]])
-        yield ids, np.full(len(ids), ids.min())
-
-    def compare(self, s: Tree, t: Tree, a: int, b: int, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, y = slice(s.start[a], s.end[a]), slice(t.start[b], t.end[b])
-        hit = s.x[x] @ t.x[y].T >= self.cosine
-        if itself:
-            np.fill_diagonal(hit, False)
-        if not hit.any():
-            return
-        s.links[x] += hit @ t.weights[y]
-        if not itself:
-            t.links[y] += hit.T @ s.weights[x]
-        rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-        hit = hit[np.ix_(rows, cols)]
-        left, right = s.ids[x][rows], t.ids[y][cols]
-        own, other, most = left.copy(), right.copy(), np.iinfo(np.int64).max
-        while True:
-            new = np.minimum(own, np.where(hit, other[None, :], most).min(axis=1))
-            back = np.minimum(other, np.where(hit, new[:, None], most).min(axis=0))
-            if (new == own).all() and (back == other).all():
-                break
-            own, other = new, back
-        yield np.concatenate([left, right]), np.concatenate([own, other])
+        self.link(x, np.full(len(x), y[0]))
+        self.link(np.full(len(y), x[0]), y)
+
+    def compare(self, s: Tree, t: Tree, a: int, b: int, itself: bool) -> None:
+        """All points of two nodes, in slices. A slice's links are told by one partner for each point, and one for each
+        partner; where that leaves points unjoined that share partners, all links are."""
+        rows = max(1, AT_ONCE // max(1, t.end[b] - t.start[b]))
+        y = slice(t.start[b], t.end[b])
+        for start in range(s.start[a], s.end[a], rows):
+            x = slice(start, min(start + rows, s.end[a]))
+            hit = s.x[x] @ t.x[y].T >= self.cosine
+            if itself:
+                at = np.arange(x.start, x.stop)
+                hit[at - x.start, at - y.start] = False
+            if not hit.any():
+                continue
+            s.links[x] += hit @ t.weights[y]
+            if not itself:
+                t.links[y] += hit.T @ s.weights[x]
+            left, right = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+            hit = hit[np.ix_(left, right)]
+            # rounds of labels over the slice: each partner takes its least point, each point its least partner's
+            own, most = np.arange(len(left)), len(left)
+            while True:
+                other = np.where(hit, own[:, None], most).min(axis=0)
+                new = np.minimum(own, np.where(hit, other[None, :], most).min(axis=1))
+                if (new == own).all():
+                    break
+                own = new
+            self.link(x.start + left[other], y.start + right)
+            self.link(x.start + left, y.start + right[hit.argmax(axis=1)])
 
 
 def _traverse(cosine: float):
     join = Join(cosine)
 
-    def out(ids: np.ndarray, links: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(roots)], ["vec_id", "n_links", "root"])
-
-    def counted(tree: Tree) -> pa.RecordBatch:
-        some = tree.links > 0
-        batch = out(tree.ids[some], tree.links[some], tree.ids[some])
-        tree.links[:] = 0
-        return batch
+    def out(trees: list[Tree], label: np.ndarray) -> pa.RecordBatch:
+        ids, links = (np.concatenate([getattr(t, k) for t in trees]) for k in ("ids", "links"))
+        some = np.flatnonzero(links > 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["point", "n_links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, tree = None, None
+        first = None
         for part in slices(batches, 1):
-            block, partner, ids, weights, vecs, nodes = (c[0].as_py() for c in part.columns)
-            other = Tree(ids, weights, vecs, nodes)
-            if partner == -1:
-                if tree is not None:
-                    yield counted(tree)
-                owner, tree, other = block, other, None
-            if tree is None or owner != block:
-                raise RuntimeError("a block came without its owner")
-            for members, roots in join.run(tree, tree if other is None else other):
-                keep = members != roots
-                yield out(members[keep], np.zeros(keep.sum(), np.int64), roots[keep])
-            if other is not None:
-                yield counted(other)
-        if tree is not None:
-            yield counted(tree)
+            one, two, block, *body = (c[0].as_py() for c in part.columns)
+            tree = Tree(*body)
+            if one != two and block == one:
+                first = (one, two), tree
+                continue
+            if one == two:
+                trees = [tree, tree]
+            elif first is None or first[0] != (one, two):
+                raise RuntimeError("a block came without the one before it")
+            else:
+                trees = [first[1], tree]
+            label = join.run(*trees)
+            first = None
+            yield out(trees[:1] if one == two else trees, label)
 
     return run
 
 
-def _search(points: DataFrame, n: int, cosine: float) -> DataFrame:
-    """Links of ``n`` distinct vectors of one length, as LINKS."""
-    spark = points.sparkSession
-    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vec").collect()
-    tops = pivots(unit(np.array([np.frombuffer(r.vec, np.float64) for r in sample])), min(MOST_PIVOTS, math.ceil(n / BLOCK))) if sample else np.zeros((1, 1))
+def _near_heads(reach: float):
+    """Over heads sorted by cell (group, group): pairs (one, two) of blocks that may hold links, one <= two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def pairs() -> pa.RecordBatch:
+            group, block, radius = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+            centre = np.array([np.frombuffer(r[3], np.float64) for r in rows])
+            left, right = np.flatnonzero(group == cell[0]), np.flatnonzero(group == cell[1])
+            one, two = [], []
+            for start in range(0, len(left), 256):
+                i = left[start : start + 256]
+                square = (centre[i] ** 2).sum(axis=1)[:, None] + (centre[right] ** 2).sum(axis=1)[None, :] - 2 * centre[i] @ centre[right].T
+                near = np.sqrt(np.maximum(square, 0)) <= radius[i][:, None] + radius[right][None, :] + reach + SLACK
+                if cell[0] == cell[1]:
+                    near &= block[i][:, None] <= block[right][None, :]
+                x, y = np.nonzero(near)
+                one.append(np.minimum(block[i][x], block[right][y]))
+                two.append(np.maximum(block[i][x], block[right][y]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(k).astype(np.int64)) for k in (one, two)], ["one", "two"])
+
+        for batch in batches:
+            for own, other, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (own, other) != cell:
+                    if rows:
+                        yield pairs()
+                    cell, rows = (own, other), []
+                rows.append(row)
+        if rows:
+            yield pairs()
+
+    return run
+
+
+def _block_pairs(packed: DataFrame, n: int, reach: float) -> DataFrame:
+    """Pairs (one, two) of blocks that may hold links; heads of blocks are compared group by group."""
+    groups = max(1, math.ceil(n / HEADS))
+    heads = packed.select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), "block", "radius", "centre")
+    cells = heads.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(F.least("group", "other").alias("a"), F.greatest("group", "other").alias("b"), "group", "block", "radius", "centre")
+    return arrow_batches(cells.repartition("a", "b").sortWithinPartitions("a", "b"), _near_heads(reach), "one long, two long")
+
+
+def _search(points: DataFrame, n: int, size: int, cosine: float) -> DataFrame:
+    """Links of ``n`` distinct vectors of one length (``size`` bytes), as LINKS."""
+    reach = math.sqrt(2 - 2 * cosine)
+    block = min(max(LEAST_BLOCK, math.ceil(n / BLOCKS)), max(1, BLOCK_BYTES // size))
+    sample = points.orderBy(F.xxhash64("point"), "point").limit(PIVOT_SAMPLE).select("vec").collect()
+    tops = pivots(unit(np.array([np.frombuffer(r.vec, np.float64) for r in sample])), min(MOST_PIVOTS, math.ceil(n / block)))
 
     def cell(part: pa.RecordBatch) -> pa.RecordBatch:
         x = unit(np.frombuffer(b"".join(part.column(0).to_pylist()), np.float64).reshape(part.num_rows, -1))
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array((x @ tops.T).argmax(axis=1).astype(np.int64))], ["vec", "vec_id", "weight", "cell"])
-
-    placed = written(arrow_map(points, cell, "vec binary, vec_id long, weight long, cell long", rows=2048), "cells")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = placed.join(F.broadcast(parts), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), "parts")).alias("block"), "vec_id", "weight", "vec")
-    packed = written(dealt.groupBy("block").applyInArrow(lambda t: _pack(t, math.sqrt(2 - 2 * cosine)), PACKED), "blocks")
-
-    heads = sorted((r.block, r.radius, r.centre) for r in packed.select("block", "radius", "centre").collect())
-    pairs = []
-    if heads:
-        centres, radii = np.array([np.frombuffer(c, np.float64) for *_, c in heads]), np.array([r for _, r, _ in heads])
-        reach = math.sqrt(2 - 2 * cosine) + SLACK
-        for i in range(len(heads)):
-            gap = np.linalg.norm(centres[i + 1 :] - centres[i], axis=1)
-            for j in (i + 1 + np.flatnonzero(gap <= radii[i] + radii[i + 1 :] + reach)).tolist():
-                own, other = (i, j) if (i + j) % 2 else (j, i)
-                pairs.append((heads[own][0], heads[other][0]))
-    body = ["ids", "weights", "vecs", "nodes"]
-    guests = packed.join(spark.createDataFrame(pairs, "owner long, partner long"), F.col("block") == F.col("partner")).select("owner", "partner", *body)
-    work = packed.select(F.col("block").alias("owner"), F.lit(-1).cast("long").alias("partner"), *body).unionByName(guests)
-    return written(arrow_batches(work.repartition(max(1, len(heads)), "owner").sortWithinPartitions("owner", "partner"), _traverse(cosine), LINKS), "links")
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array((x @ tops.T).argmax(axis=1).astype(np.int64))], ["vec", "point", "weight", "cell"])
+
+    placed = written(arrow_map(points.select("vec", "point", "weight"), cell, "vec binary, point long, weight long, cell long", rows=2048), "cells")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))  # as many rows as pivots
+    dealt = placed.join(F.broadcast(parts), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("point"), "parts")).alias("block"), "point", "weight", "vec")
+    packed = written(dealt.groupBy("block").applyInArrow(lambda t: _pack(t, reach), PACKED), "blocks")
+    pairs = written(_block_pairs(packed, packed.select("block").count(), reach), "block-pairs")
+    each = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    work = each.join(packed.select("block", "ids", "weights", "vecs", "nodes"), "block").select("one", "two", "block", "ids", "weights", "vecs", "nodes")
+    tasks = min(max(1, pairs.count()), MOST_TASKS)
+    return written(arrow_batches(work.repartition(tasks, "one", "two").sortWithinPartitions("one", "two", "block"), _traverse(cosine), LINKS), "links")
 
 
 def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -265,18 +359,21 @@ def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", v
     ship_package(spark)
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     clean = written(arrow_map(given, _clean, UNIT, rows=2048), "vectors")
-    points = written(clean.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "points")
+    usable = clean.where("vec IS NOT NULL")
+    distinct = usable.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    points = written(distinct.withColumn("point", F.monotonically_increasing_id()), "points")
     size = F.octet_length("vec")
     found = spark.createDataFrame([], LINKS)
     # a point without another of its length has no links but to its own copies
     for r in points.groupBy(size.alias("size")).count().where("count > 1").orderBy("size").collect():
-        found = found.unionByName(_search(points.where(size == r["size"]), r["count"], cosine))
-
-    counts = found.where("n_links > 0").groupBy("vec_id").agg(F.sum("n_links").alias("n"))
-    parts = connected_components(found.where("vec_id != root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    rep = points.select("vec", F.col("vec_id").alias("rep"), "weight")
-    members = clean.join(rep, "vec").select("vec_id", "rep", "weight")
-    told = members.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    yes = told.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rest = given.select("vec_id").exceptAll(members.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        found = found.unionByName(_search(points.where(size == r["size"]), r["count"], r["size"], cosine))
+
+    counts = found.groupBy("point").agg(F.sum("n_links").alias("n"))
+    parts = written(connected_components(found.where("point != root").select(F.col("point").alias("a"), F.col("root").alias("b"))), "components")
+    least = parts.join(points.select(F.col("point").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = parts.join(least, "component").select(F.col("node").alias("point"), "component_id")
+    told = points.join(counts, "point", "left").join(placed, "point", "left")
+    told = written(told.select("vec", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "told")
+    yes = join_counted(usable, told, "vec", "weight").select("vec_id", "n_links", "component_id")
+    rest = clean.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return yes.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

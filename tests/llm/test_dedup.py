@@ -146,7 +146,10 @@ def brute_links(ids, x, cosine):
 
 @pytest.mark.parametrize("dims, spread", [(3, 0.2), (16, 0.08), (64, 0.05)])
 def test_vectors_against_brute_force(spark, monkeypatch, dims, spread):
-    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "LEAST_BLOCK", 64)
+    monkeypatch.setattr(vectors, "AT_ONCE", 1000)
+    monkeypatch.setattr(vectors, "HEADS", 3)
+    monkeypatch.setattr(vectors, "MOST_EDGES", 100)
     rng = np.random.default_rng(dims)
     centres = rng.normal(size=(12, dims))
     x = np.concatenate([c + spread * rng.normal(size=(rng.integers(1, 40), dims)) for c in centres] + [rng.normal(size=(60, dims))]).astype(np.float32)
@@ -169,6 +172,34 @@ def test_vectors_hard_rows(spark):
     assert vectors.linked(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0])]
+    got = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
+@pytest.mark.parametrize("cosine", [0.5, 0.99, 0.9999])
+def test_vectors_at_other_thresholds(spark, cosine):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=8) + s * rng.normal(size=(30, 8)) for s in (0.01, 0.05, 0.3, 1.0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n, label = brute_links(list(range(len(x))), vectors.unit(x), cosine)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.linked(df, cosine).collect()}
+    assert got == {i: (n[i], label[i]) for i in n}
+
+
+def test_local_components():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        for m in (0, 3, n):
+            u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+            want = np.arange(n)
+            for _ in range(n):
+                for a, b in zip(u, v, strict=True):
+                    want[[a, b]] = want[[a, b]].min()
+            assert (vectors.components(n, u, v) == want).all()
+
+
 def test_vectors_of_several_lengths(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [1.0]), (7, [2.0])]
     got = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
