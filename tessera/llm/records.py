@@ -14,8 +14,11 @@ and so are the records in each. The index (Parquet) has shard, offset, length, d
 Shards go through Spark's own text writer and the binaryFile reader, so they land in any file system that Spark
 writes, and a lost task leaves no half-written shard: the writer's commit protocol decides.
 
-Defined results: null text is empty and has only the end id; null ids come first; rows with one id stand in the
-order of their texts; an empty table gives no records; other columns are not read.
+Shards are numbered; a shard's number is what its file name says, so shards are in order however many there are.
+
+Defined results: null text is empty and has only the end id; null ids come first; rows with one id stand in the order
+of their texts' first ORDERED characters, and beyond that in any order, so that one id may fill many shards; a text of
+any length is one record; repeated rows are a record each; an empty table gives no records; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_batches, arrow_map, estimated_bytes, parts_for, slices, text_or_empty
+from .common import arrow_batches, arrow_map, estimated_bytes, parts_for, slices, text_or_empty, written
 
 MASK_ADD = 0xA282EAD8
+#: Shards up to which their wanted places are broadcast.
+MOST_PLACES = 1000
 HEAD = struct.Struct("<QI")
-INDEX = "shard string, offset long, length long, doc_id long, n_tokens long"
+INDEX = "shard long, offset long, length long, doc_id long, n_tokens long"
+#: Characters of a text that order rows of one id, and how many ways rows that agree on them are dealt.
+ORDERED, WAYS = 64, 1024
 #: Bytes of estimated input in a shard: what a reading task holds at once.
 SHARD_BYTES = 64 << 20
 
@@ -88,13 +95,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, id_col
         out = [frame(d, x) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    in_order = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.substring("text", 1, ORDERED), F.col("way")]
+    ways = texts.withColumn("way", F.pmod(F.monotonically_increasing_id(), F.lit(WAYS)).cast("int"))
+    in_order = ways.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     arrow_map(in_order, run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
     index(spark, path).write.parquet(f"{path}/index")
 
 
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(f"{path}/shards").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+def shard_number(path: Column) -> Column:
+    """The number in a shard's file name, which has five digits or more."""
+    return F.regexp_extract(path, r"part-([0-9]+)[^/]*$", 1).cast("long")
+
+
+def _shards(spark: SparkSession, path: str, numbers: list[int] | None = None) -> DataFrame:
+    """(shard, content) of all shards or of those with the numbers; other files are not opened."""
+    reader = spark.read.format("binaryFile")
+    where = f"{path}/shards" if numbers is None else [f"{path}/shards/part-{n:05d}*" for n in numbers]
+    return reader.load(where).select(shard_number(F.col("path")).alias("shard"), "content")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -104,31 +121,54 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         for part in slices(batches, 1):
             shard = part.column(0)[0].as_py()
             rows = [(shard, at, n, doc, len(ids)) for at, n, doc, ids in unframe(part.column(1)[0].as_buffer().to_pybytes())]
-            yield _batch(rows, ("shard", "offset", "length", "doc_id", "n_tokens"), "slqqq")
+            yield _batch(rows, ("shard", "offset", "length", "doc_id", "n_tokens"), "lqqqq")
 
     return arrow_batches(_shards(spark, path), run, INDEX)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """shard, offset, doc_id, ids (little-endian unsigned 32-bit), n_tokens of every record."""
+RECORDS = "shard long, offset long, doc_id long, ids binary, n_tokens long"
+
 
+def _unframed(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             shard, rows = part.column(0)[0].as_py(), []
             for at, _, doc, ids in unframe(part.column(1)[0].as_buffer().to_pybytes()):
                 rows.append((shard, at, doc, ids.astype("<u4").tobytes(), len(ids)))
                 if len(rows) == 1000:
-                    yield _batch(rows, ("shard", "offset", "doc_id", "ids", "n_tokens"), "slqbq")
+                    yield _batch(rows, ("shard", "offset", "doc_id", "ids", "n_tokens"), "lqqbq")
                     rows = []
-            yield _batch(rows, ("shard", "offset", "doc_id", "ids", "n_tokens"), "slqbq")
+            yield _batch(rows, ("shard", "offset", "doc_id", "ids", "n_tokens"), "lqqbq")
+
+    return arrow_batches(shards, run, RECORDS)
 
-    return arrow_batches(_shards(spark, path), run, "shard string, offset long, doc_id long, ids binary, n_tokens long")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """shard, offset, doc_id, ids (little-endian unsigned 32-bit), n_tokens of every record."""
+    return _unframed(_shards(spark, path))
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """The records of the documents in ``wanted`` (doc_id), in any order, reading each of their shards once."""
-    places = spark.read.schema(INDEX).parquet(f"{path}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return read(spark, path).join(places.select("shard", "offset"), ["shard", "offset"], "left_semi")
+    """The records of the documents in ``wanted`` (doc_id), in any order. The index names the shards that are read, and
+    each record's place; no other record is taken apart."""
+    index_rows = spark.read.schema(INDEX).parquet(f"{path}/index")
+    places = index_rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("shard").agg(F.collect_list(F.struct("offset", "length")).alias("at"))
+    places = written(places, "places")
+    numbers = [r.shard for r in places.select("shard").collect()]  # one for each file at most
+    if not numbers:
+        return spark.createDataFrame([], RECORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            shard, content = part.column(0)[0].as_py(), part.column(1)[0].as_buffer()
+            for start in range(0, len(part.column(2)[0]), 1000):
+                rows = []
+                for at in part.column(2)[0].as_py()[start : start + 1000]:
+                    (_, _, doc, ids), = unframe(content.slice(at["offset"], at["length"]).to_pybytes())
+                    rows.append((shard, at["offset"], doc, ids.astype("<u4").tobytes(), len(ids)))
+                yield _batch(rows, ("shard", "offset", "doc_id", "ids", "n_tokens"), "lqqbq")
+
+    return arrow_batches(_shards(spark, path, numbers).join(F.broadcast(places) if len(numbers) <= MOST_PLACES else places, "shard"), run, RECORDS)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
@@ -142,6 +182,6 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple], names: tuple[str, ...], kinds: str) -> pa.RecordBatch:
-    types = {"s": pa.string(), "l": pa.int64(), "q": pa.int64(), "b": pa.binary()}
+    types = {"l": pa.int64(), "q": pa.int64(), "b": pa.binary()}
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
