@@ -4,11 +4,13 @@ The cache is a Parquet table (content digest, tokenizer digest, count). A call j
 documents to it, encodes one document of each digest that is missing, appends those counts and joins again.
 Content is digested exactly as it is encoded (null as empty): any other normal form would change counts.
 
-Defined results: null and empty texts have 0 tokens; repeated rows each get their own output row; null ids stay
-null; an empty table gives an empty table; columns other than id and text are not read.
+Defined results: null and empty texts have 0 tokens; texts of any length are counted whole; repeated rows each get
+their own output row; null ids stay null; an empty table gives an empty table; columns other than id and text are not
+read.
 
-At scale: copies of a text collapse to 40-byte digests before any text moves, and texts are dealt by document id,
-so a text that a third of all rows repeat loads no task more than another.
+At scale: copies of a text collapse to digests before any text moves. Where the missing digests are few enough to
+broadcast, texts are encoded where they are read and nothing moves; none missing, no text is read again. Beyond, texts
+shuffle by document id and digest. Digests that a large part of all rows have are joined without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_map, text_or_empty, written
+from .common import BROADCAST_ROWS, arrow_map, join_counted, text_or_empty, written
 
 CACHE = "digest string, tokenizer string, n_tokens long"
 
@@ -42,18 +44,23 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
     digests = written(keyed, "digests")
+    distinct = written(digests.groupBy("digest").agg(F.min("doc_id").alias("chosen"), F.count("*").alias("n")), "digest-keys")
 
     known = lambda: read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = digests.groupBy("digest").agg(F.min("doc_id").alias("chosen")).join(known().select("digest"), "digest", "left_anti")
-    wanted = misses.select(F.col("chosen").alias("doc_id"), F.col("digest").alias("wanted")).hint("shuffle_hash")
-    to_do = texts.alias("t").join(wanted.alias("w"), F.expr("t.doc_id <=> w.doc_id AND sha2(t.text, 256) = w.wanted")).select("wanted", "text")
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        enc = tokens.encoder(shipped)
-        n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
-
-    # rows that repeat both id and text are encoded each, and told once
-    counted = arrow_map(to_do, run, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return digests.join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    misses = written(distinct.join(known().select("digest"), "digest", "left_anti").select("chosen", F.col("digest").alias("wanted")), "misses")
+    n_misses = misses.count()
+    if n_misses:
+        few = F.broadcast(misses) if n_misses <= BROADCAST_ROWS else misses.hint("shuffle_hash")
+        same = F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.sha2("text", 256) == F.col("wanted"))
+        to_do = texts.join(few, same).select("wanted", "text")
+
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            enc = tokens.encoder(shipped)
+            n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+
+        # rows that repeat both id and text are encoded each, and told once
+        counted = arrow_map(to_do, run, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    told = written(distinct.join(known(), "digest").select("digest", "n_tokens", "n"), "token-counts")
+    return join_counted(digests, told, "digest", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -13,7 +13,8 @@ for every pair whose signatures are similar. Every pair is verified on the whole
 
 Defined results: a document is its id; null texts, texts without words and rows with null ids link with nothing;
 texts of fewer than five words have one shingle, all their words; rows that share an id are one document to
-others; of a group the smallest id stays; an empty table gives an empty table; other columns are not read.
+others; of a group the smallest id stays; texts of any length are compared whole, by 64-bit hashes of their words; an
+empty table gives an empty table; other columns are not read.
 
 At scale: no bucket is gathered in one row or task (the first pass takes a minimum, the second deals blocks), no
 pairs are made inside classes or inside components already joined. With 40 bands of 7 registers a pair at
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_map, broadcast_if_small, connected_components, text_or_empty, written
+from .common import arrow_batches, arrow_map, broadcast_if_small, connected_components, join_counted, text_or_empty, written
 from .hashing import mix, span_hashes
 from .quality import CLASS, WORD
 
@@ -231,8 +232,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     reachable by links), kept (it is the smallest of its group)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = written(arrow_map(texts.where("doc_id IS NOT NULL"), _sign, SIGNED), "near-signed")
-    least = signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = written(signed.select("doc_id", "digest").join(least, "digest").select("doc_id", "class_id").distinct(), "near-classes")
+    least = written(signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "near-digests")
+    classes = written(join_counted(signed.select("doc_id", "digest"), least, "digest", "n").select("doc_id", "class_id").distinct(), "near-classes")
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
     own = signed.join(broadcast_if_small(first), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch")
 
