@@ -5,7 +5,7 @@ Documents are cut into sequences of at most ``longest`` tokens. The global histo
 the padding over all sequences is least. Inside a bucket sequences are batched to a token budget.
 
 Defined results: every document has a sequence, an empty or null text one of no tokens; rows that share an id are
-packed each; null ids come first; an empty table gives an empty table; other columns are not read. Only the last
+packed each; null ids come first; a text of any length is cut into sequences; an empty table gives an empty table; other columns are not read. Only the last
 batch of a bucket may be short.
 
 At scale: the driver sees the histogram, bounded by ``longest``. Batches are numbered without a global sort: ranks

@@ -6,7 +6,7 @@ pairs of neighbours (a word followed by itself is one feature), and of triples o
 LARGE, mixed, mark), each weighted by its share of the text's tokens.
 
 Defined results: null and empty texts have no features and get the score of the bias; rows with a null label or
-id are not learnt from; without labels of both kinds every score is 0.5; repeated rows are scored each; an empty
+id are not learnt from; texts of any length are scored whole; without labels of both kinds every score is 0.5; repeated rows are scored each; an empty
 table gives an empty table. Only the text is an input of a score.
 
 Bounds: learns from at most ``sample`` labelled rows (least hash of the id first); the model is 2**18 weights.

@@ -370,8 +370,8 @@ def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", v
 
     counts = found.groupBy("point").agg(F.sum("n_links").alias("n"))
     parts = written(connected_components(found.where("point != root").select(F.col("point").alias("a"), F.col("root").alias("b"))), "components")
-    least = parts.join(points.select(F.col("point").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = parts.join(least, "component").select(F.col("node").alias("point"), "component_id")
+    least = written(parts.join(points.select(F.col("point").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    placed = join_counted(parts, least, "component", "n").select(F.col("node").alias("point"), "component_id")
     told = points.join(counts, "point", "left").join(placed, "point", "left")
     told = written(told.select("vec", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "told")
     yes = join_counted(usable, told, "vec", "weight").select("vec_id", "n_links", "component_id")

@@ -45,7 +45,8 @@ def test_stages_take_hard_rows(spark, hard):
     pipeline = pytest.importorskip("corpus_pipeline")
     from pyspark.sql import functions as F
 
-    docs = hard.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    # with extra columns whose names the stages use themselves
+    docs = hard.withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "listed": F.lit("x"), "kept": F.lit("x"), "sha": F.lit("x"), "stays": F.lit("x"), "n": F.lit("x"), "shared": F.lit("x"), "text_sha256": F.lit("x")})
     assert pipeline.no_copies(spark, docs, SF).count() == docs.select(F.lower(F.coalesce("text", F.lit("")))).distinct().count()
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0

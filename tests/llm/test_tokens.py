@@ -119,10 +119,50 @@ def test_records(spark, hard, tmp_path):
         start += len(ids)
     some = records.fetch(spark, path, spark.createDataFrame([(8,), (5,)], "doc_id long")).collect()
     assert sorted(r.doc_id for r in some) == [5, 5, 8]
+    assert records.fetch(spark, path, spark.createDataFrame([(-5,)], "doc_id long")).count() == 0
     records.write(hard.limit(0), f"{path}-none", JSON)
     assert records.read(spark, f"{path}-none").count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_counts_of_a_hot_text(spark, tmp_path, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(counts, "BROADCAST_ROWS", 0)
+    df = spark.range(900).select(F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the hot one").otherwise(F.concat(F.lit("n "), F.col("id").cast("string"))).alias("text"))
+    plain = Tokenizer.from_file(JSON)
+    want = sorted((str(r.doc_id), len(plain.encode(r.text, add_special_tokens=False).ids)) for r in df.collect())
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        assert sorted((str(r.doc_id), r.n_tokens) for r in counts.token_counts(df, JSON, cache).collect()) == want
+    assert spark.read.parquet(cache).count() == 601
+
+
+def test_fetch_opens_named_shards_only(spark, tmp_path):
+    path = f"file://{tmp_path}/records"
+    records.write(spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).repartition(4), path, JSON)
+    index = spark.read.parquet(f"{path}/index")
+    wanted = index.where("doc_id = 7").first()
+    for f in (tmp_path / "records" / "shards").glob("part-*"):
+        if int(f.name[5:10]) != wanted.shard:
+            f.write_bytes(b"damaged")
+    assert index.select("shard").distinct().count() > 1
+    assert [r.doc_id for r in records.fetch(spark, path, spark.createDataFrame([(7,)], "doc_id long")).collect()] == [7]
+
+
+def test_shards_in_order(spark):
+    names = spark.range(100_001).select(F.concat(F.lit("file:/x/part-"), F.lpad(F.col("id").cast("string"), 5, "0"), F.lit("-a1b2-c000.txt")).alias("path"), "id")
+    names = names.withColumn("path", F.when(F.col("id") > 99_999, "file:/x/part-100000-a1b2-c000.txt").otherwise(F.col("path")))
+    assert names.where(records.shard_number(F.col("path")) != F.col("id")).count() == 0
+
+
+def test_one_id_fills_many_shards(spark, tmp_path):
+    path = f"file://{tmp_path}/records"
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    records.write(df, path, JSON)
+    per = [r["count"] for r in records.read(spark, path).groupBy("shard").count().collect()]
+    assert sum(per) == 4000 and len(per) > 1
+
+
 def test_damaged_records():
     good = records.frame(3, np.array([1, 2, 10], "<u2")) + b"\n"
     assert [(d, i.tolist()) for _, _, d, i in records.unframe(good * 2)] == [(3, [1, 2, 10])] * 2
