@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Without that setting a local master (tests) gets one
+    under /tmp; on a cluster it is an error, since each executor would write to its own disk."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file:///tmp/checkpoints"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes ``df`` to the shared folder of ``spark.checkpoint.dir`` and reads it again: the loop's lineage ends here
-    and a lost executor costs nothing. Only where the setting is missing (tests) is a folder under /tmp used."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` to the shared folder and reads it again: the loop's lineage ends here and a lost executor costs
+    nothing."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_order(value: Column | str, *keys: Column | str) -> Column:

@@ -48,6 +48,11 @@ def normal(path: Column) -> Column:
     return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
 
 
+def source_form(source: Column) -> Column:
+    """One form for a dependency's source: an address (with ``://`` or ``user@host:``) as it is, a path made normal."""
+    return F.when(source.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://|^[^/]+@[^/]+:"), source).otherwise(normal(source))
+
+
 def relative(path: Column, root: Column) -> Column:
     """``path`` below ``root``, else unchanged; text only, as list formats do it."""
     return F.when(F.startswith(path, root), F.regexp_replace(F.substr(path, F.length(root) + 1), "^/+", "")).otherwise(path)

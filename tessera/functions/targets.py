@@ -1,7 +1,8 @@
 """Target expressions: ``name``, ``all(..)``, ``any(..)``, ``not(x)``, ``(x)``, evaluated against a set of active targets.
 
-Expressions are parsed on the driver (there are few distinct ones) and compiled to ``array_contains`` predicates that
-Catalyst folds, reorders and generates code for; rows with many different expressions use one CASE over the texts.
+A few distinct expressions are parsed on the driver and compiled to ``array_contains`` predicates that Catalyst folds,
+reorders and generates code for, one CASE over the texts; tables with more are parsed on the executors into postfix
+programs, which an array expression runs.
 """
 
 from __future__ import annotations
@@ -163,12 +164,57 @@ def matches(text: Column, active: Column, texts: list[str | None]) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown target expression "), text)).cast("boolean"))
 
 
-def distinct_texts(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
-    """The distinct expressions of a table. More than ``most`` is an error: use ``clauses`` and a join instead."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise TargetError(f"more than {most} distinct expressions; evaluate them by their clauses")
-    return found
+#: Distinct expressions up to which they become one CASE; more are run as programs.
+MOST_CASES = 500
+PROGRAM = "array<struct<kind:string,name:string,n:int>>"
+
+
+def program(expr: Expr) -> list[tuple[str, str, int]]:
+    """The expression in postfix order: (kind, name, members taken from the stack)."""
+    return [x for m in expr.members for x in program(m)] + [(expr.kind, expr.name, len(expr.members))]
+
+
+def run(program: Column, active: Column) -> Column:
+    """The value of a program for the active targets; any number of different expressions, no clauses."""
+
+    def step(stack: Column, x: Column) -> Column:
+        rest = F.slice(stack, F.lit(1), F.size(stack) - x["n"])
+        taken = F.slice(stack, F.size(stack) - x["n"] + 1, x["n"])
+        value = F.when(x["kind"] == "wildcard", F.lit(True)).when(x["kind"] == "name", F.array_contains(active, x["name"])).when(x["kind"] == "all", F.forall(taken, lambda v: v)).when(x["kind"] == "any", F.exists(taken, lambda v: v)).otherwise(~taken[0])
+        return F.array_append(rest, value)
+
+    return F.aggregate(program, F.expr("cast(array() as array<boolean>)"), step)[0]
+
+
+def programs(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with the programs of its expressions; null is the wildcard. Each batch parses a text once, where it is."""
+    from ..shipping import ship_package
+
+    ship_package(df.sparkSession)
+    known: dict[str | None, list] = {}
+
+    @F.pandas_udf(PROGRAM)
+    def parsed(texts):
+        import pandas as pd
+
+        for t in texts.unique():
+            if t not in known:
+                known[t] = [{"kind": k, "name": n, "n": m} for k, n, m in program(ANYTHING if t is None else parse(t))]
+        out = pd.Series([known[t] for t in texts])
+        if len(known) > MOST_CASES * 20:
+            known.clear()
+        return out
+
+    return df.withColumn(into, parsed(F.col(column)))
+
+
+def evaluated(df: DataFrame, column: str, active: Column, into: str) -> DataFrame:
+    """``df`` with whether the expression in ``column`` holds for ``active``, whatever the number of different expressions:
+    a few become one CASE, which Catalyst compiles; more are parsed where they are and run as programs."""
+    texts = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_CASES + 1).collect()]
+    if len(texts) <= MOST_CASES:
+        return df.withColumn(into, matches(F.col(column), active, texts))
+    return programs(df, column, "_program").withColumn(into, run(F.col("_program"), active)).drop("_program")
 
 
 def clauses(expr: Expr, most: int = 4096) -> list[frozenset[tuple[str, bool]]]:

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import semver, targets
+from ..functions import paths, semver
 
 
 def states(locked: DataFrame, available: DataFrame, parents: DataFrame, *, ignore_sources: bool = False, only_update: bool = False) -> DataFrame:
     """(pkg, state, current, highest, compatible), a row for each state a package is in.
 
     ``locked`` (pkg, rev, version), ``available`` (pkg, version), ``parents`` (pkg, parent, parent_pos, constraint,
-    source). Conflict: a constraint that is no version range and differs from the first parent's, or a source that does.
+    source). Sources are compared in one form: paths without ``.`` and ``..``, so two ways to one folder are no conflict, and
+    an address as it is. Conflict: a constraint that is no version range and differs from the first parent's, or a source that does.
     """
-    texts = [t for t in targets.distinct_texts(parents, "constraint")]
-    ranges = [t for t in texts if semver.is_requirement(t)]
-    is_range = F.col("constraint").isin(ranges) if ranges else F.lit(False)
+    parents = parents.withColumn("source", paths.source_form(F.col("source"))).withColumn("parsed", semver.requirement(F.col("constraint")))
+    is_range = F.col("parsed").isNotNull()
     first = Window.partitionBy("pkg").orderBy("parent_pos")
     odd = (~is_range & (F.col("constraint") != F.first("constraint").over(first))) | (F.lit(not ignore_sources) & (F.col("source") != F.first("source").over(first)))
     asked = parents.withColumn("odd", odd).groupBy("pkg").agg(F.bool_or("odd").alias("conflict"), F.bool_or(is_range).alias("req"), F.count_if(is_range).alias("n"))
     highest = available.groupBy("pkg").agg(F.max("version").alias("hi"))
-    fits = parents.where(is_range).join(available.distinct(), "pkg").where(semver.matches(F.col("version"), F.col("constraint"), ranges))
+    fits = parents.where(is_range).join(available.distinct(), "pkg").where(semver.matches(F.col("version"), F.col("parsed")))
     most = fits.groupBy("pkg", "version").agg(F.count_distinct("parent").alias("k")).join(asked.select("pkg", "n"), "pkg").where("k = n").groupBy("pkg").agg(F.max("version").alias("mc"))
     rows = locked.select("pkg", "rev", F.col("version").alias("cur")).join(asked, "pkg", "left").join(highest, "pkg", "left").join(most, "pkg", "left").fillna(False, ["conflict", "req"])
     cur, hi, mc = F.col("cur"), F.col("hi"), F.col("mc")

@@ -107,23 +107,27 @@ def filter_targets_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT id, CASE WHEN pkg IN ('src1', 'src2', 'src3') THEN path ELSE '' END AS kept_path FROM file", "file")
 def filter_packages_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: groups outside the selection stay, without their files."""
-    files = view(spark, sf_dir, "file")
-    inside = files.where(F.col("pkg").isin("src1", "src2", "src3")).select("pkg").distinct().withColumn("kept", F.lit(True))
-    return files.join(F.broadcast(inside), "pkg", "left").select("id", F.when(F.col("kept"), F.col("path")).otherwise("").alias("kept_path"))
+    from .sources import filter_packages
+
+    selection = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "pkg string")
+    return filter_packages(view(spark, sf_dir, "file"), selection).select("id", F.coalesce("path", F.lit("")).alias("kept_path"))
 
 
 @query("SELECT node, coalesce(target, 'rtl') AS assumed, target IS NULL AS documented FROM tree", "tree")
 def assume_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target for groups that have the wildcard."""
-    return view(spark, sf_dir, "tree").select("node", F.coalesce("target", F.lit("rtl")).alias("assumed"), F.col("target").isNull().alias("documented"))
+    from .sources import assume_target as assumed
+
+    return view(spark, sf_dir, "tree").select("node", assumed(F.col("target"), "rtl").alias("assumed"), F.col("target").isNull().alias("documented"))
 
 
 @query("""WITH has AS (SELECT DISTINCT node FROM tree WHERE pkg = 'src7' UNION SELECT t.parent FROM has h JOIN tree t ON t.node = h.node WHERE t.parent IS NOT NULL) SELECT node FROM has""", "tree", recursive=True)
 def drop_empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with a file of package src7 somewhere below; the rest is dropped."""
+    from .sources import non_empty
+
     nodes = view(spark, sf_dir, "tree")
-    up = nodes.where("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
-    return graph.closure(up, nodes.where("pkg = 'src7'").select("node"))
+    return non_empty(nodes, nodes.where("pkg = 'src7'"))
 
 
 @query("""WITH f AS (SELECT grp AS node, pos, id % 3 = 0 AS is_group, grp % 5 = 0 AS independent, id FROM file),
@@ -154,7 +158,9 @@ SELECT grp, string_agg(DISTINCT dir, ',' ORDER BY dir) AS dirs FROM i GROUP BY g
 def incdirs_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own then exported include directories, distinct, sorted for output."""
     files = view(spark, sf_dir, "file").groupBy("grp").agg(in_order(F.concat(F.lit("inc/"), (F.col("id") % 6).cast("string")), "pos").alias("own"), in_order(F.concat(F.lit("exp/"), (F.col("id") % 2).cast("string")), "pos").alias("exported"))
-    return files.select("grp", F.array_join(F.array_sort(F.array_distinct(F.concat("own", "exported"))), ",").alias("dirs"))
+    from .sources import include_dirs
+
+    return files.select("grp", F.array_join(F.array_sort(include_dirs(F.col("own"), F.col("exported"))), ",").alias("dirs"))
 
 
 @query("SELECT id, CASE WHEN path LIKE '%.sv' OR path LIKE '%.v' THEN 'verilog' WHEN path LIKE '%.vhd' THEN 'vhdl' END AS file_type, CASE WHEN id % 10 = 0 THEN 'vhdl' WHEN path LIKE '%.sv' OR path LIKE '%.v' THEN 'verilog' WHEN path LIKE '%.vhd' THEN 'vhdl' END AS declared_type FROM file", "file")
@@ -212,9 +218,14 @@ def package_closure_excl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH c AS (SELECT id AS node FROM pkg WHERE id IN (33, 90) UNION SELECT e.dst FROM c JOIN edge e ON e.src = c.node) SELECT id, id NOT IN (SELECT node FROM c) AS keeps_lock FROM pkg", "edge", "pkg", recursive=True)
 def recursive_unlock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that stay locked when two packages and all they need are updated."""
-    packages = view(spark, sf_dir, "pkg")
-    freed = graph.closure(_edges(spark, sf_dir), packages.where("id IN (33, 90)").select(F.col("id").alias("node"))).withColumn("freed", F.lit(True))
-    return packages.join(freed, F.col("id") == F.col("node"), "left").select("id", F.col("freed").isNull().alias("keeps_lock"))
+    from .workspace import kept_locked
+
+    packages, text = view(spark, sf_dir, "pkg").select("id"), F.col("id").cast("string")
+    needs = _edges(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_set(F.col("dst").cast("string")).alias("dependencies"))
+    lock = packages.join(needs, "id", "left").select(text.alias("name"), F.coalesce("dependencies", F.expr("cast(array() as array<string>)")).alias("dependencies"))
+    asked = [str(r.id) for r in packages.where("id IN (33, 90)").collect()]
+    kept = kept_locked(lock, asked, recursive=True).select(F.col("name").cast("long").alias("id"), F.lit(True).alias("kept")) if asked else packages.withColumn("kept", F.lit(True))
+    return packages.join(kept, "id", "left").select("id", F.col("kept").isNotNull().alias("keeps_lock"))
 
 
 @query("""WITH p AS (SELECT dst AS pkg, src AS parent, req, row_number() OVER (PARTITION BY dst ORDER BY src) AS n, first_value(req) OVER (PARTITION BY dst ORDER BY src) AS req1 FROM req)
@@ -295,48 +306,47 @@ WHEN '<1.20' THEN major < 1 OR (major = 1 AND minor < 20) WHEN '>0.9.1' THEN maj
 SELECT src, dst, req, v AS newest FROM m WHERE n = 1""", "req", "tag")
 def req_match_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest version that meets each requirement; the package is the join's key, versions are its theta."""
-    reqs = view(spark, sf_dir, "req")
-    texts = targets.distinct_texts(reqs, "req")
-    fits = reqs.join(_tags(spark, sf_dir), F.col("dst") == F.col("pkg")).where(semver.matches(F.col("version"), F.col("req"), texts))
+    reqs = view(spark, sf_dir, "req").withColumn("parsed", semver.requirement(F.col("req")))
+    fits = reqs.join(_tags(spark, sf_dir), F.col("dst") == F.col("pkg")).where(semver.matches(F.col("version"), F.col("parsed")))
     return fits.groupBy("src", "dst", "req").agg(F.max_by("text", "version").alias("newest"))
 
 
-@query("""WITH c AS (SELECT DISTINCT pkg, substr(rev, 1, 2) AS p FROM tag WHERE part % 10 = 0)
-SELECT c.pkg, c.p AS prefix, count(*) AS n, min(t.rev) AS first_rev FROM c JOIN tag t ON t.pkg = c.pkg AND t.rev LIKE c.p || '%' GROUP BY c.pkg, c.p""", "tag")
+@query("""WITH c AS (SELECT DISTINCT pkg, substr(rev, 1, 2) AS p FROM tag WHERE NOT regexp_full_match(substr(rev, 1, 2), '[0-9]+'))
+SELECT c.pkg, c.p AS prefix, count(DISTINCT t.rev) AS n, min(t.rev) AS first_rev FROM c JOIN tag t ON t.pkg = c.pkg AND t.rev LIKE c.p || '%' GROUP BY c.pkg, c.p""", "tag")
 def rev_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisions that begin with a given prefix, inside one repository."""
-    tags = view(spark, sf_dir, "tag")
-    wanted = tags.where("part % 10 = 0").select("pkg", F.substring("rev", 1, 2).alias("prefix")).distinct()
-    return wanted.join(tags, "pkg").where(F.startswith("rev", F.col("prefix"))).groupBy("pkg", "prefix").agg(F.count("*").alias("n"), F.min("rev").alias("first_rev"))
+    """Revisions that begin with a given prefix that is no version, inside one repository."""
+    from .resolve import candidates_for
+
+    tags = _tags(spark, sf_dir).select(F.col("pkg").alias("dep"), F.lit("git").alias("source"), "version", "text", "rev")
+    wanted = tags.select("dep", F.concat(F.substring("rev", 1, 2), F.lit("")).alias("constraint")).where(~semver.is_requirement(F.col("constraint"))).distinct()
+    return candidates_for(wanted, tags).groupBy(F.col("dep").alias("pkg"), F.col("constraint").alias("prefix")).agg(F.count("*").alias("n"), F.min_by("rev", "place").alias("first_rev"))
 
 
 _BOUNDS = """b(req, bottom, top) AS (VALUES ('1','1.0.0','2.0.0'), ('^1.10.0','1.10.0','2.0.0'), ('~1.22','1.22.0','1.23.0'), ('>=1.0.0, <2.0.0','1.0.0','2.0.0'), ('2','2.0.0','3.0.0'), ('<1.20',NULL,'1.20.0'), ('>0.9.1','0.10.2',NULL), ('*',NULL,NULL))"""
 
 
-def _bounds(spark: SparkSession, reqs: DataFrame) -> DataFrame:
-    dotted = lambda b: None if b is None else ".".join(map(str, b))
-    rows = [(t, dotted(semver.bottom_bound(t)), dotted(semver.top_bound(t))) for t in targets.distinct_texts(reqs, "req")]
-    return spark.createDataFrame(rows, "req string, bottom string, top string")
+def _bounded(reqs: DataFrame) -> DataFrame:
+    """``reqs`` with the bounds of ``req``, as structs that order."""
+    return reqs.withColumns({"bottom": semver.bottom_bound(F.col("req")), "top": semver.top_bound(F.col("req"))})
 
 
 @query(f"WITH {_BOUNDS} SELECT src, dst, req, bottom, top FROM req JOIN b USING (req)", "req")
 def version_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of every requirement."""
-    reqs = view(spark, sf_dir, "req")
-    return reqs.join(F.broadcast(_bounds(spark, reqs)), "req").select("src", "dst", "req", "bottom", "top")
+    return _bounded(view(spark, sf_dir, "req")).select("src", "dst", "req", semver.dotted(F.col("bottom")).alias("bottom"), semver.dotted(F.col("top")).alias("top"))
 
 
-@query(f"""WITH {_BOUNDS}, x AS (SELECT dst, src, req, dense_rank() OVER (PARTITION BY dst ORDER BY src % 4) AS source_no,
-row_number() OVER (PARTITION BY dst ORDER BY src % 4, CASE req WHEN '1' THEN 2 WHEN '^1.10.0' THEN 2 WHEN '>=1.0.0, <2.0.0' THEN 2 WHEN '2' THEN 3 WHEN '~1.22' THEN 1.5 WHEN '<1.20' THEN 1.2 ELSE 0 END DESC, src) AS place FROM req JOIN b USING (req))
-SELECT dst, src, req, CAST(source_no AS BIGINT) AS source_no, CAST(place AS BIGINT) AS place FROM x""", "req")
+@query(f"""WITH {_BOUNDS}, k(req, lo, hi) AS (VALUES ('1', 10000, 20000), ('^1.10.0', 11000, 20000), ('~1.22', 12200, 12300), ('>=1.0.0, <2.0.0', 10000, 20000), ('2', 20000, 30000), ('<1.20', -1, 12000), ('>0.9.1', 1002, 99999999), ('*', -1, 99999999)),
+x AS (SELECT DISTINCT dst, src % 4 AS source, CASE WHEN src % 10 = 0 THEN NULL WHEN src % 9 = 0 THEN 'main' ELSE req END AS con FROM req)
+SELECT dst, source, con, bottom, top, CAST(dense_rank() OVER (PARTITION BY dst ORDER BY source) AS BIGINT) AS source_no,
+CAST(row_number() OVER (PARTITION BY dst ORDER BY source, CASE WHEN con IS NULL THEN 2 WHEN con = 'main' THEN 0 ELSE 1 END, hi DESC, lo DESC, con) AS BIGINT) AS place FROM x LEFT JOIN b ON b.req = con LEFT JOIN k ON k.req = con""", "req")
 def conflict_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints of a package by source, then highest upper bound; no bound is last."""
-    reqs = view(spark, sf_dir, "req")
-    top = semver.version(F.col("top"))
-    w = Window.partitionBy("dst")
-    source = F.col("src") % 4
-    rows = reqs.join(F.broadcast(_bounds(spark, reqs)), "req")
-    return rows.select("dst", "src", "req", F.dense_rank().over(w.orderBy(source)).cast("long").alias("source_no"), F.row_number().over(w.orderBy(source, top.desc_nulls_last(), "src")).cast("long").alias("place"))
+    """Constraints of a package by source, then kind, then highest upper and lower bound."""
+    from . import resolve
+
+    said = F.when(F.col("src") % 10 == 0, None).when(F.col("src") % 9 == 0, "main").otherwise(F.col("req"))
+    asked = view(spark, sf_dir, "req").select(F.col("dst").alias("dep"), (F.col("src") % 4).alias("source"), said.alias("constraint"))
+    return resolve.conflict_order(asked).select(F.col("dep").alias("dst"), "source", F.col("constraint").alias("con"), "bottom", "top", "source_no", "place")
 
 
 @query(f"""WITH n AS (SELECT dst, count(*) AS n FROM req GROUP BY dst), ok AS (SELECT r.dst, t.major, t.minor, t.patch, count(DISTINCT r.src) AS k FROM req r JOIN (SELECT DISTINCT pkg, major, minor, patch FROM tag) t ON t.pkg = r.dst WHERE {_FITS} GROUP BY 1, 2, 3, 4)
@@ -346,18 +356,18 @@ def constraint_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = view(spark, sf_dir, "req")
     counted = reqs.groupBy("dst").agg(F.count("*").alias("n"))
     tags = _tags(spark, sf_dir).select("pkg", "text", "version").distinct()
-    fits = reqs.join(tags, F.col("dst") == F.col("pkg")).where(semver.matches(F.col("version"), F.col("req"), targets.distinct_texts(reqs, "req")))
+    fits = reqs.withColumn("parsed", semver.requirement(F.col("req"))).join(tags, F.col("dst") == F.col("pkg")).where(semver.matches(F.col("version"), F.col("parsed")))
     return fits.groupBy("dst", F.col("text").alias("version")).agg(F.count_distinct("src").alias("k")).join(counted, "dst").where("k = n").select("dst", "version")
 
 
 @query("SELECT id, CASE WHEN id % 7 = 0 THEN 'locked' WHEN id % 5 = 0 THEN 'override' WHEN id % 3 = 0 THEN 'checked_out' ELSE 'declared' END AS origin FROM pkg", "pkg")
 def overlay_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locked, then override, then dirty checkout, then declaration."""
-    out = view(spark, sf_dir, "pkg").select("id")
-    for n, name in ((7, "locked"), (5, "override"), (3, "checked_out")):
-        layer = out.where(F.col("id") % n == 0).select("id", F.lit(name).alias(name))
-        out = out.join(layer, "id", "left")
-    return out.select("id", F.coalesce("locked", "override", "checked_out", F.lit("declared")).alias("origin"))
+    from .resolve import overlaid
+
+    declared = view(spark, sf_dir, "pkg").select(F.col("id").alias("dep"), F.lit("s").alias("source"), F.lit("1").alias("constraint"))
+    layer = lambda n: declared.where(F.col("dep") % n == 0)
+    return overlaid(declared, layer(7), layer(5), layer(3)).select(F.col("dep").alias("id"), F.when(F.col("origin") == "kept", "locked").otherwise(F.col("origin")).alias("origin"))
 
 
 _LOCKS = f"""best AS (SELECT pkg, part, rev, {_tag_text()} AS v, row_number() OVER (PARTITION BY pkg ORDER BY major DESC, minor DESC, patch DESC, part DESC) AS a FROM tag),
@@ -374,17 +384,21 @@ def _locks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_LOCKS} SELECT coalesce(o.pkg, n.pkg) AS pkg, coalesce(o.v, '') AS old_version, coalesce(n.v, '') AS new_version FROM old o FULL JOIN new n ON n.pkg = o.pkg WHERE o.rev IS DISTINCT FROM n.rev", "tag")
 def lock_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages whose revision changed, came or went; what is absent is blank."""
-    old, new = _locks(spark, sf_dir)
-    both = old.alias("o").join(new.alias("n"), "pkg", "full_outer").where(~F.col("o.rev").eqNullSafe(F.col("n.rev")))
-    return both.select("pkg", F.coalesce("o.text", F.lit("")).alias("old_version"), F.coalesce("n.text", F.lit("")).alias("new_version"))
+    from . import audit
+
+    old, new = (x.select(F.col("pkg").alias("name"), F.col("rev").alias("revision"), F.col("text").alias("version")) for x in _locks(spark, sf_dir))
+    return audit.lock_diff(old, new).select(F.col("name").alias("pkg"), F.col("old").alias("old_version"), F.col("new").alias("new_version"))
 
 
 @query(f"WITH {_LOCKS} SELECT pkg, CASE WHEN pkg % 4 = 0 THEN NULL ELSE v END AS version, CASE WHEN pkg % 4 = 0 THEN 'path' ELSE 'git' END AS source_kind FROM old", "tag")
 def lock_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected packages get a path for a source, and lose version and revision."""
+    from .workspace import moved_locks
+
     old, _ = _locks(spark, sf_dir)
-    chosen = old.where("pkg % 4 = 0").select("pkg", F.lit("path").alias("kind"))
-    return old.join(chosen, "pkg", "left").select("pkg", F.when(F.col("kind").isNull(), F.col("text")).alias("version"), F.coalesce("kind", F.lit("git")).alias("source_kind"))
+    lock = old.select(F.col("pkg").alias("name"), F.col("rev").alias("revision"), F.col("text").alias("version"), F.lit("Git").alias("source_kind"), F.lit("u").alias("source_uri"))
+    chosen = old.where("pkg % 4 = 0").select(F.col("pkg").alias("name"), F.lit("/here").alias("path"))
+    return moved_locks(lock, chosen).select(F.col("name").alias("pkg"), "version", F.lower("source_kind").alias("source_kind"))
 
 
 @query(f"""WITH {_LOCKS}, hi AS (SELECT pkg, major, minor, patch, {_tag_text()} AS v FROM (SELECT *, row_number() OVER (PARTITION BY pkg ORDER BY major DESC, minor DESC, patch DESC) AS n FROM tag) x WHERE n = 1),
@@ -404,10 +418,16 @@ def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states(locked.join(said.select("pkg").distinct(), "pkg", "left_semi"), tags.select("pkg", "version"), said).select("pkg", "state")
 
 
-@query("""SELECT k, arg_min(v, layer) AS nearest, arg_max(v, layer) AS farthest, bool_or(layer % 2 = 1) AS any_flag FROM layer GROUP BY k""", "layer")
+@query("""WITH l AS (SELECT layer, k || '/near' AS key, v AS value FROM layer UNION ALL SELECT layer, k || '/far', v FROM layer UNION ALL SELECT layer, k || '/flag', CASE WHEN layer % 9 = 1 THEN 'true' ELSE 'false' END FROM layer)
+SELECT key, CASE WHEN key LIKE '%/near' THEN arg_min(value, layer) WHEN key LIKE '%/far' THEN arg_max(value, layer) ELSE CASE WHEN bool_or(value = 'true') THEN 'true' ELSE 'false' END END AS value FROM l GROUP BY key""", "layer")
 def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest layer for scalars, farthest for overrides, any for flags."""
-    return view(spark, sf_dir, "layer").groupBy("k").agg(F.min_by("v", "layer").alias("nearest"), F.max_by("v", "layer").alias("farthest"), F.bool_or(F.col("layer") % 2 == 1).alias("any_flag"))
+    from ..sources.documents import merged_config
+
+    rows = view(spark, sf_dir, "layer")
+    of = lambda kind, name, value: rows.select("layer", F.concat("k", F.lit(f"/{name}")).alias("key"), value.alias("value"), F.lit(kind).alias("kind"))
+    flag = F.when(F.col("layer") % 9 == 1, "true").otherwise("false")
+    return merged_config(of("scalar", "near", F.col("v")).unionByName(of("map", "far", F.col("v"))).unionByName(of("flag", "flag", flag)))
 
 
 # Manifests and lists
@@ -423,14 +443,14 @@ def run_length_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT regexp_extract(path, '[^/]*$', 0) AS b, arg_max(path, id) AS p, arg_max(pkg, id) AS op FROM (SELECT 'x/' || CAST(id % 500 AS STRING) || '.sv' AS path, pkg, id FROM file WHERE id % 6 = 0) y GROUP BY 1)
-SELECT f.id, coalesce(o.p, f.path) AS path, CASE WHEN o.p IS NOT NULL THEN 'OVERRIDDEN from ' || f.pkg || ': ' || f.path END AS comment FROM file f LEFT JOIN o ON o.b = regexp_extract(f.path, '[^/]*$', 0)""", "file")
+SELECT f.id, coalesce(o.p, f.path) AS path, CASE WHEN o.p IS NOT NULL THEN 'OVERRIDDEN from ' || o.op || ': ' || f.path END AS comment FROM file f LEFT JOIN o ON o.b = regexp_extract(f.path, '[^/]*$', 0)""", "file")
 def override_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files replaced by the last override of their name."""
     from .manifest import override
 
     files = view(spark, sf_dir, "file")
-    given = files.where("id % 6 = 0").select("id", F.concat(F.lit("x/"), (F.col("id") % 500).cast("string"), F.lit(".sv")).alias("path"))
-    return override(files.select("id", "pkg", "path"), given, "id").select("id", "path", "comment")
+    given = files.where("id % 6 = 0").select("id", "pkg", F.concat(F.lit("x/"), (F.col("id") % 500).cast("string"), F.lit(".sv")).alias("path"))
+    return override(files.select("id", "path"), given, "id").select("id", "path", "comment")
 
 
 @query("SELECT name, arg_max(CASE WHEN value IS NULL THEN 'none' ELSE value END, pos) AS value, min(pos) AS pos FROM defn GROUP BY name", "defn")
@@ -451,8 +471,10 @@ def split_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT pkg, id, CASE WHEN id % 2 = 0 THEN replace(path, pkg, '$ROOT') ELSE substr(path, length(pkg) + 2) END AS line FROM file", "file")
 def flist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List lines with the root replaced, or relative to it; text only."""
+    from .render import rooted
+
     files = view(spark, sf_dir, "file")
-    return files.select("pkg", "id", F.when(F.col("id") % 2 == 0, F.replace("path", F.col("pkg"), F.lit("$ROOT"))).otherwise(paths.relative(F.col("path"), F.col("pkg"))).alias("line"))
+    return files.select("pkg", "id", F.when(F.col("id") % 2 == 0, rooted(F.col("path"), F.col("pkg"))).otherwise(paths.relative(F.col("path"), F.col("pkg"))).alias("line"))
 
 
 @query("""WITH i AS (SELECT DISTINCT pkg, 0 AS section, '+incdir+' || pkg || '/inc' || CAST(id % 3 AS STRING) AS line, pkg || '/inc' || CAST(id % 3 AS STRING) AS k FROM file),
@@ -483,15 +505,18 @@ def format_default_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT pkg, id, path, CASE id % 12 WHEN 0 THEN 'view' WHEN 1 THEN 'notview' WHEN 2 THEN 'click_view' WHEN 3 THEN 'click_or_view' WHEN 4 THEN 'view_noterror' WHEN 5 THEN 'signup_or_click_purchase' WHEN 6 THEN 'noterror_or_signup'
-WHEN 7 THEN 'purchase' WHEN 8 THEN 'error_or_view_notpurchase' WHEN 9 THEN 'notclick_signup' WHEN 10 THEN 'notclick_or_notview' ELSE 'files_rtl' END AS fs FROM file)
-SELECT pkg, fs AS fileset, string_agg(path, ' ' ORDER BY id) AS files, count(*) AS n, ':' || ':' || pkg || ':' || '0.1.0' AS vlnv FROM f GROUP BY pkg, fs""", "file")
+WHEN 7 THEN 'purchase' WHEN 8 THEN 'error_or_view_notpurchase' WHEN 9 THEN 'notclick_signup' WHEN 10 THEN 'notclick_or_notview' ELSE 'files_rtl' END AS fs FROM file),
+d AS (SELECT pkg, fs, '::d' || CAST(id % 3 AS STRING) AS v, min(id) AS id FROM f GROUP BY ALL), e AS (SELECT pkg, fs, string_agg(v, ',' ORDER BY id) AS depend FROM d GROUP BY pkg, fs)
+SELECT pkg, fs AS fileset, string_agg(path, ' ' ORDER BY id) AS files, any_value(depend) AS depend, count(*) AS n, ':' || ':' || pkg || ':' || '0.1.0' AS vlnv FROM f JOIN e USING (pkg, fs) GROUP BY pkg, fs""", "file")
 def fileset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files grouped by the name of their target expression."""
-    name = F.lit("files_rtl")
-    for i, e in enumerate(views.EXPRESSIONS):
-        name = F.when(F.col("id") % 12 == i, targets.fileset_name(targets.parse(e))).otherwise(name)
-    files = view(spark, sf_dir, "file").withColumn("fileset", name)
-    return files.groupBy("pkg", "fileset").agg(F.array_join(in_order("path", "id"), " ").alias("files"), F.count("*").alias("n"), paths.vlnv(F.lit(""), F.first("pkg"), F.lit("0.1.0")).alias("vlnv"))
+    """Files grouped by the name of their target expression, each dependency once."""
+    from ..sources.cores import fileset_of, merged_filesets
+
+    files = view(spark, sf_dir, "file").join(view(spark, sf_dir, "tree").select(F.col("node").alias("id"), "target"), "id").withColumn("fileset", fileset_of(F.col("target"), views.EXPRESSIONS))
+    depends = files.select("pkg", "fileset", F.col("id").alias("pos"), F.concat(F.lit("::d"), (F.col("id") % 3).cast("string")).alias("vlnv"))
+    merged = merged_filesets(files.select("pkg", "fileset", F.col("id").alias("pos"), "path", F.lit(None).cast("string").alias("include_path")), depends)
+    listed = F.array_join(F.transform("files", lambda f: f["path"]), " ")
+    return merged.select("pkg", "fileset", listed.alias("files"), F.array_join("depend", ",").alias("depend"), F.size("files").cast("long").alias("n"), paths.vlnv(F.lit(""), F.col("pkg"), F.lit("0.1.0")).alias("vlnv"))
 
 
 @query("""WITH l AS (SELECT doc_id, trim(x.line) AS line, x.n FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n) x),
@@ -538,13 +563,6 @@ def vendor_link_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("id").agg(F.array_join(in_order("path2", "seq2"), ",").alias("excluded"))
 
 
-@query("SELECT s_nationkey AS dir, lpad(CAST(coalesce(max(CAST(substr(nm, 1, 4) AS INT)), 0) + 1 AS STRING), 4, '0') AS next_number FROM (SELECT s_nationkey, lpad(CAST(s_suppkey % 400 AS STRING), 4, '0') || '-fix.patch' AS nm FROM supplier) x GROUP BY s_nationkey")
-def next_patch_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number after the highest leading four digits."""
-    named = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("dir"), F.concat(F.lpad((F.col("s_suppkey") % 400).cast("string"), 4, "0"), F.lit("-fix.patch")).alias("name"))
-    return named.groupBy("dir").agg(F.lpad((F.coalesce(F.max(F.substring("name", 1, 4).cast("int")), F.lit(0)) + 1).cast("string"), 4, "0").alias("next_number"))
-
-
 # Symbols
 
 
@@ -559,12 +577,14 @@ def symbol_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbol_edges(view(spark, sf_dir, "decl"), view(spark, sf_dir, "ref"))
 
 
-@query(f"WITH {_SYM}, seen AS (SELECT idx AS node FROM last WHERE name IN ('u3', 'u21') UNION SELECT d.dst FROM seen s JOIN dep d ON d.src = s.node) SELECT node FROM seen", "decl", "ref", recursive=True)
+@query(f"WITH {_SYM}, seen AS (SELECT idx AS node FROM last WHERE name IN (SELECT min(name) FROM decl UNION ALL SELECT max(name) FROM decl) UNION SELECT d.dst FROM seen s JOIN dep d ON d.src = s.node) SELECT node FROM seen", "decl", "ref", recursive=True)
 def reachable_from_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees reached from the given tops."""
     from ..operators.syntax import reachable
 
-    return reachable(view(spark, sf_dir, "decl"), view(spark, sf_dir, "ref"), ["u3", "u21"])
+    declared = view(spark, sf_dir, "decl")
+    tops = declared.agg(F.min("name"), F.max("name")).first()
+    return reachable(declared, view(spark, sf_dir, "ref"), list(tops))
 
 
 @query("""SELECT page_id AS idx, CASE WHEN page_id % 4 = 3 THEN 'other' WHEN page_id % 13 = 0 THEN 'broken' WHEN page_id % 11 = 0 THEN 'encrypted' ELSE 'ok' END AS cls,
@@ -582,34 +602,34 @@ def retention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT DISTINCT pkg || '/' || CAST(id % 10 AS STRING) AS dir FROM file), h AS (SELECT DISTINCT pkg || '/' || CAST(id % 7 AS STRING) || '/x.svh' AS header FROM file WHERE id % 3 = 0)
 SELECT dir FROM d WHERE EXISTS (SELECT 1 FROM h WHERE header = dir OR starts_with(header, dir || '/'))""", "file")
 def trim_incdirs_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories that some header lies under. Each header is spread over its own ancestors, so the join is by equality."""
+    """Directories that some header lies under."""
     files = view(spark, sf_dir, "file")
+    from .sources import used_dirs
+
     dirs = files.select(F.concat_ws("/", "pkg", (F.col("id") % 10).cast("string")).alias("dir")).distinct()
     headers = files.where("id % 3 = 0").select(F.concat_ws("/", "pkg", (F.col("id") % 7).cast("string"), F.lit("x.svh")).alias("header")).distinct()
-    parts = F.split("header", "/")
-    above = headers.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("dir"))
-    return dirs.join(above, "dir", "left_semi")
+    return used_dirs(dirs, headers)
 
 
-@query("""WITH m AS (SELECT DISTINCT name, CASE WHEN name IN ('u1', 'u2') THEN name ELSE 'pre_' || name || '_suf' END AS new FROM decl) SELECT r.idx, r.name, coalesce(m.new, r.name) AS new_name, coalesce(m.new <> r.name, false) AS renamed FROM ref r LEFT JOIN m USING (name)""", "decl", "ref")
+@query("""WITH m AS (SELECT DISTINCT name, CASE WHEN name IN ('the', 'de') THEN name ELSE 'pre_' || name || '_suf' END AS new FROM decl) SELECT r.idx, r.name, coalesce(m.new, r.name) AS new_name, coalesce(m.new <> r.name, false) AS renamed FROM ref r LEFT JOIN m USING (name)""", "decl", "ref")
 def rename_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared names get a prefix and suffix, but for excluded ones; unknown names stay."""
     from ..operators.syntax import rename_map
 
-    names = rename_map(view(spark, sf_dir, "decl").select("name"), "pre_", "_suf", ["u1", "u2"])
+    names = rename_map(view(spark, sf_dir, "decl").select("name"), "pre_", "_suf", ["the", "de"])
     return view(spark, sf_dir, "ref").join(names, "name", "left").select("idx", "name", F.coalesce("new_name", "name").alias("new_name"), F.coalesce(F.col("new_name") != F.col("name"), F.lit(False)).alias("renamed"))
 
 
 # Sources, diagnostics, small functions
 
 
-@query("""WITH r AS (SELECT 'refs/tags/v' || CAST(part % 100 AS STRING) AS ref, rev, part % 2 = 0 AS peeled, part FROM tag WHERE part < 200)
+@query("""WITH r AS (SELECT 'refs/tags/v' || CAST(part % 100 AS STRING) AS ref, rev, part % 2 = 0 AS peeled, part FROM tag)
 SELECT ref, coalesce(min(rev) FILTER (WHERE peeled), min(rev)) AS hash FROM r GROUP BY ref""", "tag")
 def parse_refs_peeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing lines; the peeled hash of an annotated tag replaces the tag's own."""
     from ..sources.git import parse_refs
 
-    tags = view(spark, sf_dir, "tag").where("part < 200")
+    tags = view(spark, sf_dir, "tag")
     lines = tags.select(F.concat("rev", F.lit(" refs/tags/v"), (F.col("part") % 100).cast("string"), F.when(F.col("part") % 2 == 0, "^{}").otherwise("")).alias("value"))
     return parse_refs(lines).select("ref", "hash")
 

@@ -11,12 +11,13 @@ from ..operators import tree
 
 
 def override(files: DataFrame, given: DataFrame, order: str) -> DataFrame:
-    """``files`` (pkg, path) with those of an override's name replaced by the last such override; ``comment`` says by
-    what. An override list is written by hand, and a broadcast if small enough for Spark to choose so."""
-    last = given.withColumn("base", paths.basename(F.col("path"))).groupBy("base").agg(F.max_by("path", order).alias("new"))
+    """``files`` (path) with those of an override's name replaced by the last such override of ``given`` (pkg, path);
+    ``comment`` says whose it is and what it replaces. An override list is written by hand, and a broadcast if small enough
+    for Spark to choose so."""
+    last = given.withColumn("base", paths.basename(F.col("path"))).groupBy("base").agg(F.max_by(F.struct(F.col("path").alias("new"), F.col("pkg").alias("by")), order).alias("over"))
     both = files.withColumn("base", paths.basename(F.col("path"))).join(last, "base", "left")
-    note = F.concat(F.lit("OVERRIDDEN from "), F.col("pkg"), F.lit(": "), F.col("path"))
-    return both.withColumn("comment", F.when(F.col("new").isNotNull(), note)).withColumn("path", F.coalesce("new", "path")).drop("base", "new")
+    note = F.concat(F.lit("OVERRIDDEN from "), F.col("over.by"), F.lit(": "), F.col("path"))
+    return both.withColumn("comment", F.when(F.col("over").isNotNull(), note)).withColumn("path", F.coalesce("over.new", "path")).drop("base", "over")
 
 
 def render_groups(files: DataFrame, defines: DataFrame, dirs: DataFrame) -> DataFrame:

@@ -59,8 +59,13 @@ def _texts(*values: str) -> Column:
     return F.array(*map(F.lit, values)) if values else F.expr("cast(array() as array<string>)")
 
 
+def rooted(path: Column, root: Column) -> Column:
+    """The root's text replaced wherever it stands."""
+    return F.replace(path, root, F.lit("$ROOT"))
+
+
 def _rooted(path: Column, root: str) -> Column:
-    return F.replace(path, F.lit(root), F.lit("$ROOT")) if root else path
+    return rooted(path, F.lit(root)) if root else path
 
 
 def define_text(d: Column) -> Column:

@@ -1,6 +1,7 @@
 """Package graphs, source trees and version lists derived from the star-schema tables.
 
-The same text runs in Spark and in the oracle: ``{table}`` stands for a Parquet path in one and a table in the other.
+The same text runs in Spark and in the oracle: ``{table}`` stands for a Parquet path in one and a table in the other,
+``{explode}`` for the function that makes rows of an array. Every view reads all rows of its tables.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ VIEWS = {
     "req": "SELECT src, dst, pos, CASE src % 8 WHEN 0 THEN '1' WHEN 1 THEN '^1.10.0' WHEN 2 THEN '~1.22' WHEN 3 THEN '>=1.0.0, <2.0.0' WHEN 4 THEN '2' WHEN 5 THEN '<1.20' WHEN 6 THEN '>0.9.1' ELSE '*' END AS req FROM edge",
     "file": "SELECT source AS pkg, doc_id AS id, CAST(floor(doc_id / 4) AS BIGINT) AS grp, doc_id % 4 AS pos, source || '/' || CAST(doc_id AS STRING) || CASE lang WHEN 'en' THEN '.sv' WHEN 'de' THEN '.v' WHEN 'fr' THEN '.vhd' ELSE '.txt' END AS path FROM {documents}",
     "tree": f"SELECT doc_id AS node, CASE WHEN doc_id = 0 THEN NULL ELSE CAST(floor(doc_id / 4) AS BIGINT) END AS parent, doc_id % 4 AS pos, source AS pkg, CASE doc_id % 12 {_CASE} END AS target FROM {{documents}}",
-    "active": "SELECT user_id, event_type AS t, min(event_id) AS pos FROM {events} WHERE event_id % 7 = 0 GROUP BY user_id, event_type",
+    "active": "SELECT user_id * 16 + event_id % 16 AS user_id, event_type AS t, min(event_id) AS pos FROM {events} GROUP BY user_id * 16 + event_id % 16, event_type",
     "layer": "SELECT c_nationkey AS layer, c_mktsegment AS k, min(c_name) AS v FROM {customer} GROUP BY c_nationkey, c_mktsegment",
     "defn": "SELECT user_id AS grp, event_id AS pos, 'K' || CAST(event_id % 9 AS STRING) AS name, CASE WHEN event_id % 5 = 0 THEN NULL ELSE regexp_extract(props, '([0-9]+)', 1) END AS value FROM {events}",
-    "decl": "SELECT page_id AS idx, 'u' || CAST(page_id % 50 AS STRING) AS name FROM {pages}",
-    "ref": "SELECT page_id AS idx, 'u' || CAST((page_id * 7 + k) % 60 AS STRING) AS name FROM {pages} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 5) ks",
+    "decl": "SELECT page_id AS idx, regexp_extract(html, 'href=\"/([^\"]+)\"', 1) AS name FROM {pages} WHERE regexp_extract(html, 'href=\"/([^\"]+)\"', 1) <> ''",
+    "ref": "SELECT DISTINCT page_id AS idx, {explode}(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS name FROM {pages}",
     "line": "SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'Receiving objects: ' || CAST(user_id % 101 AS STRING) || '% (1/9)' WHEN 1 THEN 'Resolving deltas: ' || CAST(user_id % 101 AS STRING) || '% (1/9), done.' WHEN 2 THEN 'Cloning into ''' || event_type || '''...' WHEN 3 THEN 'Submodule ''libs/' || event_type || ''' (u) registered for path ''libs/' || event_type || '''' WHEN 4 THEN 'Submodule path ''libs/' || event_type || ''': checked out ''abc''' WHEN 5 THEN 'fatal: ' || event_type || ' failed' WHEN 6 THEN 'remote: Counting objects' ELSE '' END AS line FROM {events}",
 }
 NEEDS = {"req": ["edge"]}
@@ -40,14 +41,14 @@ def sql(view: str, tables: dict[str, str]) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the Parquet tables in ``sf_dir``."""
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | {"explode": "explode"}
     heads = [f"{n} AS ({sql(n, tables)})" for n in NEEDS.get(name, [])]
     return spark.sql(("WITH " + ", ".join(heads) + " " if heads else "") + sql(name, tables))
 
 
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
     """``body`` after the views it names, as one statement for the oracle."""
-    tables = {t: t for t in TABLES}
+    tables = {t: t for t in TABLES} | {"explode": "unnest"}
     order = list(dict.fromkeys(n for name in names for n in [*NEEDS.get(name, []), name]))
     heads = ", ".join(f"{n} AS ({sql(n, tables)})" for n in order)
     body = body.strip()

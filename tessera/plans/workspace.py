@@ -167,6 +167,14 @@ def kept_locked(lock: DataFrame, requested: list[str] | None = None, *, new_only
     return lock.select("name").join(start.select(F.col("node").alias("name")), "name", "left_anti")
 
 
+def moved_locks(lock: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A lock with the rows of ``chosen`` (name, path) led to a path: they have neither version nor revision."""
+    both = lock.join(chosen.select("name", F.col("path").alias("to")), "name", "left")
+    here = F.col("to").isNotNull()
+    new = {"revision": F.when(~here, F.col("revision")), "version": F.when(~here, F.col("version")), "source_kind": F.when(here, "Path").otherwise(F.col("source_kind")), "source_uri": F.coalesce("to", "source_uri")}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in lock.columns])
+
+
 def refetches(constraints: DataFrame, fits: DataFrame, fetched: DataFrame) -> DataFrame:
     """(dep, source, ref): fetches that may still give a constraint a candidate. A constraint (dep, source, constraint,
     is_revision) without a row in ``fits`` asks for a plain fetch (null ref) first; if that is among ``fetched`` (dep,

@@ -39,6 +39,33 @@ def test_closure(spark):
     assert found(graph.closure(e.limit(0), nodes(spark, 7))) == [7]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_walks_in_one_task_and_by_joins(spark, monkeypatch, small):
+    import random
+
+    if not small:
+        monkeypatch.setattr(graph, "SMALL_EDGES", -1)
+    rng = random.Random(7)
+    pairs = {(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(18)) if a < b}
+    e = edges(spark, *pairs)
+    longest = {0: 0}
+    for n in range(12):
+        for a, b in sorted(pairs):
+            if a == n and a in longest:
+                longest[b] = max(longest.get(b, 0), longest[a] + 1)
+    every = {x for p in pairs for x in p} | {0}
+    assert {r.node: r["rank"] for r in graph.ranks(e, nodes(spark, 0)).collect()} == {n: longest.get(n, 0) for n in every}
+    assert found(graph.closure(e, nodes(spark, 0))) == sorted(longest)
+    assert found(graph.on_cycles(edges(spark, *pairs, (11, 11), (20, 21), (21, 20), (21, 22), (22, 23), (23, 22)))) == [11, 20, 21, 22, 23]
+    with pytest.raises(graph.CycleError):
+        graph.ranks(edges(spark, (0, 1), (1, 2), (2, 1)), nodes(spark, 0))
+
+
+def test_deep_graph(spark):
+    e = spark.range(1000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.ranks(e, nodes(spark, 0)).agg(F.max("rank")).first()[0] == 1000 and graph.on_cycles(e).count() == 0
+
+
 def test_runs(spark):
     df = spark.createDataFrame([(0, i, t) for i, t in enumerate(["a", "a", None, None, "b", "a"])], "g long, i long, t string")
     assert [r.run for r in tree.runs(df, F.col("t"), ["i"], ["g"]).orderBy("i").collect()] == [1, 1, 2, 2, 3, 4]
@@ -120,8 +147,72 @@ def test_resolve(spark):
     refs = spark.createDataFrame([("a", "main", "a0")], "dep string, name string, rev string")
     assert {r.dep: r.rev for r in resolve.resolve(say([("root", "a", 0, "git", "main"), ("root", "b", 1, "git", "b1")]), c, "root", refs)[0].collect()} == {"a": "a0", "b": "b1"}
     assert [r.dep for r in resolve.resolve(say([("root", "a", 0, "git", "nobranch")]), c, "root", refs)[1].collect()] == ["a"]
-    kept = spark.createDataFrame([("a", "a0")], "dep string, rev string")
+    kept = spark.createDataFrame([("a", "git", "a0")], "dep string, source string, rev string")
     assert resolve.resolve(say([("root", "a", 0, "git", "1")]), c, "root", locked=kept)[0].first().rev == "a0"
+    decided = resolve.resolve(say([("root", "a", 0, "git", "^1.0.0"), ("root", "b", 1, "git", "1"), ("b", "a", 0, "git", "2")]), c, "root", decisions=kept)
+    assert {r.dep: r.rev for r in decided[0].collect()} == {"a": "a0", "b": "b1"} and decided[1].count() == 0
+    for rows in ([("root", "root", 0, "git", "1")], [("root", "a", 0, "git", "1"), ("a", "a", 0, "git", "1")]):
+        with pytest.raises(ValueError, match="called like"):
+            resolve.resolve(say(rows), c, "root")
+
+
+def test_manifest_of_the_picked_version(spark, monkeypatch):
+    c = candidates(spark, [("a", "1.0.0", "a1"), ("a", "2.0.0", "a2"), ("b", "1.0.0", "b1"), ("b", "2.0.0", "b2"), ("c", "1.0.0", "c1"), ("z", "1.0.0", "z1")])
+    say = spark.createDataFrame([("root", None, "a", 0, "git", "*"), ("root", None, "z", 1, "git", "1"), ("z", "z1", "a", 0, "git", "1"), ("a", "a2", "c", 0, "git", "1"), ("a", "a1", "b", 0, "git", "1")], resolve.DECLARED)
+    for few in (resolve.SMALL_ROWS, -1):
+        monkeypatch.setattr(resolve, "SMALL_ROWS", few)
+        picked, bad = resolve.resolve(say, c, "root")
+        # a starts at 2, whose need of c stays in the table; z's need takes it to 1, which needs b
+        assert {r.dep: r.rev for r in picked.collect()} == {"a": "a1", "z": "z1", "c": "c1", "b": "b1"} and bad.count() == 0
+    lock = {r.name: r for r in resolve.lock_rows(picked, say).collect()}
+    assert (lock["a"].version, lock["a"].dependencies, lock["z"].dependencies, lock["c"].source_kind) == ("1.0.0", ["b"], ["a"], "Git")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_both_ways_of_settling(spark, monkeypatch, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"p{i}", f"{v}.{m}.0", f"r{i}{v}{m}") for i in range(6) for v in (1, 2) for m in range(2)]
+    c = candidates(spark, rows)
+    asks = ["*", "1", "2", ">=1.1.0", "<2.0.0", "=1.0.0", "~2.1"]
+    say = [("root", None, f"p{i}", i, "git", rng.choice(asks[:2])) for i in range(2)]
+    say += [(p, r, f"p{j}", k, "git", rng.choice(asks)) for p, _, r in rows for k, j in enumerate(rng.sample(range(6), 2)) if f"p{j}" != p and rng.random() < 0.6]
+    df = spark.createDataFrame(say, resolve.DECLARED)
+    got = []
+    for few in (resolve.SMALL_ROWS, -1):
+        monkeypatch.setattr(resolve, "SMALL_ROWS", few)
+        picked, bad = resolve.resolve(df, c, "root")
+        got.append((sorted((r.dep, r.rev) for r in picked.collect()), sorted(map(tuple, bad.collect()))))
+    assert got[0] == got[1] and got[0][0]
+
+
+def test_sources_and_paths(spark):
+    c = candidates(spark, [("a", "1.0.0", "a1"), ("b", "1.0.0", "b1")]).select(F.concat(F.lit("u/"), "dep").alias("source"), "version", "text", "rev")
+    say = spark.createDataFrame([("root", None, "a", 0, "u/a", "1"), ("root", None, "p", 1, "/here", None), ("p", None, "a", 0, "u/a", None if False else "^1"), ("root", None, "b", 2, "u/b", "1")], resolve.DECLARED)
+    over = spark.createDataFrame([("b", "/mine", None)], "dep string, source string, constraint string")
+    said = resolve.overlaid(say, overrides=over).drop("origin")
+    picked, bad = resolve.resolve(said, resolve.available(said, c), "root")
+    assert {r.dep: (r.source, r.rev) for r in picked.collect()} == {"a": ("u/a", "a1"), "p": ("/here", ""), "b": ("/mine", "")} and bad.count() == 0
+    assert {r.name: r.source_kind for r in resolve.lock_rows(picked, said).collect()} == {"a": "Git", "p": "Path", "b": "Path"}
+    lock = spark.createDataFrame([("a", "a1", "1.0.0", "Git", "u/a"), ("g", "gone", None, "Git", "u/g"), ("p", None, None, "Path", "/here"), ("n", None, None, "Git", "u/n")], "name string, revision string, version string, source_kind string, source_uri string")
+    asked = resolve.lock_constraints(lock)
+    assert {(r.dep, r.constraint) for r in asked.collect()} == {("a", "=1.0.0"), ("g", "gone"), ("p", None)}
+    kept, lost = resolve.kept_locks(asked, resolve.available(said, c))
+    assert {r.dep for r in kept.collect()} == {"a", "p"} and [(r.subject, r.code) for r in lost.collect()] == [("g", "W23")]
+
+
+def test_revisions_in_order(spark):
+    c = candidates(spark, [("a", "1.0.0", "abc1")]).unionByName(candidates(spark, [("a", None, "abd2"), ("a", None, "abe3")]))
+    order = resolve.indexed(spark.createDataFrame([("git", "abe3\nabd2\nabc1\n")], "source string, value string"))
+    say = spark.createDataFrame([("root", None, "a", 0, "git", "ab")], resolve.DECLARED)
+    assert resolve.resolve(say, c, "root", order=order)[0].first().rev == "abe3"
+
+
+def test_conflict_listing(spark):
+    rows = [("d", 1, "^1"), ("d", 1, "main"), ("d", 1, ">=1.5, <2"), ("d", 1, "*"), ("d", 1, None), ("d", 0, "2"), ("d", 1, "^1")]
+    got = resolve.conflict_order(spark.createDataFrame(rows, "dep string, source int, constraint string")).orderBy("place").collect()
+    assert [r.constraint for r in got] == ["2", "main", "*", ">=1.5, <2", "^1", None]
 
 
 def test_audit(spark):

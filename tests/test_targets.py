@@ -54,6 +54,20 @@ def test_compiled_predicates(spark):
         assert r.hit == (r.t is None or holds(T.parse(r.t), r.s))
 
 
+def test_programs(spark, monkeypatch):
+    monkeypatch.setattr(T, "MOST_CASES", 2)
+    texts = ["all(a, not(b))", "any(c, all(a, b))", "not(any(a, c))", "not(not(all(any(a, b), any(b, c), d)))", "d"]
+    sets = [[], ["a"], ["a", "b"], ["c"], ["b"], ["a", "b", "c", "d"], ["b", "d"]]
+    df = spark.createDataFrame([(t, s) for t in [*texts, None] for s in sets], "t string, s array<string>")
+    rows = T.evaluated(df, "t", F.col("s"), "hit").collect()
+    assert len(rows) == df.count() and all(r.hit == (r.t is None or holds(T.parse(r.t), r.s)) for r in rows)
+
+
+def test_many_expressions(spark):
+    df = spark.range(3000).select(F.concat(F.lit("all(a, t"), F.col("id").cast("string"), F.lit(")")).alias("t"), F.array(F.lit("a"), F.concat(F.lit("t"), (F.col("id") + F.col("id") % 2).cast("string"))).alias("s"), "id")
+    assert T.evaluated(df, "t", F.col("s"), "hit").where(F.col("hit") != (F.col("id") % 2 == 0)).count() == 0
+
+
 def test_for_package(spark):
     df = spark.createDataFrame([(["a", "p:b", "q:c", "*:d", "-a", "p:-d", "e"],)], "raw array<string>")
     assert df.select(T.for_package(F.col("raw"), F.lit("p")).alias("x")).first().x == ["b", "e"]
