@@ -50,17 +50,20 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
     misses = written(distinct.join(known().select("digest"), "digest", "left_anti").select("chosen", F.col("digest").alias("wanted")), "misses")
     n_misses = misses.count()
     if n_misses:
-        few = F.broadcast(misses) if n_misses <= BROADCAST_ROWS else misses.hint("shuffle_hash")
-        same = F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.sha2("text", 256) == F.col("wanted"))
-        to_do = texts.join(few, same).select("wanted", "text")
+        by_id = misses.where("chosen IS NOT NULL").select("chosen")
+        by_id = F.broadcast(by_id) if n_misses <= BROADCAST_ROWS else by_id.hint("shuffle_hash")
+        digested = texts.select("doc_id", "text").withColumn("wanted", F.sha2("text", 256))
+        # rows that share an id with a chosen one are encoded too; rows without an id are found by their digests
+        to_do = texts.join(by_id, F.col("doc_id") == F.col("chosen")).select(F.sha2("text", 256).alias("wanted"), "text")
+        to_do = to_do.unionByName(digested.where("doc_id IS NULL").join(misses.where("chosen IS NULL").select("wanted"), "wanted").select("wanted", "text"))
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             enc = tokens.encoder(shipped)
             n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
             return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-        # rows that repeat both id and text are encoded each, and told once
         counted = arrow_map(to_do, run, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        counted = counted.join(misses.select(F.col("wanted").alias("digest")), "digest", "left_semi")
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     told = written(distinct.join(known(), "digest").select("digest", "n_tokens", "n"), "token-counts")
     return join_counted(digests, told, "digest", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -19,13 +19,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _U(29))) * _MIX_B
 
 
-def span_words(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """The bytes of each span [start, end), of at most SHORT bytes, as WORDS little-endian words, filled up with zeros."""
+def span_words(values: np.ndarray, start: np.ndarray, end: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """The bytes of each span [start, end), of at most 8 bytes a word, as little-endian words, filled up with zeros."""
     padded = np.concatenate([values, np.zeros(SHORT, np.uint8)])
     at_byte = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
     length = end - start
     out = [at_byte[start] & _MASK[np.minimum(length, 8)]]
-    for k in range(1, WORDS):
+    for k in range(1, words):
         word, more = np.zeros(len(start), _U), np.flatnonzero(length > 8 * k)
         word[more] = at_byte[start[more] + 8 * k] & _MASK[np.minimum(length[more] - 8 * k, 8)]
         out.append(word)

@@ -11,18 +11,20 @@ from pathlib import Path
 
 import numpy as np
 
-from .hashing import SHORT, span_words, words_hash
+from .hashing import span_words, words_hash
 
-#: Chunks kept per Python worker (some 60 bytes each); beyond it the memo starts anew. Bounds memory, never changes
+#: Chunks kept per Python worker (some 45 bytes each); beyond it the memo starts anew. Bounds memory, never changes
 #: a result: a chunk is found by a hash of its bytes, but the bytes decide.
-MEMO_CHUNKS = 1_500_000
-#: Longer chunks than this are known by a dictionary of their bytes, or, from the second figure on, not kept at all.
-KEY_BYTES, KEPT_BYTES, LONG_CHUNKS = SHORT - 1, 256, 50_000
+MEMO_CHUNKS = 1_000_000
+#: Words that hold a chunk with what stands before it. Longer chunks are known by a dictionary of their bytes, or, from
+#: KEPT_BYTES on, not kept at all.
+KEY_WORDS = 2
+KEY_BYTES, KEPT_BYTES, LONG_CHUNKS = 8 * KEY_WORDS - 1, 256, 50_000
 #: From here on, library and Python may not agree on what a letter is; and the marks that never join letters.
 FIRST_UNSURE = "\u0530"
 MARKS = ".,;:!?)]}*%&$#|\"-"
 #: Bytes of text cut into chunks at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 @functools.cache
@@ -83,8 +85,8 @@ class Memo:
 
     def __init__(self, dtype: np.dtype):
         self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.words = [np.zeros(1 << 14, np.uint64) for _ in range(SHORT // 8)]
-        self.place, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.words = [np.zeros(1 << 14, np.uint64) for _ in range(KEY_WORDS)]
+        self.place, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.uint16)
         self.pool, self.used = np.zeros(1 << 16, dtype), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -96,17 +98,17 @@ class Memo:
 
     def room(self, ids: list[int]) -> int:
         """Puts ids behind those in use, where the next call overwrites them unless they are kept; their place."""
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.r_[self.pool[: self.used], np.zeros(self.used // 3 + 2 * len(ids), self.pool.dtype)]
         self.pool[self.used : self.used + len(ids)] = ids
         return self.used
 
     def add(self, keys: np.ndarray, words: list[np.ndarray], ids: list[int], lengths: list[int]) -> None:
         """``keys`` ascending and new; ``ids`` of all chunks, one after the other."""
         n, more, length = len(self.keys), len(keys), np.array(lengths, np.int32)
-        while n + more > len(self.place):
-            self.words = [np.r_[w, np.zeros_like(w)] for w in self.words]
-            self.place, self.length = np.r_[self.place, np.zeros_like(self.place)], np.r_[self.length, np.zeros_like(self.length)]
+        if n + more > len(self.place):
+            grown = lambda a: np.r_[a[:n], np.zeros(n // 3 + 2 * more, a.dtype)]
+            self.words, self.place, self.length = [grown(w) for w in self.words], grown(self.place), grown(self.length)
         for own, new in zip(self.words, words, strict=True):
             own[n : n + more] = new
         self.place[n : n + more] = self.room(ids) + np.cumsum(length, dtype=np.int64) - length
@@ -258,7 +260,7 @@ class Encoder:
 
     def _short(self, joined: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place and number of the ids of each chunk, and which chunks share a hash with other bytes: those are not told."""
-        words = span_words(raw, start, end)
+        words = span_words(raw, start, end, KEY_WORDS)
         words[-1] |= before << np.uint64(8 * (KEY_BYTES % 8))
         keys, at, inverse = np.unique(words_hash(words), return_index=True, return_inverse=True)
         row = self.memo.find(keys)
