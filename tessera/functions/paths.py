@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: File types by extension, for lists and for core files.
@@ -65,6 +65,29 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(safe, "\u0001", ".*"), F.lit("$"))
 
 
+def is_glob(pattern: Column) -> Column:
+    """Whether a path is a pattern; brackets alone make none."""
+    return pattern.rlike(r"[*?]")
+
+
+def expanded_globs(files: DataFrame, listing: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(files, warnings): ``files`` with a row for each path of the listing (path) that a pattern matches, and W05 rows
+    (subject, code, severity, message) for patterns without one. Plain paths stay. Patterns are joined to files by
+    their first folder where it is plain, so that only neighbours are compared."""
+    rest = [c for c in files.columns if c != path]
+    plain = files.where(~is_glob(F.col(path)))
+    top = lambda p: F.regexp_extract(p, r"^(/?[^/]*)/", 1)
+    patterns = files.where(is_glob(F.col(path))).withColumn("top_", F.when(~is_glob(top(F.col(path))), top(F.col(path))))
+    there = listing.select(F.col("path").alias("found_")).distinct().withColumn("own_", top(F.col("found_")))
+    fits = F.rlike(F.col("found_"), glob_regex(F.col(path)))
+    near = patterns.where("top_ IS NOT NULL").join(there, F.col("top_") == F.col("own_")).where(fits)
+    wide = patterns.where("top_ IS NULL").join(there, fits)
+    hits = near.unionByName(wide)
+    lost = patterns.join(hits.select(F.col(path).alias("hit_")).distinct(), F.col(path) == F.col("hit_"), "left_anti")
+    told = lost.select(F.col(path).alias("subject"), F.lit("W05").alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("no file matches "), F.col(path)).alias("message")).distinct()
+    return plain.select(*rest, path).unionByName(hits.select(*rest, F.col("found_").alias(path))), told
+
+
 def loose_glob_regex(pattern: Column) -> Column:
     """As ``glob_regex``, but every wildcard crosses components: the rule of copying."""
     safe = F.regexp_replace(pattern, r"([.+^${}()|\[\]\\])", r"\\$1")

@@ -182,6 +182,13 @@ def rename_map(declared: DataFrame, prefix: str, suffix: str, exclude: list[str]
     return declared.select("name").distinct().select("name", F.when(kept, F.col("name")).otherwise(F.concat(F.lit(prefix), "name", F.lit(suffix))).alias("new_name"))
 
 
+def renamed_counts(declared: DataFrame, referenced: DataFrame, names: DataFrame) -> DataFrame:
+    """(declarations, uses): how many declared and referenced names (name) a map (name, new_name) changes."""
+    changed = names.where("name <> new_name").select("name")
+    own = declared.join(changed, "name", "left_semi").agg(F.count("*").alias("declarations"))
+    return own.crossJoin(referenced.join(changed, "name", "left_semi").agg(F.count("*").alias("uses")))  # one row each
+
+
 def resolved_headers(included: DataFrame, listing: DataFrame, dirs: DataFrame) -> DataFrame:
     """Distinct header paths: names (idx, name) found under an include directory (dir) in the listing (path)."""
     joined = included.crossJoin(F.broadcast(dirs)).select(F.concat_ws("/", "dir", "name").alias("path"))  # a few dozen directories

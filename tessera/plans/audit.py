@@ -44,3 +44,28 @@ def lock_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumn("here", F.lit(True)).alias("o").join(new.withColumn("here", F.lit(True)).alias("n"), "name", "full_outer")
     changed = ~F.col("o.revision").eqNullSafe(F.col("n.revision")) | F.col("o.here").isNull() | F.col("n.here").isNull()
     return both.where(changed).select("name", shown("o").alias("old"), shown("n").alias("new"))
+
+
+def parents_of(locked: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((dep, parent, constraint, source), warnings): who needs a package by the lock (src, dst) and what its manifest says
+    (parent, dep, constraint, source); a parent whose manifest does not name it is stale, told as W17."""
+    edges = locked.select(F.col("src").alias("parent"), F.col("dst").alias("dep")).distinct()
+    found = edges.join(declared, ["parent", "dep"]).select("dep", "parent", "constraint", "source")
+    stale = edges.join(declared.select("parent", "dep"), ["parent", "dep"], "left_anti").select(F.col("parent").alias("subject")).distinct()
+    told = stale.select("subject", F.lit("W17").alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("the manifest and the lock differ on "), "subject").alias("message"))
+    return found, told
+
+
+def counts(packages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(packages, width, needs): how many packages there are, the widest name, and how many dependencies."""
+    own = packages.agg(F.count("*").alias("packages"), F.max(F.char_length("name")).alias("width"))
+    return own.crossJoin(edges.agg(F.count("*").alias("needs")))  # one row each
+
+
+def listed(ranks: DataFrame, lock: DataFrame, root: str | None = None) -> DataFrame:
+    """(place, name, rank, version) of the packages of a lock (name, version), highest rank first; with ``root`` that package
+    comes last, without a version."""
+    rows = lock.join(ranks.withColumnRenamed("pkg", "name"), "name").select("name", "rank", "version")
+    if root is not None:
+        rows = rows.unionByName(rows.sparkSession.createDataFrame([(root, -1, None)], "name string, rank long, version string"))
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("rank"), "name")).alias("place"), "name", "rank", "version")

@@ -530,14 +530,6 @@ def flist_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("doc_id").agg(F.count_if(F.startswith("word", F.lit("+"))).alias("n_plus"), F.count_if(~F.startswith("word", F.lit("+")) & (F.col("word") != "")).alias("n_files"))
 
 
-@query("SELECT p.pat, count(*) AS n, min(f.path) AS first_path FROM (VALUES ('src1/*.sv'), ('src?/1*.v'), ('*/*7.vhd')) p(pat) JOIN file f ON f.path GLOB p.pat AND (p.pat <> 'x') GROUP BY p.pat", "file")
-def glob_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns to matching files; the few patterns are the broadcast side."""
-    patterns = spark.createDataFrame([("src1/*.sv",), ("src?/1*.v",), ("*/*7.vhd",)], "pat string")
-    hits = view(spark, sf_dir, "file").join(F.broadcast(patterns), F.rlike(F.col("path"), paths.glob_regex(F.col("pat"))))
-    return hits.groupBy("pat").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
-
-
 @query("SELECT id, path FROM file WHERE (path GLOB 'src1*/*' OR path GLOB 'src2/*.sv') AND NOT path GLOB '*/1*'", "file")
 def include_exclude_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept where an include pattern matches and no exclude pattern does."""
@@ -548,21 +540,6 @@ def include_exclude_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(F.broadcast(include), hit, "left_semi").join(F.broadcast(exclude), hit, "left_anti").select("id", "path")
 
 
-@query("""WITH link AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'r' || CAST(n_regionkey AS STRING) ELSE 'r' || CAST(n_regionkey AS STRING) || '/n' || CAST(n_nationkey AS STRING) END AS path FROM nation),
-o AS (SELECT id, path, row_number() OVER (ORDER BY length(path) - length(replace(path, '/', '')) DESC, id) AS seq FROM link)
-SELECT CAST(a.id AS BIGINT) AS id, coalesce(string_agg(b.path, ',' ORDER BY b.seq), '') AS excluded FROM o a LEFT JOIN o b ON b.seq < a.seq AND (b.path = a.path OR starts_with(b.path, a.path || '/')) GROUP BY a.id""")
-def vendor_link_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deeper links first; each leaves out those already taken below it. Links of one vendor are few."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    path = F.concat_ws("/", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))))
-    links = nation.select(F.col("n_nationkey").cast("long").alias("id"), path.alias("path"), F.col("n_regionkey").alias("top"))
-    w = Window.partitionBy("top").orderBy(F.desc(F.size(F.split("path", "/"))), "id")
-    links = links.withColumn("seq", F.row_number().over(w))
-    before = links.select(F.col("top"), F.col("seq").alias("seq2"), F.col("path").alias("path2"))
-    hits = links.join(before, (links["top"] == before["top"]) & (F.col("seq2") < F.col("seq")) & paths.under(F.col("path2"), F.col("path")), "left")
-    return hits.groupBy("id").agg(F.array_join(in_order("path2", "seq2"), ",").alias("excluded"))
-
-
 # Symbols
 
 
@@ -690,15 +667,6 @@ def progress_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(view(spark, sf_dir, "line"), "line").select("id", "class", "percent")
 
 
-@query(None)
-def progress_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of each operation after its last progress line."""
-    from ..streaming.progress import latest
-
-    lines = view(spark, sf_dir, "line").select((F.col("id") % 5).alias("operation"), F.col("id").alias("seq"), "line")
-    return latest(lines)
-
-
 @query(None)
 def checkout_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """names of checkouts and databases, by a hash of url and root."""
@@ -745,9 +713,15 @@ def resolve_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     reqs = view(spark, sf_dir, "req")
     candidates = _tags(spark, sf_dir).select(F.col("pkg").cast("string").alias("dep"), F.lit("git").alias("source"), "version", F.col("text"), "rev")
-    declared = reqs.select(F.col("src").cast("string").alias("parent"), F.col("dst").cast("string").alias("dep"), "pos", F.lit("git").alias("source"), F.col("req").alias("constraint"))
-    picked, conflicts = resolve(declared, candidates, root=str(reqs.agg(F.max("src")).first()[0]))
-    return picked.select("dep", "text", "rev", F.lit("picked").alias("state")).unionByName(conflicts.select("dep", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("rev"), F.lit("conflict").alias("state")))
+    # an odd minor version asks for less than an even one
+    revs = candidates.select(F.col("dep").alias("parent"), F.col("rev").alias("parent_rev"), (F.col("version.minor") % 2 == 1).alias("odd")).distinct()
+    rows = reqs.select(F.col("src").cast("string").alias("parent"), F.col("dst").cast("string").alias("dep"), "pos", F.lit("git").alias("source"), "req")
+    declared = rows.join(revs, "parent").select("parent", "parent_rev", "dep", "pos", "source", F.when(F.col("odd"), "*").otherwise(F.col("req")).alias("constraint"))
+    root = rows.groupBy().agg(F.max(F.col("parent").cast("long"))).first()[0]
+    asked = rows.where(F.col("parent") == str(root)).select(F.lit("top").alias("parent"), F.lit(None).cast("string").alias("parent_rev"), "dep", "pos", "source", F.col("req").alias("constraint"))
+    picked, failed = resolve(declared.unionByName(asked), candidates, "top")
+    none = F.lit(None).cast("string")
+    return picked.select("dep", "text", "rev", F.lit("picked").alias("state")).unionByName(failed.select("dep", none.alias("text"), none.alias("rev"), F.col("reason").alias("state")))
 
 
 # Plans of what a workspace needs done

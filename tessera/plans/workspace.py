@@ -109,6 +109,30 @@ def override_text(text: Column, names: Column, entries: Column, *, create: bool)
     return F.when(F.size(entries) == 0, text).when(F.contains(text, F.lit(heading)), kept).otherwise(other)
 
 
+def patch_order(listing: DataFrame) -> DataFrame:
+    """(dir, name, place) of the patches among the files (dir, name) of patch folders, in the order in which they apply: by
+    their names in lower case."""
+    from pyspark.sql import Window
+
+    rows = listing.where(F.endswith("name", F.lit(".patch")))
+    return rows.select("dir", "name", F.row_number().over(Window.partitionBy("dir").orderBy(F.lower("name"), "name")).alias("place"))
+
+
+def link_excludes(links: DataFrame) -> DataFrame:
+    """``links`` (vendor, id, path, is_file) with place, their order of priority (files first, then deeper paths, then as
+    given by ``id``), and exclude: the paths of links before that a link's own path holds."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vendor").orderBy(F.desc("is_file"), F.desc(F.size(F.split("path", "/"))), "id")
+    placed = links.withColumn("place", F.row_number().over(w))
+    parts = F.split("path", "/")
+    # each link is spread over its own ancestors, so the join is by equality
+    above = placed.select("vendor", F.col("path").alias("inner"), F.col("place").alias("before"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))).alias("path"))
+    inside = placed.select("vendor", "id", "path", "place").join(above, ["vendor", "path"]).where("before < place")
+    found = inside.groupBy("vendor", "id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("before", "inner"))), lambda x: x["inner"])).alias("exclude"))
+    return placed.join(found, ["vendor", "id"], "left").withColumn("exclude", F.coalesce("exclude", F.expr("cast(array() as array<string>)")))
+
+
 def next_patch(patches: DataFrame) -> DataFrame:
     """(dir, number) of patches (dir, name): one above the largest of the four leading digits of ``*.patch`` names, 1 in
     a folder without patches; a patch without such digits is an error."""

@@ -74,6 +74,24 @@ def merged_filesets(files: DataFrame, depends: DataFrame) -> DataFrame:
     return listed.join(once, ["pkg", "fileset"], "full_outer")
 
 
+def depend_names(needs: DataFrame, cores: DataFrame) -> DataFrame:
+    """``needs`` (pkg, fileset, pos, dep) with the full name of each dependency, of cores (dep, vlnv); a dependency without a
+    core is an error."""
+    both = needs.join(cores.dropDuplicates(["dep"]), "dep", "left")
+    return both.withColumn("vlnv", F.when(F.col("vlnv").isNull(), F.raise_error(F.concat(F.lit("no core is known of "), "dep")).cast("string")).otherwise(F.col("vlnv")))
+
+
+def core_files(groups: DataFrame, headers: DataFrame, cores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, depends, targets) of flattened groups (pkg, at, chain, target, files, dependencies) as ``merged_filesets`` and
+    ``core_text`` take them: a fileset for each target, its headers (pkg, at, path, include_path) after its files."""
+    names = groups.select("pkg", "at", "target").withColumn("fileset", fileset_of(F.col("target"), [r[0] for r in groups.select("target").distinct().limit(targets.MOST_CASES).collect() if r[0] not in (None, "*")]))
+    listed = groups.select("pkg", "at", F.posexplode("files").alias("i", "f")).select("pkg", "at", F.struct("at", F.lit(0).alias("k"), "i").alias("pos"), F.col("f.path").alias("path"), F.lit(None).cast("string").alias("include_path"))
+    own = headers.join(groups.select("pkg", "at"), ["pkg", "at"]).select("pkg", "at", F.struct("at", F.lit(1).alias("k"), F.lit(0).alias("i")).alias("pos"), "path", "include_path")
+    files = listed.unionByName(own).join(names, ["pkg", "at"]).select("pkg", "fileset", "pos", "path", "include_path")
+    needs = groups.select("pkg", "at", F.posexplode("dependencies").alias("i", "dep")).join(names, ["pkg", "at"]).select("pkg", "fileset", F.struct("at", "i").alias("pos"), "dep")
+    return files, depend_names(needs, cores).select("pkg", "fileset", "pos", "vlnv"), names.select("pkg", "fileset", "target").distinct()
+
+
 def core_text(name: str, filesets: list, defaults: list[str], simulation: list[str], *, note: str = "", license_lines: list[str] = ()) -> str:
     """The document of one package; ``filesets`` are its rows of ``merged_filesets``, a few for each target expression."""
     kinds = {"vhd": "vhdlSource", "vhdl": "vhdlSource", "v": "verilogSource"}

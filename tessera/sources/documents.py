@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.semver import COMPARATOR
 from ..shipping import ship_package
 
 try:
@@ -35,22 +37,77 @@ def dependency_kind(path: Column, git: Column, version: Column, revision: Column
     return F.when(p & g | v & r, "error").when(p, F.when(v | r, "error").otherwise("path")).when(g, F.when(v, "git_version").when(r, "git_revision").otherwise("error")).otherwise(F.when(v & ~r, "version").otherwise("error"))
 
 
-def manifest_rows(path: str, text: str) -> dict[str, list[tuple]]:
+class ManifestError(ValueError):
+    """A manifest that breaks a rule."""
+
+
+VARIABLE = re.compile(r"\$(?:\{(\w+)\}|(\w+))")
+KINDS, GROUP_FIELDS = {"sv", "v", "vhd"}, {"target", "include_dirs", "defines", "files", "external_flists", "override_files"}
+
+
+def expanded(text: str, env: dict[str, str] | None) -> str:
+    """$NAME and ${NAME} replaced; a name without a value is an error. Without ``env`` the text stays."""
+    if env is None or "$" not in text:
+        return text
+
+    def value(m: re.Match) -> str:
+        name = m[1] or m[2]
+        if name not in env:
+            raise ManifestError(f"{name} in {text} has no value")
+        return env[name]
+
+    return VARIABLE.sub(value, text)
+
+
+def remote_place(name: str, template: str) -> str:
+    """A remote's address with one place for the package's name; without one, it is put at the end."""
+    if (n := template.count("{}")) > 1:
+        raise ManifestError(f"the remote {name} has {n} places for a name")
+    return template if n else f"{template.rstrip('/')}/{{}}.git"
+
+
+def _address(name: str, d: dict, remotes: dict[str, str], chosen: str | None) -> str | None:
+    """The address that a dependency's fields amount to; combinations that mean nothing are errors."""
+    git, path, rev, version, remote = (d.get(k) for k in ("git", "path", "rev", "version", "remote"))
+    if version is not None and str(version).strip() not in ("*", "x", "X") and not all(re.match(COMPARATOR, x.strip()) for x in str(version).split(",")):
+        raise ManifestError(f"{version} is no version requirement, in {name}")
+    if rev is not None and version is not None:
+        raise ManifestError(f"{name} has both a version and a revision")
+    if path is not None:
+        if git is not None or rev is not None or version is not None:
+            raise ManifestError(f"{name} has a path and git, a revision or a version")
+        return None
+    if git is not None:
+        if remote is not None:
+            raise ManifestError(f"{name} has both git and a remote")
+        if rev is None and version is None:
+            raise ManifestError(f"{name} has git without a revision or a version")
+        return git
+    if version is None:
+        raise ManifestError(f"{name} needs a path, git, a revision or a version" if rev is None else f"{name} has a revision without git")
+    if (remote or chosen) not in remotes:
+        raise ManifestError(f"{name} names no remote that there is" if remote else f"{name} has only a version, and there is no default remote")
+    return remotes[remote or chosen].replace("{}", d.get("upstream_name") or name)
+
+
+def manifest_rows(path: str, text: str, env: dict[str, str] | None = None) -> dict[str, list[tuple]]:
     """The tables of one manifest. Names are lower-cased; string shorthands stand for maps; relative paths are joined to
-    the manifest's folder; what no rule knows is a warning."""
+    the manifest's folder, after variables of ``env`` are put in; what no rule knows is a warning, and what breaks one an
+    error."""
     doc, root = load(text) or {}, str(PurePosixPath(path).parent)
-    at = lambda p: p if p.startswith("/") else f"{root}/{p}"
+    at = lambda p: q if (q := expanded(p, env)).startswith("/") else f"{root}/{q}"
     pkg = _text(doc["package"]["name"]).lower()
     out: dict[str, list[tuple]] = {k: [] for k in SCHEMAS}
     out["packages"].append((pkg, root, _text(doc["package"].get("description")), [str(a) for a in doc["package"].get("authors") or []]))
-    remotes = {k: ({"url": v} if isinstance(v, str) else v) for k, v in (doc.get("remotes") or {}).items()}
-    chosen = next((k for k, v in remotes.items() if v.get("default")), next(iter(remotes)) if len(remotes) == 1 else None)
+    given = {k: ({"url": v} if isinstance(v, str) else v) for k, v in (doc.get("remotes") or {}).items()}
+    remotes = {k: remote_place(k, v["url"]) for k, v in given.items()}
+    marked = [k for k, v in given.items() if v.get("default")]
+    if len(marked) > 1:
+        raise ManifestError(f"several default remotes: {', '.join(marked)}")
+    chosen = marked[0] if marked else next(iter(remotes)) if len(remotes) == 1 else None
     for pos, (name, d) in enumerate((doc.get("dependencies") or {}).items()):
         d = d if isinstance(d, dict) else {"version": d}
-        git = d.get("git")
-        if git is None and d.get("path") is None and (remote := d.get("remote", chosen)) in remotes:
-            url = remotes[remote]["url"]
-            git = url.replace("{}", d.get("upstream_name", name)) if "{}" in url else f"{url.rstrip('/')}/{d.get('upstream_name', name)}.git"
+        git = _address(str(name), d, remotes, chosen)
         passed = [(p, None) if isinstance(p, str) else (_text(p["pass"]), p.get("target")) for p in d.get("pass_targets") or []]
         out["dep_decl"].append((pkg, str(name).lower(), pos, _text(d.get("version")), git, _text(d.get("rev")), at(d["path"]) if d.get("path") else None, d.get("target"), [(t, p.lower()) for p, t in passed]))
     counter = iter(range(1 << 30))
@@ -64,15 +121,22 @@ def manifest_rows(path: str, text: str) -> dict[str, list[tuple]]:
         for i, entry in enumerate(entries):
             if isinstance(entry, str):
                 out["source_file"].append((pkg, me, i, at(entry), None))
-            elif set(entry) & {"sv", "v", "vhd"} and len(entry) == 1:
-                (kind, file), = entry.items()
-                out["source_file"].append((pkg, me, i, at(file), kind))
+                continue
+            kinds = KINDS & set(entry)
+            if kinds and GROUP_FIELDS & set(entry):
+                raise ManifestError(f"{', '.join(sorted(kinds))} beside the fields of a group, in {pkg}")
+            if len(kinds) > 1:
+                raise ManifestError(f"a source of more than one type, in {pkg}")
+            if kinds:
+                kind, = kinds
+                out["source_file"].append((pkg, me, i, at(entry[kind]), kind))
             else:
                 group(entry, me, i)
         if "files" in node:  # lists are only read beside files
             out["flist"] += [(pkg, me, at(f)) for f in node.get("external_flists") or []]
         if not entries:
             out["diagnostic"].append((pkg, "W04", "warning", "an empty group"))
+        out["diagnostic"] += [(pkg, "W03", "warning", f"unknown field {k}") for k in node if k not in GROUP_FIELDS]
 
     sources = doc.get("sources")
     if sources is not None:
@@ -102,21 +166,55 @@ SCHEMAS = {
 }
 
 
-def manifests(spark: SparkSession, path: str, table: str) -> DataFrame:
+def manifests(spark: SparkSession, path: str, table: str, env: dict[str, str] | None = None) -> DataFrame:
     """One of the tables of SCHEMAS, over all manifests that ``path`` (folders and globs too) leads to. Documents are
     parsed where they are read; unused tables are not made."""
-    ship_package(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.y*ml").load(path).select("path", F.col("content").cast("string").alias("text"))
-    names = [x.split(" ")[0] for x in _columns(SCHEMAS[table])]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.y*ml").load(path)
+    return parsed(raw.select(F.regexp_replace("path", "^file:", "").alias("path"), F.col("content").cast("string").alias("text")), table, env)
+
+
+def parsed(documents: DataFrame, table: str, env: dict[str, str] | None = None) -> DataFrame:
+    """One of the tables of SCHEMAS, of manifests (path, text, and what other columns each row is to carry)."""
+    ship_package(documents.sparkSession)
+    carried = [f for f in documents.schema.fields if f.name not in ("path", "text")]
+    names = [f.name for f in carried] + [x.split(" ")[0] for x in _columns(SCHEMAS[table])]
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in manifest_rows(p.removeprefix("file:"), t)[table]]
+            rows = [(*own, *r) for p, t, *own in pdf[["path", "text", *[f.name for f in carried]]].itertuples(index=False, name=None) for r in manifest_rows(p, t, env)[table]]
             yield pd.DataFrame(rows, columns=names)
 
-    return raw.mapInPandas(run, SCHEMAS[table])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in carried), SCHEMAS[table]])
+    return documents.select("path", "text", *[f.name for f in carried]).mapInPandas(run, schema)
+
+
+def config_paths(starts: DataFrame, local: str, dotfile: str, home: str, everywhere: str) -> DataFrame:
+    """(start, layer, path) of the configuration files that count for each folder (start), nearest first: in it and every
+    folder above, ``local`` before ``dotfile``; then the home folder's, then the machine's."""
+    parts = F.split(F.regexp_replace("start", "/+$", ""), "/")
+    above = starts.select("start", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), "/"))).alias("up", "dir"))
+    both = F.posexplode(F.array(*[F.concat("dir", F.lit("/"), F.lit(n)) for n in (local, dotfile)]))
+    near = above.select("start", "up", both.alias("k", "path")).select("start", (F.col("up") * 2 + F.col("k")).alias("layer"), "path")
+    far = starts.select("start", F.size(parts).alias("n"), F.posexplode(F.array(F.lit(home), F.lit(everywhere))).alias("k", "path"))
+    return near.unionByName(far.select("start", (F.col("n") * 2 + F.col("k")).alias("layer"), "path"))
+
+
+def config_layers(starts: DataFrame, entries: DataFrame, local: str, dotfile: str, home: str, everywhere: str) -> DataFrame:
+    """(start, layer, key, value, kind): entries (path, key, value, kind) of the files that there are, by layer; files that
+    are missing have none."""
+    return config_paths(starts, local, dotfile, home, everywhere).join(entries, "path").select("start", "layer", "key", "value", "kind")
+
+
+def config_json(merged: DataFrame) -> DataFrame:
+    """(json) of a merged configuration (key, value): keys in order, maps' entries (``map.entry``) inside their map."""
+    parts = F.split("key", r"\.", 2)
+    rows = merged.select(parts[0].alias("top"), F.try_element_at(parts, F.lit(2)).alias("entry"), "value")
+    inner = rows.where("entry IS NOT NULL").groupBy("top").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entry", "value"))))).alias("json"))
+    plain = rows.where("entry IS NULL").select("top", F.expr("substring(to_json(array(value)), 2, length(to_json(array(value))) - 2)").alias("json"))
+    every = plain.unionByName(inner).withColumn("named", F.concat(F.expr("substring(to_json(array(top)), 2, length(to_json(array(top))) - 2)"), F.lit(":"), "json"))
+    return every.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "named"))), lambda x: x["named"]), ","), F.lit("}")).alias("json"))
 
 
 def _columns(schema: str) -> list[str]:

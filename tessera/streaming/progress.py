@@ -78,18 +78,50 @@ def track(lines: DataFrame) -> DataFrame:
     return classified(lines).groupBy("operation").applyInPandasWithState(_fold, STATE, "active string, percent int, finished int, errors int, last_seq long", "update", "NoTimeout")
 
 
+def finished(states: DataFrame, ends: DataFrame) -> DataFrame:
+    """The terminal event of each operation: its last state, with the time from ``ends`` (operation, name, started, ended)
+    as it is shown. What was active has ended with it."""
+    from ..functions.paths import duration
+
+    seconds = F.col("ended").cast("double") - F.col("started").cast("double")
+    closed = (F.coalesce("finished", F.lit(0)) + F.col("active").isNotNull().cast("int")).alias("finished")
+    return ends.join(states, "operation", "left").select("operation", "name", closed, F.coalesce("errors", F.lit(0)).alias("errors"), duration(seconds).alias("elapsed"))
+
+
+def raw_log(lines: DataFrame) -> DataFrame:
+    """(operation, log): everything an operation printed (operation, seq, line), whatever its class."""
+    from ..frames import in_order
+
+    return lines.groupBy("operation").agg(F.array_join(in_order("line", "seq"), "\n").alias("log"))
+
+
+#: Lines of one operation that are folded in one stretch.
+STRETCH = 4096
+
+
 def latest(lines: DataFrame) -> DataFrame:
-    """The same states from recorded lines, in one batch; no operation is gathered: each field is an aggregate over
-    the lines in order. ``finished`` and ``errors`` are counts, ``percent`` and ``active`` what the last line said."""
+    """The same states from recorded lines (operation, seq, line), in one batch. An operation's lines are cut into
+    stretches of numbers, each of which is read in order; what stretches say is then put together, so no task holds an
+    operation, and only one row a stretch is ordered by operation. ``finished`` and ``errors`` are counts, ``percent`` and
+    ``active`` what the last line said."""
     from pyspark.sql import Window
 
-    rows = classified(lines)
-    w = Window.partitionBy("operation").orderBy("seq")
     kind = F.col("class")
     opens = kind.isin("cloning", "registered")
+    rows = classified(lines).withColumn("stretch", F.floor(F.col("seq") / STRETCH))
     said = F.when(opens, F.struct(F.col("name").alias("n"))).when(kind == "checkout", F.struct(F.lit(None).cast("string").alias("n")))
-    before = F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["n"]
-    ended = F.when(kind == "checkout", 1).when(opens & before.isNotNull() & (before != F.col("name")), 1).otherwise(0)
-    marked = rows.select("operation", "seq", ended.alias("ended"), (kind == "error").cast("int").alias("err"), said.alias("said"), F.when(opens, 0).when(kind == "checkout", 100).otherwise(F.col("percent")).alias("pc"))
-    at = F.when(F.col("said").isNotNull(), F.col("seq"))
-    return marked.groupBy("operation").agg(F.max_by("said", at)["n"].alias("active"), F.coalesce(F.max_by("pc", F.when(F.col("pc").isNotNull(), F.col("seq"))), F.lit(0)).alias("percent"), F.sum("ended").cast("int").alias("finished"), F.sum("err").cast("int").alias("errors"), F.max("seq").alias("last_seq"))
+    marked = rows.select("operation", "stretch", "seq", "name", opens.alias("opens"), (kind == "checkout").alias("ends"), (kind == "error").cast("int").alias("err"), said.alias("said"), F.when(opens, 0).when(kind == "checkout", 100).otherwise(F.col("percent")).alias("pc"))
+    at, pc_at = F.when(F.col("said").isNotNull(), F.col("seq")), F.when(F.col("pc").isNotNull(), F.col("seq"))
+    inside = Window.partitionBy("operation", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.withColumn("before", F.last("said", ignorenulls=True).over(inside))
+    ended = F.when(F.col("ends"), 1).when(F.col("opens") & (F.col("before.n") != F.col("name")), 1).otherwise(0)
+    # the first to speak in a stretch does not see what was active before it
+    first = F.min_by(F.struct("opens", "name"), at)
+    parts = before.groupBy("operation", "stretch").agg(
+        F.sum(ended).alias("ended"), F.sum("err").alias("errors"), F.max_by("said", at).alias("said"), first.alias("first"), F.max_by("pc", pc_at).alias("pc"), F.max(pc_at).alias("pc_at"), F.max("seq").alias("last_seq")
+    )
+    over = Window.partitionBy("operation").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    joined = parts.withColumn("carried", F.last("said", ignorenulls=True).over(over))
+    more = F.when(F.col("first.opens") & (F.col("carried.n") != F.col("first.name")), 1).otherwise(0)
+    spoke = F.when(F.col("said").isNotNull(), F.col("stretch"))
+    return joined.groupBy("operation").agg(F.max_by("said", spoke)["n"].alias("active"), F.coalesce(F.max_by("pc", "pc_at"), F.lit(0)).alias("percent"), F.sum(F.col("ended") + more).cast("int").alias("finished"), F.sum("errors").cast("int").alias("errors"), F.max("last_seq").alias("last_seq"))
