@@ -112,8 +112,9 @@ def human_list(items: Column, separator: str = ",", last: str = "and") -> Column
 
 
 def duration(seconds: Column) -> Column:
-    """ms below a second, one decimal of seconds below a minute, else minutes."""
-    return F.when(seconds < 1, F.concat(F.floor(seconds * 1000).cast("string"), F.lit("ms"))).when(seconds < 60, F.concat(F.format_number(seconds, 1), F.lit("s"))).otherwise(F.concat(F.format_number(seconds / 60, 1), F.lit("min")))
+    """ms below a second, one decimal of seconds below a minute, else minutes; halves go to the even digit."""
+    tenth = lambda x: F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+    return F.when(seconds < 1, F.concat(F.floor(seconds * 1000).cast("string"), F.lit("ms"))).when(seconds < 60, F.concat(tenth(seconds), F.lit("s"))).otherwise(F.concat(tenth(seconds / 60), F.lit("min")))
 
 
 def remote_url(template: Column, name: Column) -> Column:

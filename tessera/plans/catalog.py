@@ -683,11 +683,10 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pkg").select("id", paths.normal(raw).alias("path"))
 
 
-@query("SELECT event_id, CASE WHEN value < 1 THEN CAST(CAST(floor(value * 1000) AS BIGINT) AS STRING) || 'ms' WHEN value < 60 THEN 's' ELSE 'min' END AS unit FROM events")
+@query("""SELECT event_id, CASE WHEN value < 1 THEN CAST(CAST(floor(value * 1000) AS BIGINT) AS STRING) || 'ms' WHEN value < 60 THEN printf('%.1f', value) || 's' ELSE printf('%.1f', value / 60) || 'min' END AS shown FROM events""")
 def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """durations for display; whole text below a second, the unit above."""
-    shown = paths.duration(F.col("value"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(F.col("value") < 1, shown).otherwise(F.regexp_extract(shown, "[a-z]+$", 0)).alias("unit"))
+    """durations for display."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", paths.duration(F.col("value")).alias("shown"))
 
 
 @query("""WITH l AS (SELECT user_id, list(t ORDER BY t) AS a FROM active GROUP BY user_id)
