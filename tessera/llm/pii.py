@@ -314,3 +314,24 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         return part.set_column(at, part.schema.field(at), new)
 
     return arrow_map(docs, run, schema)
+
+
+def _matches(kind: int, pattern: str, keep: str) -> str:
+    """SQL for the kept matches of a pattern with their places: pieces between matches tell where each begins."""
+    return f"""SELECT doc_id, row, {kind} AS kind, m, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS s
+FROM (SELECT doc_id, row, found, pieces, unnest(found) AS m, generate_subscripts(found, 1) AS i FROM (SELECT doc_id, row, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM t) a) b WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(reverse({_DIGITS}), i, 1) AS INT) + 1] END)) % 10 = 0"
+#: The base spans in SQL: what ``find`` tells without its transducers.
+BASE_ORACLE = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+f AS ({_matches(0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
+UNION ALL {_matches(1, "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255")}
+UNION ALL {_matches(2, "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")}
+UNION ALL {_matches(3, "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15")}),
+g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || CAST(s AS VARCHAR) || ':' || CAST(s + length(m) AS VARCHAR), ',' ORDER BY s, kind) AS listed FROM f GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(listed, '')) AS base_sha256 FROM t LEFT JOIN g USING (row)
+"""

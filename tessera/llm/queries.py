@@ -46,6 +46,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counted, F.sha2(_listed("own"), 256).alias("base_sha256"), _listed("found").alias("spans"))
 
 
+def base_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 5 tells of the base detectors, which SQL can say."""
+    return op5_pii(spark, sf_dir).drop("spans")
+
+
 def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(_table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_records": op10_records,
+    "base_identifiers": base_identifiers,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact.ORACLE, "op6_embedding_links": vectors.ORACLE, "base_identifiers": pii.BASE_ORACLE}

@@ -377,3 +377,13 @@ def linked(vectors: DataFrame, cosine: float = 0.9, *, id_col: str = "vec_id", v
     yes = join_counted(usable, told, "vec", "weight").select("vec_id", "n_links", "component_id")
     rest = clean.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return yes.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT row, vec_id, x, len(x) AS n, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_sum(list_transform(x, lambda y: abs(y))) > 0),
+link AS (SELECT a.row AS a, b.row AS b FROM ok a JOIN ok b ON a.n = b.n AND a.row <> b.row WHERE list_dot_product(a.x, b.x) / a.norm / b.norm >= 0.9),
+reach AS (SELECT row AS a, row AS b FROM ok UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+part AS (SELECT r.a AS row, min(o.vec_id) AS component_id FROM reach r JOIN ok o ON o.row = r.b GROUP BY r.a)
+SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.row) AS n_links, coalesce(component_id, v.vec_id) AS component_id, coalesce(v.vec_id = coalesce(component_id, v.vec_id), true) AS kept FROM v LEFT JOIN part USING (row)
+"""
