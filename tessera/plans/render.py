@@ -37,21 +37,28 @@ class Tool:
     foot: tuple[str, ...] = ()
     catch: tuple[str, str] | None = ("if {[catch { ", "}]} {return 1}")
     after_path: tuple[str, ...] = ()
-    #: Whether the separate mode stops at errors too.
+    #: Whether the separate mode stops at errors too, and what the head has besides if the script stops.
     catch_separate: bool = True
+    head_stop: tuple[str, ...] = ()
+    #: Whether notes on files are told, and whether a command's last line goes on (it does wherever a catch follows a list
+    #: of flags).
+    notes: bool = True
+    open_end: bool = False
+    #: Modes in which include directories are written behind the root even if they lie elsewhere.
+    behind_root: tuple[str, ...] = ()
 
 
 _PATH = "set search_path $search_path_initial"
 #: The commands of each tool.
 TOOLS = {
     "vsim": Tool("flags", "vlog -incr -sv", "vcom -2008", ('set ROOT "{root}"',)),
-    "vcs": Tool("flags", "vlogan -sverilog -full64", "vhdlan", ('ROOT="{root}"',), catch=None),
-    "riviera": Tool("flags", "vlog -sv", "vcom -2008", ('set ROOT "{root}"', "vlib work")),
+    "vcs": Tool("flags", "vlogan -sverilog -full64", "vhdlan", ('ROOT="{root}"',), catch=None, head_stop=("set -e",), notes=False),
+    "riviera": Tool("flags", "vlog -sv", "vcom -2008", ('set ROOT "{root}"', "vlib work"), open_end=True),
     "synopsys": Tool("list", "analyze -format sv", "analyze -format vhdl", ('set ROOT "{root}"', "set search_path_initial $search_path"), (_PATH,), ("if {0 == [", "]} {return 1}")),
-    "formality": Tool("list", "read_sverilog -r", "read_vhdl -r", ('set ROOT "{root}"', "set search_path_initial $search_path"), (_PATH,)),
-    "genus": Tool("list", "read_hdl -language sv", "read_hdl -language vhdl", ("if [ info exists search_path ] {", "    set search_path_initial $search_path", "} else {", "    set search_path_initial {}", "}", 'set ROOT "{root}"'), (_PATH,), after_path=("set_db init_hdl_search_path $search_path",), catch_separate=False),
+    "formality": Tool("list", "read_sverilog -r", "read_vhdl -r", ('set ROOT "{root}"', "set search_path_initial $search_path"), (_PATH,), behind_root=("separate", "common")),
+    "genus": Tool("list", "read_hdl -language sv", "read_hdl -language vhdl", ("if [ info exists search_path ] {", "    set search_path_initial $search_path", "} else {", "    set search_path_initial {}", "}", 'set ROOT "{root}"'), (_PATH,), after_path=("set_db init_hdl_search_path $search_path",), catch_separate=False, behind_root=("common",)),
     "vivado": Tool("files", "add_files -norecurse -fileset [current_fileset]", "add_files -norecurse -fileset [current_fileset]", ('set ROOT "{root}"',), catch=None),
-    "precision": Tool("sections", "add_input_file -format SystemVerilog2012", "add_input_file -format vhdl_2008", ("set ROOT {root}", "set_input_dir $ROOT", "setup_design -search_path $ROOT")),
+    "precision": Tool("sections", "add_input_file -format SystemVerilog2012", "add_input_file -format vhdl_2008", ("set ROOT {root}", "set_input_dir $ROOT", "setup_design -search_path $ROOT"), open_end=True),
 }
 
 
@@ -82,42 +89,52 @@ def _continued(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.when((i < F.size(lines) - 1) & ~F.startswith(x, F.lit("# ")), F.concat(x, F.lit(" \\"))).otherwise(x))
 
 
-def command(tool: Tool, kind: str, root: str, args: list[str], stop: bool, annotate: bool) -> Column:
-    """Lines of a group's command; ``kind`` is verilog or vhdl."""
+def command(tool: Tool, kind: str, root: str, args: list[str], stop: bool, annotate: bool, common: bool = False, binary: str | None = None) -> Column:
+    """Lines of a group's command; ``kind`` is verilog or vhdl. ``binary`` stands for the command's first word."""
     is_verilog = kind == "verilog"
     dirs, defines = F.col("incdirs"), F.col("defines")
     quote = (lambda x: F.concat(F.lit('"'), x, F.lit('"'))) if tool.body in ("flags", "list") else (lambda x: x)
     shown = (lambda x: x) if tool.body == "sections" else (lambda x: _rooted(x, root))
+    behind = ("common" if common else "separate") in tool.behind_root
+    folder = (lambda x: F.concat(F.lit("$ROOT"), F.replace(x, F.lit(root), F.lit("")) if root else x)) if behind else shown
     noted = lambda f: F.when(f["comment"].isNotNull(), F.array(F.concat(F.lit("# "), f["comment"]), quote(shown(f["file"])))).otherwise(F.array(quote(shown(f["file"]))))
-    files = F.flatten(F.transform("files", noted)) if annotate else F.transform("files", lambda f: quote(shown(f["file"])))
-    first, before = [tool.verilog if is_verilog else tool.vhdl, *args], _texts()
+    files = F.flatten(F.transform("files", noted)) if annotate and tool.notes else F.transform("files", lambda f: quote(shown(f["file"])))
+    word = tool.verilog if is_verilog else tool.vhdl
+    if binary:
+        word = " ".join([binary, *word.split(" ")[1:]])
+    first, before = [word, *args], _texts()
     if tool.body == "flags":
         parts = [_texts(*first)]
         if is_verilog:
             parts += [F.transform(defines, lambda d: F.concat(F.lit('"+define+'), define_text(d), F.lit('"'))), F.transform(dirs, lambda d: F.concat(F.lit('"+incdir+'), shown(d), F.lit('"')))]
         lines = _continued(F.concat(*parts, files))
     elif tool.body == "list":
-        path = F.concat(_texts(_PATH), F.transform(dirs, lambda d: F.concat(F.lit('lappend search_path "'), shown(d), F.lit('"'))), _texts(*tool.after_path))
-        before = path if is_verilog else _texts()
-        given = _some(defines, F.concat(_texts("-define {"), F.transform(defines, define_text), _texts("}"))) if is_verilog else _texts()
+        path = F.concat(_texts(_PATH), F.transform(dirs, lambda d: F.concat(F.lit('lappend search_path "'), folder(d), F.lit('"'))), _texts(*tool.after_path))
+        before = path if is_verilog or not common else _texts()
+        given = _some(defines, F.concat(_texts("-define {"), F.transform(defines, define_text), _texts("}"))) if is_verilog or not common else _texts()
         lines = _continued(F.concat(_texts(*first), given, _texts("[list"), files, _texts("]")))
     elif tool.body == "files":
         lines = _continued(F.concat(_texts(first[0] + " [list"), files, _texts("]")))
     else:
         path = _some(dirs, F.concat(_texts("-search_path {"), dirs, _texts("}"))) if is_verilog else _texts()
         lines = _continued(F.concat(_texts(*first), path, _texts("{"), files, _texts("}")))
-    if stop and tool.catch:
+    catch = stop and tool.catch is not None
+    if tool.open_end or catch and tool.body == "flags":
+        lines = F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat(F.element_at(lines, -1), F.lit(" \\"))))
+    if catch:
         lines = F.concat(F.array(F.concat(F.lit(tool.catch[0]), F.element_at(lines, 1))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), _texts(tool.catch[1]))
     return F.concat(before, lines)
 
 
-def script(groups: DataFrame, format: str, *, root: str = "", common: bool = False, stop: bool = False, annotate: bool = False, args: dict[str, list[str]] | None = None, filesets: list[str] | None = None) -> DataFrame:
-    """(section, no, pos, line) of a script; order by the first three for the text."""
-    tool, args = TOOLS["vivado" if format == "vivado-sim" else format], args or {}
+def script(groups: DataFrame, format: str, *, root: str = "", common: bool = False, stop: bool = False, annotate: bool = False, args: dict[str, list[str]] | None = None, filesets: list[str] | None = None, binaries: dict[str, str] | None = None) -> DataFrame:
+    """(section, no, pos, line) of a script; order by the first three for the text. ``args`` and ``binaries`` by kind
+    (verilog, vhdl). The list of all defines has no closing brace in the format of sections, as that format has it."""
+    tool, args, binaries = TOOLS["vivado" if format == "vivado-sim" else format], args or {}, binaries or {}
     rows = commons(groups, all_in_one=tool.body == "files") if common else groups
+    head = tool.head + (tool.head_stop if stop else ())
     stop = stop and (common or tool.catch_separate)
     kind = F.col("file_type")
-    known = F.when(kind == "vhdl", command(tool, "vhdl", root, args.get("vhdl", []), stop, annotate)).otherwise(command(tool, "verilog", root, args.get("verilog", []), stop, annotate))
+    known = F.when(kind == "vhdl", command(tool, "vhdl", root, args.get("vhdl", []), stop, annotate, common, binaries.get("vhdl"))).otherwise(command(tool, "verilog", root, args.get("verilog", []), stop, annotate, common, binaries.get("verilog")))
     if tool.body != "files":
         n = F.size("files").cast("string")
         skipped = F.concat(F.array(F.concat(F.lit("# Skipping "), n, F.lit(" file(s) of unknown type (prefix with sv:/v:/vhd: to set one):"))), F.transform("files", lambda f: F.concat(F.lit("#   "), _rooted(f["file"], "" if tool.body == "sections" else root))))
@@ -127,12 +144,12 @@ def script(groups: DataFrame, format: str, *, root: str = "", common: bool = Fal
     body = rows.select(F.lit(1).alias("section"), "no", F.posexplode(known).alias("pos", "line"))
     spark = groups.sparkSession
     edge = lambda section, lines: spark.createDataFrame([(section, 0, i, x.replace("{root}", root)) for i, x in enumerate(lines)], "section int, no long, pos int, line string")
-    out = edge(0, tool.head).unionByName(body).unionByName(edge(3, tool.foot))
+    out = edge(0, head).unionByName(body).unionByName(edge(3, tool.foot))
     if tool.body == "files":
         out = out.unionByName(_properties(groups, root, filesets if filesets is not None else FILESETS["vivado"]))
     if tool.body == "sections":
         every = commons(groups, all_in_one=True).where(F.size("defines") > 0)
-        lines = _continued(F.concat(_texts("setup_design -defines {"), F.transform("defines", lambda d: F.concat(F.lit("+define+"), define_text(d))), _texts("}")))
+        lines = _continued(F.concat(_texts("setup_design -defines {"), F.transform("defines", lambda d: F.concat(F.lit("+define+"), define_text(d)))))
         out = out.unionByName(every.select(F.lit(0).alias("section"), F.lit(1).cast("long").alias("no"), F.posexplode(lines).alias("pos", "line")))
     return out
 
@@ -162,6 +179,22 @@ def commons(groups: DataFrame, all_in_one: bool = False) -> DataFrame:
     return files.crossJoin(F.broadcast(merged)).crossJoin(F.broadcast(dirs)).select(no.alias("no"), F.lit("").alias("metadata"), "file_type", "defines", "incdirs", "files")  # one row each
 
 
+def context(groups: DataFrame, *, root: str, define: list[str] | None = None) -> DataFrame:
+    """(json): everything a template may ask for, as one text: each group, and over all groups the defines, directories and
+    files, files by type, and the defines of the command line. It is the text of one project."""
+    from .sources import add_defines
+
+    every = commons(groups, all_in_one=True).select("defines", "incdirs", F.col("files").alias("all_files"))
+    kinds = commons(groups)
+    of = lambda kind, name: kinds.where(F.col("file_type") == kind).select(F.col("files").alias(name)) if kind else None
+    own = groups.agg(in_order(F.struct("metadata", "file_type", "defines", "incdirs", "files"), "no").alias("srcs"))
+    empty = F.expr("cast(array() as array<struct<file:string,comment:string>>)")
+    sides = own.join(every, F.lit(True), "left").join(of("verilog", "all_verilog"), F.lit(True), "left").join(of("vhdl", "all_vhdl"), F.lit(True), "left")  # one row each
+    given = add_defines(F.expr("cast(array() as array<struct<name:string,value:string>>)"), define or [])
+    shown = F.struct(F.lit(root).alias("root"), given.alias("global_defines"), F.col("defines").alias("all_defines"), F.col("incdirs").alias("all_incdirs"), "all_files", "srcs", F.coalesce("all_verilog", empty).alias("all_verilog"), F.coalesce("all_vhdl", empty).alias("all_vhdl"))
+    return sides.select(F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def flist(groups: DataFrame, *, root: str | None = None, annotate: bool = False) -> DataFrame:
     """(no, pos, line): one path a line, relative to ``root`` where it is given."""
     from ..functions.paths import relative

@@ -220,3 +220,82 @@ def test_stretches_join(spark, monkeypatch):
         monkeypatch.setattr(progress, "STRETCH", n)
         assert progress.latest(df).first() == want
     assert (want.active, want.finished, want.percent) == ("c", 2, 7)
+
+
+FIXTURE = [
+    (0, "M0", "verilog", [("A", "1"), ("B", None)], ["/r/inc", "/x"], [("/r/a.sv", None), ("/r/b.sv", "note")]), (1, "M1", "vhdl", [("A", "1")], ["/r/inc"], [("/r/c.vhd", None)]), (2, "M2", None, [], [], [("/r/d.txt", None)]),
+]
+#: Lines that each format gives for the fixture, worked out by hand: head, separate and common bodies (stopping, with
+#: notes), foot. White space at the ends of lines aside.
+SKIPPED = "# M2|# Skipping 1 file(s) of unknown type (prefix with sv:/v:/vhd: to set one):|#   $ROOT/d.txt"
+FLAGS = '"+define+A=1" \\|"+define+B" \\|"+incdir+$ROOT/inc" \\|"+incdir+/x" \\|"$ROOT/a.sv" \\|# note|"$ROOT/b.sv"'
+LISTED = '-define { \\|A=1 \\|B \\|} \\|[list \\|"$ROOT/a.sv" \\|# note|"$ROOT/b.sv" \\|]'
+PATHS = 'set search_path $search_path_initial|lappend search_path "$ROOT/inc"'
+CATCH = "}]} {return 1}"
+EXPECTED = {
+    "vsim": (
+        'set ROOT "/r"', f"# M0|if {{[catch {{ vlog -incr -sv \\|{FLAGS} \\|{CATCH}|# M1|if {{[catch {{ vcom -2008 \\|\"$ROOT/c.vhd\" \\|{CATCH}|{SKIPPED}",
+        f'if {{[catch {{ vlog -incr -sv \\|{FLAGS} \\|{CATCH}|if {{[catch {{ vcom -2008 \\|"$ROOT/c.vhd" \\|{CATCH}', "",
+    ),
+    "riviera": (
+        'set ROOT "/r"|vlib work', f"# M0|if {{[catch {{ vlog -sv \\|{FLAGS} \\|{CATCH}|# M1|if {{[catch {{ vcom -2008 \\|\"$ROOT/c.vhd\" \\|{CATCH}|{SKIPPED}",
+        f'if {{[catch {{ vlog -sv \\|{FLAGS} \\|{CATCH}|if {{[catch {{ vcom -2008 \\|"$ROOT/c.vhd" \\|{CATCH}', "",
+    ),
+    "vcs": (
+        'ROOT="/r"|set -e', f"# M0|vlogan -sverilog -full64 \\|{FLAGS.replace('# note|', '')}|# M1|vhdlan \\|\"$ROOT/c.vhd\"|{SKIPPED}", f'vlogan -sverilog -full64 \\|{FLAGS.replace("# note|", "")}|vhdlan \\|"$ROOT/c.vhd"', "",
+    ),
+    "synopsys": (
+        'set ROOT "/r"|set search_path_initial $search_path',
+        f'# M0|{PATHS}|lappend search_path "/x"|if {{0 == [analyze -format sv \\|{LISTED}|]}} {{return 1}}|# M1|{PATHS}|if {{0 == [analyze -format vhdl \\|-define {{ \\|A=1 \\|}} \\|[list \\|"$ROOT/c.vhd" \\|]|]}} {{return 1}}|{SKIPPED}',
+        f'{PATHS}|lappend search_path "/x"|if {{0 == [analyze -format sv \\|{LISTED}|]}} {{return 1}}|if {{0 == [analyze -format vhdl \\|[list \\|"$ROOT/c.vhd" \\|]|]}} {{return 1}}', "set search_path $search_path_initial",
+    ),
+    "formality": (
+        'set ROOT "/r"|set search_path_initial $search_path',
+        f'# M0|{PATHS}|lappend search_path "$ROOT/x"|if {{[catch {{ read_sverilog -r \\|{LISTED}|{CATCH}|# M1|{PATHS}|if {{[catch {{ read_vhdl -r \\|-define {{ \\|A=1 \\|}} \\|[list \\|"$ROOT/c.vhd" \\|]|{CATCH}|{SKIPPED}',
+        f'{PATHS}|lappend search_path "$ROOT/x"|if {{[catch {{ read_sverilog -r \\|{LISTED}|{CATCH}|if {{[catch {{ read_vhdl -r \\|[list \\|"$ROOT/c.vhd" \\|]|{CATCH}', "set search_path $search_path_initial",
+    ),
+    "genus": (
+        'if [ info exists search_path ] {|set search_path_initial $search_path|} else {|set search_path_initial {}|}|set ROOT "/r"',
+        f'# M0|{PATHS}|lappend search_path "/x"|set_db init_hdl_search_path $search_path|read_hdl -language sv \\|{LISTED}|# M1|{PATHS}|set_db init_hdl_search_path $search_path|read_hdl -language vhdl \\|-define {{ \\|A=1 \\|}} \\|[list \\|"$ROOT/c.vhd" \\|]|{SKIPPED}',
+        f'{PATHS}|lappend search_path "$ROOT/x"|set_db init_hdl_search_path $search_path|if {{[catch {{ read_hdl -language sv \\|{LISTED}|{CATCH}|if {{[catch {{ read_hdl -language vhdl \\|[list \\|"$ROOT/c.vhd" \\|]|{CATCH}', "set search_path $search_path_initial",
+    ),
+    "vivado": (
+        'set ROOT "/r"', "# M0|add_files -norecurse -fileset [current_fileset] [list \\|$ROOT/a.sv \\|# note|$ROOT/b.sv \\|]|# M1|add_files -norecurse -fileset [current_fileset] [list \\|$ROOT/c.vhd \\|]|# M2|add_files -norecurse -fileset [current_fileset] [list \\|$ROOT/d.txt \\|]",
+        "add_files -norecurse -fileset [current_fileset] [list \\|$ROOT/a.sv \\|# note|$ROOT/b.sv \\|$ROOT/c.vhd \\|$ROOT/d.txt \\|]",
+        "|".join(f"set_property include_dirs [list \\|$ROOT/inc \\|/x \\|] [current_fileset{x}]" for x in ("", " -simset")) + "|" + "|".join(f"set_property verilog_define [list \\|A=1 \\|B \\|] [current_fileset{x}]" for x in ("", " -simset")),
+    ),
+    "precision": (
+        "set ROOT /r|set_input_dir $ROOT|setup_design -search_path $ROOT|setup_design -defines { \\|+define+A=1 \\|+define+B",
+        f"# M0|if {{[catch {{ add_input_file -format SystemVerilog2012 \\|-search_path {{ \\|/r/inc \\|/x \\|}} \\|{{ \\|/r/a.sv \\|# note|/r/b.sv \\|}} \\|{CATCH}|# M1|if {{[catch {{ add_input_file -format vhdl_2008 \\|{{ \\|/r/c.vhd \\|}} \\|{CATCH}|{SKIPPED.replace('$ROOT', '/r')}",
+        f"if {{[catch {{ add_input_file -format SystemVerilog2012 \\|-search_path {{ \\|/r/inc \\|/x \\|}} \\|{{ \\|/r/a.sv \\|# note|/r/b.sv \\|}} \\|{CATCH}|if {{[catch {{ add_input_file -format vhdl_2008 \\|{{ \\|/r/c.vhd \\|}} \\|{CATCH}", "",
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def fixture_groups(spark):
+    return spark.createDataFrame(FIXTURE, "no long, metadata string, file_type string, defines array<struct<name:string,value:string>>, incdirs array<string>, files array<struct<file:string,comment:string>>").coalesce(1).cache()
+
+
+@pytest.mark.parametrize("format", sorted(EXPECTED))
+def test_script_text(fixture_groups, format):
+    head, separate, common, foot = EXPECTED[format]
+    for mode, body in ((False, separate), (True, common)):
+        lines = [r.line.strip() for r in render.script(fixture_groups, format, root="/r", common=mode, stop=True, annotate=True).orderBy("section", "no", "pos").collect()]
+        assert lines == [x for part in (head, body, foot) if part for x in part.split("|")]
+
+
+def test_script_without_stops(fixture_groups):
+    text = lambda **k: [r.line for r in render.script(fixture_groups, "vsim", root="/r", **k).orderBy("section", "no", "pos").collect()]
+    assert text() == ['set ROOT "/r"', *("vlog -incr -sv \\|" + FLAGS.replace("# note|", "")).split("|"), "vcom -2008 \\", '"$ROOT/c.vhd"', *SKIPPED.split("|")[1:]]
+    assert text(args={"verilog": ["-x"]})[1:3] == ["vlog -incr -sv \\", "-x \\"]
+    lines = [r.line for r in render.script(fixture_groups, "vcs", root="/r", binaries={"verilog": "/opt/vlogan", "vhdl": "vh"}).orderBy("section", "no", "pos").collect()]
+    assert "/opt/vlogan -sverilog -full64 \\" in lines and "vh \\" in lines and "set -e" not in lines
+
+
+def test_other_formats(fixture_groups):
+    lines = [r.line for r in render.verilator(fixture_groups, ["-Wall"]).orderBy("no", "pos").collect()]
+    assert lines == ["-Wall", "+define+A=1", "+define+B", "+incdir+/r/inc", "+incdir+/x", "/r/a.sv", "/r/b.sv"]
+    told = json.loads(render.context(fixture_groups, root="/r", define=["A=2", "C"]).first().json)
+    assert told["all_incdirs"] == ["/r/inc", "/x"] and [d["name"] for d in told["global_defines"]] == ["A", "C"] and [f["file"] for f in told["all_files"]] == ["/r/a.sv", "/r/b.sv", "/r/c.vhd", "/r/d.txt"]
+    assert [f["file"] for f in told["all_vhdl"]] == ["/r/c.vhd"] and len(told["srcs"]) == 3 and told["all_verilog"][1]["comment"] == "note"
