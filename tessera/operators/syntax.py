@@ -1,7 +1,8 @@
 """Symbols of SystemVerilog sources: a tokenizer that finds declarations and references, reachability, renaming.
 
-No full parser: macros are not expanded and conditional compilation is not evaluated. A file counts as parsed when its
-brackets and block keywords balance, and as encrypted when it has a protected envelope.
+No full parser: macros are not expanded. Conditional compilation is evaluated for the defines of a file's group, and for
+those that the file makes itself. A file counts as parsed when its brackets and block keywords balance, and as encrypted
+when it has a protected envelope.
 """
 
 from __future__ import annotations
@@ -27,8 +28,50 @@ KEYWORDS = frozenset(
 )
 
 
-def scan(text: str) -> dict:
+DIRECTIVE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`(ifdef|ifndef|elsif|else|endif|define|undef)\b[ \t]*([A-Za-z_]\w*)?', re.S)
+
+
+def active(text: str, defines: frozenset[str] = frozenset()) -> tuple[str, bool]:
+    """``text`` with what conditions leave out as blanks, so that places stay, and whether conditions balance. Names are
+    defined by ``defines`` and by the text itself."""
+    known, stack, out, at, sound = set(defines), [], [], 0, True
+
+    def on() -> bool:
+        return all(now for now, _ in stack)
+
+    def blank(piece: str) -> str:
+        return piece if on() else re.sub(r"[^\n]", " ", piece)
+
+    for m in DIRECTIVE.finditer(text):
+        word, name = m[1], m[2]
+        if word is None:
+            continue
+        out.append(blank(text[at : m.start()]))
+        at = m.end() if word in ("ifdef", "ifndef", "elsif") else m.start() + 1 + len(word)
+        if word in ("define", "undef"):
+            if on() and name:
+                (known.add if word == "define" else known.discard)(name)
+            out.append(blank(text[m.start() : at]))
+            continue
+        out.append(re.sub(r"[^\n]", " ", text[m.start() : at]))
+        if word in ("ifdef", "ifndef"):
+            now = (name in known) == (word == "ifdef")
+            stack.append((now, now))
+        elif not stack:
+            sound = False
+        elif word == "endif":
+            stack.pop()
+        else:
+            _, taken = stack.pop()
+            now = not taken and (word == "else" or name in known)
+            stack.append((now, taken or now))
+    out.append(blank(text[at:]))
+    return "".join(out), sound and not stack
+
+
+def scan(text: str, defines: frozenset[str] = frozenset()) -> dict:
     """declared, referenced and included names of a source, with the places of names for renaming."""
+    text, sound = active(text, defines)
     tokens = [(m[0], m.start()) for m in TOKEN.finditer(text) if not m[0].startswith(("//", "/*"))]
     words = [t for t, _ in tokens]
     declared, referenced, included, places = [], [], [], []
@@ -76,7 +119,7 @@ def scan(text: str) -> dict:
                 name_at(i, "ref")
         elif is_name(i) and i and words[i - 1] in ("(", ",") and i + 2 < len(words) and words[i + 1] == "." and is_name(i + 2):
             name_at(i, "ref")
-    ok = ok and not brackets and not open_blocks
+    ok = ok and sound and not brackets and not open_blocks
     return {"ok": ok and not encrypted, "encrypted": encrypted, "declared": declared, "referenced": sorted(set(referenced)), "included": included, "places": places}
 
 
@@ -93,10 +136,12 @@ def _closed(words: list[str], i: int) -> int:
     return i
 
 
-def renamed(text: str, names: dict[str, str]) -> str:
-    """``text`` with declarations, end labels and references renamed; the rest stays as it is."""
+def renamed(text: str, names: dict[str, str], defines: frozenset[str] = frozenset()) -> str:
+    """``text`` with declarations, end labels and references renamed; the rest, also what conditions leave out, stays."""
+    if not names:
+        return text
     out, at = [], 0
-    for name, start, _ in sorted(scan(text)["places"], key=lambda x: x[1]):
+    for name, start, _ in sorted(scan(text, defines)["places"], key=lambda x: x[1]):
         if name in names and start >= at:
             out += [text[at:start], names[name]]
             at = start + len(name)
@@ -114,15 +159,39 @@ def without_comments(text: str, squash: bool = False) -> str:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """(idx, path, parsed_ok, encrypted, declared, referenced, included) of files (idx, path, text)."""
+    """(idx, path, parsed_ok, encrypted, declared, referenced, included) of files (idx, path, text), and where there is such
+    a column, under the names of ``defines`` of each file's group. A file without a text cannot be read: an error."""
     ship_package(files.sparkSession)
+    given = F.col("defines") if "defines" in files.columns else F.expr("cast(array() as array<string>)")
+    there = F.when(F.col("text").isNull(), F.raise_error(F.concat(F.lit("no text of "), "path")).cast("string")).otherwise(F.col("text"))
 
     def run(batches):
         for pdf in batches:
-            found = [scan(t or "") for t in pdf["text"]]
+            found = [scan(t, frozenset(d)) for t, d in zip(pdf["text"], pdf["defines"], strict=True)]
             yield pdf[["idx", "path"]].assign(parsed_ok=[f["ok"] for f in found], encrypted=[f["encrypted"] for f in found], declared=[f["declared"] for f in found], referenced=[f["referenced"] for f in found], included=[f["included"] for f in found])
 
-    return files.select("idx", "path", "text").mapInPandas(run, "idx long, path string, parsed_ok boolean, encrypted boolean, declared array<string>, referenced array<string>, included array<string>")
+    return files.select("idx", "path", there.alias("text"), given.alias("defines")).mapInPandas(run, "idx long, path string, parsed_ok boolean, encrypted boolean, declared array<string>, referenced array<string>, included array<string>")
+
+
+def parse_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """The Verilog files of flattened groups (pkg, at, dirs, exported, defines, files), parsed under their group's defines: idx
+    (their place in the whole list), path, and what ``parse`` finds; with the include directories of each group as
+    ``dirs``. ``texts`` (path, text)."""
+    from ..plans.resolve import interned
+
+    files = groups.select("at", "dirs", "exported", F.transform("defines", lambda d: d["name"]).alias("defines"), F.posexplode("files").alias("pos", "f")).where("f.file_type = 'verilog'")
+    files = files.select("at", "pos", F.col("f.path").alias("path"), "defines", F.array_distinct(F.concat("dirs", "exported")).alias("dirs"))
+    numbers = interned(files, ["at", "pos"])
+    named = files.join(numbers, ["at", "pos"]).select(F.col("ref").cast("long").alias("idx"), "path", "defines", "dirs")
+    return parse(named.join(texts, "path", "left")).join(named.select("idx", "dirs"), "idx")
+
+
+def headers_of(trees: DataFrame, listing: DataFrame) -> DataFrame:
+    """(idx, path): header files that parsed files include (idx, included, dirs), by the first of their own group's directories
+    that has one. ``listing`` (path)."""
+    wanted = trees.select("idx", F.explode("included").alias("name"), "dirs").select("idx", "name", F.posexplode("dirs").alias("order", "dir"))
+    found = wanted.select("idx", "name", "order", F.concat_ws("/", "dir", "name").alias("path")).join(listing.select("path").distinct(), "path")
+    return found.groupBy("idx", "name").agg(F.min_by("path", "order").alias("path")).select("idx", "path").distinct()
 
 
 def rename_files(files: DataFrame, names: DataFrame) -> DataFrame:

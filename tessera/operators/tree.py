@@ -34,12 +34,30 @@ def surviving(nodes: DataFrame, holds: Column, key: str = "node", parent: str =
     return kept.where("alive").drop("own", "alive")
 
 
-def runs(df: DataFrame, category: Column, order: list[str], within: list[str]) -> DataFrame:
-    """``df`` with ``run``: number of the maximal stretch of equal categories it stands in; null equals null only."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    fresh = F.row_number().over(w) == 1
-    changed = fresh | ~F.lag(category).over(w).eqNullSafe(category)
-    return df.withColumn("changed", changed.cast("long")).withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+def runs(df: DataFrame, category: Column, order: list[str], within: list[str], stretch: Column | None = None) -> DataFrame:
+    """``df`` with ``run``: number of the maximal stretch of equal categories it stands in; null equals null only.
+
+    Where ``within`` may have few values with many rows, ``stretch`` (a number that does not fall in that order) deals the
+    rows of one out: runs are numbered inside stretches, and what one leaves goes on to the next."""
+    if stretch is None:
+        w = Window.partitionBy(*within).orderBy(*order)
+        fresh = F.row_number().over(w) == 1
+        changed = fresh | ~F.lag(category).over(w).eqNullSafe(category)
+        return df.withColumn("changed", changed.cast("long")).withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+    rows = df.withColumns({"stretch_": stretch, "category_": F.struct(category.alias("c"))})
+    inside = Window.partitionBy(*within, "stretch_").orderBy(*order)
+    changed = ~F.coalesce(F.lag("category_").over(inside).eqNullSafe(F.col("category_")), F.lit(True))
+    rows = rows.withColumn("changed", (changed & (F.row_number().over(inside) > 1)).cast("long")).withColumn("inner_", F.sum("changed").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*within, "stretch_").agg(F.sum("changed").alias("n"), F.min_by("category_", F.struct(*order)).alias("first"), F.max_by("category_", F.struct(*order)).alias("last"))
+    over = Window.partitionBy(*within).orderBy("stretch_")
+    broken = F.row_number().over(over) == 1
+    broken = broken | ~F.lag("last").over(over).eqNullSafe(F.col("first"))
+    parts = parts.withColumn("broken", broken.cast("long"))
+    before = F.coalesce(F.sum(F.col("n")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("broken").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    placed = parts.select(*within, "stretch_", before.alias("before_"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*within, "stretch_")]
+    joined = rows.alias("r").join(placed.alias("p"), same)
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("p.before_") + F.col("r.inner_")).alias("run"))
 
 
 def flatten(items: DataFrame) -> DataFrame:

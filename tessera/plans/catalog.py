@@ -439,7 +439,7 @@ r AS (SELECT *, sum(ch) OVER (PARTITION BY pkg ORDER BY id) AS run FROM c) SELEC
 def run_length_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of files of one type; no type is a type of its own."""
     files = view(spark, sf_dir, "file").withColumn("file_type", paths.file_type(F.col("path")))
-    return tree.runs(files, F.col("file_type"), ["id"], ["pkg"]).groupBy("pkg", "run").agg(F.min("file_type").alias("file_type"), F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return tree.runs(files, F.col("file_type"), ["id"], ["pkg"], F.floor(F.col("id") / 4096)).groupBy("pkg", "run").agg(F.min("file_type").alias("file_type"), F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("""WITH o AS (SELECT regexp_extract(path, '[^/]*$', 0) AS b, arg_max(path, id) AS p, arg_max(pkg, id) AS op FROM (SELECT 'x/' || CAST(id % 500 AS STRING) || '.sv' AS path, pkg, id FROM file WHERE id % 6 = 0) y GROUP BY 1)
@@ -459,13 +459,10 @@ def global_defines_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(view(spark, sf_dir, "defn").select("name", "value", "pos"), ["name"], "value", "pos").select("name", F.coalesce("value", F.lit("none")).alias("value"), "pos")
 
 
-@query("""SELECT pkg, coalesce(string_agg(path, ' ' ORDER BY id) FILTER (WHERE path LIKE '%.sv' OR path LIKE '%.v'), '') AS verilog, coalesce(string_agg(path, ' ' ORDER BY id) FILTER (WHERE path LIKE '%.vhd'), '') AS vhdl,
-coalesce(string_agg(path, ' ' ORDER BY id) FILTER (WHERE path LIKE '%.txt'), '') AS other FROM file GROUP BY pkg""", "file")
+@query("""SELECT pkg, id, path, CASE WHEN path LIKE '%.sv' OR path LIKE '%.v' THEN 'verilog' WHEN path LIKE '%.vhd' THEN 'vhdl' ELSE 'other' END AS list FROM file""", "file")
 def split_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: three lists by type."""
-    kind = paths.file_type(F.col("path"))
-    of = lambda cond, name: F.array_join(in_order(F.when(cond, F.col("path")), "id"), " ").alias(name)
-    return view(spark, sf_dir, "file").groupBy("pkg").agg(of(kind == "verilog", "verilog"), of(kind == "vhdl", "vhdl"), of(kind.isNull(), "other"))
+    """A3: three lists by type, a row for each file in its list; ``id`` orders them."""
+    return view(spark, sf_dir, "file").select("pkg", "id", "path", F.coalesce(paths.file_type(F.col("path")), F.lit("other")).alias("list"))
 
 
 @query("SELECT pkg, id, CASE WHEN id % 2 = 0 THEN replace(path, pkg, '$ROOT') ELSE substr(path, length(pkg) + 2) END AS line FROM file", "file")
@@ -479,16 +476,15 @@ def flist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH i AS (SELECT DISTINCT pkg, 0 AS section, '+incdir+' || pkg || '/inc' || CAST(id % 3 AS STRING) AS line, pkg || '/inc' || CAST(id % 3 AS STRING) AS k FROM file),
 d AS (SELECT DISTINCT pkg, 1 AS section, '+define+' || CASE WHEN id % 2 = 0 THEN 'A=1' ELSE 'B' END AS line, CASE WHEN id % 2 = 0 THEN 'A' ELSE 'B' END AS k FROM file), f AS (SELECT pkg, 2 AS section, path AS line, lpad(CAST(id AS STRING), 20, '0') AS k FROM file)
-SELECT pkg, string_agg(line, ' ' ORDER BY section, k) AS lines FROM (SELECT * FROM i UNION ALL SELECT * FROM d UNION ALL SELECT * FROM f) x GROUP BY pkg""", "file")
+SELECT pkg, section, k AS key, line FROM (SELECT * FROM i UNION ALL SELECT * FROM d UNION ALL SELECT * FROM f) x""", "file")
 def flist_plus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Include directories, defines and files in three ordered sections."""
+    """Include directories, defines and files in three sections, ordered by section and key."""
     from .render import flist_plus
 
     files = view(spark, sf_dir, "file")
     dirs = files.select("pkg", F.concat("pkg", F.lit("/inc"), (F.col("id") % 3).cast("string")).alias("dir"))
     defines = files.select("pkg", F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("name"), F.when(F.col("id") % 2 == 0, "1").alias("value"))
-    lines = flist_plus(files.select("pkg", "id", "path"), dirs, defines, ["pkg"], "id")
-    return lines.groupBy("pkg").agg(F.array_join(in_order("line", "section", "key"), " ").alias("lines"))
+    return flist_plus(files.select("pkg", "id", "path"), dirs, defines, ["pkg"], "id").select("pkg", "section", "key", "line")
 
 
 _FORMATS = """fmt(format, targets) AS (VALUES ('flist', 'flist'), ('flist-plus', 'flist'), ('vsim', 'vsim,simulation'), ('vcs', 'vcs,simulation'), ('verilator', 'verilator,synthesis'), ('synopsys', 'synopsys,synthesis'), ('formality', 'synopsys,synthesis,formality'),

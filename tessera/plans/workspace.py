@@ -146,6 +146,33 @@ def _prefixes(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
+def patches(files: DataFrame, names: DataFrame, *, fresh: bool = False) -> DataFrame:
+    """(dir, number, text) of a patch for each folder whose files (dir, path, old, new) differ: their plain differences by
+    path, under the next number of the folder's patches (dir, name), or under 1 with ``fresh``. A side that is null is a file
+    that came or went."""
+    from ..frames import in_order
+    from ..shipping import ship_package
+
+    ship_package(files.sparkSession)
+
+    def run(batches):
+        import difflib
+
+        def text(path, old, new) -> str:
+            a, b = (x.splitlines(keepends=True) if x is not None else [] for x in (old, new))
+            lines = difflib.unified_diff(a, b, f"a/{path}" if old is not None else "/dev/null", f"b/{path}" if new is not None else "/dev/null")
+            return "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in lines)
+
+        for pdf in batches:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            yield pdf.assign(text=[text(*r) for r in zip(pdf["path"], pdf["old"], pdf["new"], strict=True)])[["dir", "path", "text"]]
+
+    changed = files.where(~F.col("old").eqNullSafe(F.col("new"))).select("dir", "path", "old", "new").mapInPandas(run, "dir string, path string, text string")
+    whole = changed.groupBy("dir").agg(F.array_join(in_order("text", "path"), "").alias("text"))
+    number = next_patch(names) if not fresh else names.select("dir").limit(0).withColumn("number", F.lit(1))
+    return whole.join(number, "dir", "left").select("dir", F.coalesce("number", F.lit(1)).alias("number"), "text")
+
+
 def copied(path: Column, include: Column, exclude: Column) -> Column:
     """Whether a file is copied: it and every folder above it match an include pattern or a folder of one, and no
     exclude pattern. A pattern without wildcards may name a folder and stands for all in it; "" is everything."""

@@ -299,3 +299,73 @@ def test_other_formats(fixture_groups):
     told = json.loads(render.context(fixture_groups, root="/r", define=["A=2", "C"]).first().json)
     assert told["all_incdirs"] == ["/r/inc", "/x"] and [d["name"] for d in told["global_defines"]] == ["A", "C"] and [f["file"] for f in told["all_files"]] == ["/r/a.sv", "/r/b.sv", "/r/c.vhd", "/r/d.txt"]
     assert [f["file"] for f in told["all_vhdl"]] == ["/r/c.vhd"] and len(told["srcs"]) == 3 and told["all_verilog"][1]["comment"] == "note"
+
+
+CONDITIONS = """`define OWN
+module a; `ifdef SIM b b1(); `else c c1(); `endif endmodule
+`ifndef OWN
+module gone; endmodule
+`elsif SIM
+module sim_only; endmodule
+`else
+module neither; endmodule
+`endif
+// `ifdef in a comment
+"""
+
+
+def test_conditions(spark):
+    from tessera.operators import syntax
+
+    plain, sim = syntax.scan(CONDITIONS), syntax.scan(CONDITIONS, frozenset(["SIM"]))
+    assert (plain["declared"], plain["referenced"], plain["ok"]) == (["a", "neither"], ["c"], True) and (sim["declared"], sim["referenced"]) == (["a", "sim_only"], ["b"])
+    assert not syntax.scan("`ifdef A\nmodule m; endmodule")["ok"] and not syntax.scan("`endif")["ok"]
+    assert syntax.renamed(CONDITIONS, {"a": "z", "b": "y", "c": "x"}) == CONDITIONS.replace("module a", "module z").replace("c c1", "x c1") and syntax.renamed(CONDITIONS, {}) == CONDITIONS
+
+
+def test_groups_are_parsed_under_their_defines(groups, spark):
+    from tessera.operators import syntax
+
+    texts = spark.createDataFrame([(f["path"], '`include "x.svh"\nmodule m; `ifdef TARGET_FAST f f1(); `endif endmodule') for r in groups.collect() for f in r.files if f["file_type"] == "verilog"], "path string, text string")
+    trees = syntax.parse_groups(groups, texts)
+    found = {r.path: r for r in trees.collect()}
+    assert [p for p, r in found.items() if r.referenced == ["f"]] and {p for p, r in found.items() if r.referenced} == {"/w/a/a.sv", "/w/a/a_fast.sv"}
+    assert found["/w/top/tb.sv"].dirs == ["/w/top/inc", "/w/top/sub", "/w/a/inc"] and [r.path for r in trees.orderBy("idx").limit(2).collect()] == ["/w/c/c.sv", "/w/a/a.sv"]
+    listing = spark.createDataFrame([("/w/top/sub/x.svh",), ("/w/a/inc/x.svh",)], "path string")
+    heads = {r.idx: r.path for r in syntax.headers_of(trees, listing).collect()}
+    by_path = {p: heads.get(r.idx) for p, r in found.items()}
+    assert by_path["/w/top/tb.sv"] == "/w/top/sub/x.svh" and by_path["/w/top/one.sv"] == "/w/a/inc/x.svh" and by_path["/w/b/b.sv"] is None
+    with pytest.raises(Exception, match="no text of"):
+        syntax.parse_groups(groups, texts.where("path NOT LIKE '%b.sv'")).collect()
+
+
+def test_patches(spark):
+    from tessera.plans import workspace
+
+    files = spark.createDataFrame([("d", "b.v", "x\ny\n", "x\nz\n"), ("d", "a.v", None, "new\n"), ("d", "same", "q", "q"), ("e", "c.v", "1", "2")], "dir string, path string, old string, new string")
+    names = spark.createDataFrame([("d", "0003-x.patch")], "dir string, name string")
+    got = {r.dir: (r.number, r.text) for r in workspace.patches(files, names).collect()}
+    assert got["d"] == (4, "--- /dev/null\n+++ b/a.v\n@@ -0,0 +1 @@\n+new\n--- a/b.v\n+++ b/b.v\n@@ -1,2 +1,2 @@\n x\n-y\n+z\n")
+    assert got["e"] == (1, "--- a/c.v\n+++ b/c.v\n@@ -1 +1 @@\n-1\n\\ No newline at end of file\n+2\n\\ No newline at end of file\n")
+
+
+def test_runs_in_stretches(spark):
+    import random
+
+    from tessera.operators import tree
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice("pq") if i % 9 else None, i, rng.choice(["a", "a", "b", None])) for i in range(300)], "k string, i long, c string")
+    want = sorted((str(r.k), r.i, r.run) for r in tree.runs(df, F.col("c"), ["i"], ["k"]).collect())
+    for n in (1, 7, 50, 1000):
+        assert sorted((str(r.k), r.i, r.run) for r in tree.runs(df, F.col("c"), ["i"], ["k"], F.floor(F.col("i") / n)).collect()) == want
+
+
+def test_clean(spark):
+    from tessera import frames
+
+    df = frames.cut(spark.range(3).toDF("x"))
+    assert df.count() == 3
+    path = frames.shared_path(spark, "x").rsplit("/", 1)[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
