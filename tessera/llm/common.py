@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..frames import remove, shared_path
 from ..shipping import ship_package
 
 #: Rows of text handled at once inside a Python task; bounds its memory whatever the Arrow batch holds.
@@ -17,15 +17,8 @@ SLICE_ROWS = 256
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``. Without that setting a local master (tests) gets a folder under /tmp;
-    on a cluster it is an error, since each executor would write to its own disk."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under ``spark.checkpoint.dir``, in this application's folder, which ``frames.clean`` removes."""
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -114,7 +107,14 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     never more edges than at first, and no neighbourhood is gathered in one row. Each round is written to the
     shared folder. Raises if ``rounds`` (logarithmic in practice) do not suffice, rather than give a wrong answer.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    spark = edges.sparkSession
+
+    def keep(df: DataFrame) -> tuple[DataFrame, str]:
+        path = shared_folder(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    now, path = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     sums = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
     before = now.agg(*sums).first()
     for _ in range(rounds):
@@ -124,8 +124,9 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         now = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = written(now, "edges")
-        after = now.agg(*sums).first()
+        now, new = keep(now)
+        remove(spark, path)
+        path, after = new, now.agg(*sums).first()
         if after == before:
             break
         before = after
