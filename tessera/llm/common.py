@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,23 @@ def estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least point that each of ``n`` points reaches over the edges (u, v), inside one task."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        if not len(u):
+            break
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label != (up := label[label])).any():
+            label = up
+    return label
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_batches, arrow_map, connected_components, join_counted, slices, written
+from .common import arrow_batches, arrow_map, components, connected_components, join_counted, slices, written
 
 #: Blocks that a table is cut into at least, points in a block at least, and bytes of vectors in one at most.
 BLOCKS, LEAST_BLOCK, BLOCK_BYTES = 8, 1024, 16 << 20
@@ -158,23 +158,6 @@ class Tree:
         self.links = np.zeros(len(self.ids), np.int64)
 
 
-def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The least point that each of ``n`` points reaches over the edges (u, v)."""
-    label = np.arange(n)
-    while len(u):
-        a, b = label[u], label[v]
-        apart = a != b
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        if not len(u):
-            break
-        least = np.minimum(a, b)
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        while (label != (up := label[label])).any():
-            label = up
-    return label
-
-
 class Join:
     """Dual traversal of two trees, or of one with itself."""
 

@@ -101,6 +101,13 @@ def test_near_blocks(spark, monkeypatch):
     assert {r.doc_id: r.group_id for r in near.groups(df).collect()} == brute_groups(texts)
 
 
+def cell_of(spark, sketch, bands):
+    n = len(sketch)
+    own = spark.createDataFrame([(i + 1, bands[i].tolist(), bytearray(sketch[i]), 9) for i in range(n)], "id long, bands array<long>, sketch binary, size long")
+    places = spark.createDataFrame([(500, 3, i + 1, 1, 1) for i in range(n)], "bucket long, band int, id long, leader long, blocks int")
+    return {r.id for r in near.active(places, own, spark.createDataFrame([], "a long, b long")).collect()}
+
+
 def test_near_chance_agreement_of_sketches(spark):
     # 1 and 2 share the hash of band 3 only; on band 0 their sketches agree by chance
     sketch = np.zeros((2, near.REGISTERS), np.uint8)
@@ -108,20 +115,66 @@ def test_near_chance_agreement_of_sketches(spark):
     sketch[1, 3 * near.ROWS] = 0
     bands = np.arange(2 * near.BANDS).reshape(2, near.BANDS)
     bands[:, 3] = 500
-    own = spark.createDataFrame([(i + 1, bands[i].tolist(), bytearray(sketch[i])) for i in range(2)], "id long, bands array<long>, sketch binary")
-    places = spark.createDataFrame([(500, 3, i, 1, 2) for i in (1, 2)], "bucket long, band int, id long, leader long, n long")
-    links = spark.createDataFrame([], "a long, b long")
-    for best in (True, False):
-        assert [tuple(r) for r in near.search(places, own, links, best).collect()] == [(1, 2)]
+    assert cell_of(spark, sketch, bands) == {1, 2}
+    bands[:, 1] = 400  # they meet in an earlier bucket
+    assert cell_of(spark, sketch, bands) == set()
 
 
 def test_near_low_estimates_are_verified(spark):
-    # 200 of 280 registers are equal, an estimate of 0.714
-    sketch = np.zeros((2, near.REGISTERS), np.uint8)
-    sketch[1, 200:] = 1
-    own = spark.createDataFrame([(i + 1, [500] * near.BANDS, bytearray(sketch[i])) for i in range(2)], "id long, bands array<long>, sketch binary")
-    places = spark.createDataFrame([(500, 0, i, 1, 2) for i in (1, 2)], "bucket long, band int, id long, leader long, n long")
-    assert near.search(places, own, spark.createDataFrame([], "a long, b long"), False).count() == 1
+    # 200 of 280 registers are equal, an estimate of 0.714; 180 are too few
+    for equal, found in ((200, {1, 2}), (180, set())):
+        sketch = np.zeros((2, near.REGISTERS), np.uint8)
+        sketch[1, equal:] = 1
+        bands = np.arange(2 * near.BANDS).reshape(2, near.BANDS)
+        bands[:, 3] = 500
+        assert cell_of(spark, sketch, bands) == found
+
+
+def test_overlaps_of_bags(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "c"], rng.integers(1, 60))) for _ in range(25)]
+    bags, sets = [near.bag_of(t) for t in texts], [near.shingles(near.words_of(t)) for t in texts]
+    for dense in (near.DENSE, 1):
+        monkeypatch.setattr(near, "DENSE", dense)
+        both = near.overlaps(bags)
+        for i in range(25):
+            for j in range(i):
+                union = len(bags[i]) + len(bags[j]) - both[i, j]
+                assert abs(both[i, j] / union - near.similarity(sets[i], sets[j])) < 1e-12
+
+
+def test_near_alike_but_not_linked(spark):
+    """Many texts, each some 0.75 like every other: no links, and rows that grow with the texts, not with their pairs."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(120):
+        own = list(base)
+        for k in rng.choice(400, 5, replace=False):
+            own[k] = f"x{i}-{k}"
+        texts[i] = " ".join(own)
+    texts[120] = texts[7] + " one more"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near.groups(df).collect()} == brute_groups(texts)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of multisets at 0.80 to 0.82: how many share a band and have a similar sketch."""
+    rng = np.random.default_rng(1)
+    missed, n = 0, 1500
+    for _ in range(n // 50):
+        bags = []
+        for _ in range(50):
+            size = int(rng.integers(60, 200))
+            h = np.unique(rng.integers(1, 1 << 62, 2 * size).astype(np.uint64))[: 2 * size]
+            shared = int(round(size * 2 * rng.uniform(0.8, 0.82) / (1 + 0.81)))
+            a, b = h[:size], np.concatenate([h[:shared], h[size : 2 * size - shared]])
+            bags += [(np.sort(x), np.ones(len(x), int)) for x in (a, b)]
+        points = near.signatures(bags).view(np.uint64)
+        equal = points[::2] == points[1::2]
+        meet = equal.reshape(-1, near.BANDS, near.ROWS).all(axis=2).any(axis=1)
+        missed += int((~(meet & (equal.mean(axis=1) >= near.LIKELY))).sum())
+    assert missed <= 3
 
 
 def test_near_hard_rows(spark, hard):
