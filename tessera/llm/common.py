@@ -48,7 +48,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of long texts are held several times over, in the executor and in Python: where the session has
     Spark's own limits, lower ones are set."""
-    for key, usual, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b",), "8388608b")):
+    for key, usual, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b",), "4194304b")):
         if spark.conf.get(key) in usual:
             spark.conf.set(key, wanted)
 
@@ -56,7 +56,13 @@ def small_batches(spark: SparkSession) -> None:
 def arrow_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow's own pools keep what is freed, and workers live on
+        pa.set_memory_pool(pa.system_memory_pool())
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(text: str = "text") -> Column:
