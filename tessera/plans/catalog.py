@@ -692,13 +692,13 @@ def human_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _active_set(spark, sf_dir).select("user_id", paths.human_list(F.array_sort("targets")).alias("said"))
 
 
-@query(f"""WITH {_LOCKS}, t AS (SELECT DISTINCT pkg, CASE WHEN part % 2 = 0 THEN 'git' ELSE 'path' END AS kind, rev FROM tag) SELECT pkg, kind, rev, dense_rank() OVER (ORDER BY pkg, kind, rev) - 1 AS ref FROM t""", "tag")
+@query("""WITH t AS (SELECT pkg, CASE WHEN part % 2 = 0 THEN 'git' ELSE 'path' END AS kind, rev, min(part * 100000 - pkg) AS pos FROM tag GROUP BY 1, 2, 3) SELECT pkg, kind, rev, row_number() OVER (ORDER BY pos, pkg) - 1 AS ref FROM t""", "tag")
 def intern_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense ids of distinct (package, kind, revision) tuples."""
+    """Dense ids of distinct (package, kind, revision) tuples, in order of arrival."""
     from .resolve import interned
 
-    tags = view(spark, sf_dir, "tag").select("pkg", F.when(F.col("part") % 2 == 0, "git").otherwise("path").alias("kind"), "rev")
-    return interned(tags, ["pkg", "kind", "rev"])
+    tags = view(spark, sf_dir, "tag").select("pkg", F.when(F.col("part") % 2 == 0, "git").otherwise("path").alias("kind"), "rev", (F.col("part") * 100000 - F.col("pkg")).alias("pos"))
+    return interned(tags, ["pkg", "kind", "rev"], "pos")
 
 
 @query(None)

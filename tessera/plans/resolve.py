@@ -29,15 +29,17 @@ ROUNDS = 200
 DECLARED = "parent string, parent_rev string, dep string, pos long, source string, constraint string"
 
 
-def interned(df: DataFrame, key: list[str]) -> DataFrame:
-    """``df``'s distinct tuples with dense numbers in order of the key. Ranks are counted inside ranges of the key, so
-    no task sees all rows."""
-    rows = cut(df.select(*key).distinct(), "tuples")
+def interned(df: DataFrame, key: list[str], pos: str | None = None) -> DataFrame:
+    """``df``'s distinct tuples with dense numbers, in order of arrival (the least ``pos``) or, without one, of the key.
+    Ranks are counted inside ranges, so no task sees all rows."""
+    rows = df.select(*key).distinct() if pos is None else df.groupBy(*key).agg(F.min(pos).alias("pos_"))
+    order = [*([] if pos is None else ["pos_"]), *key]
+    rows = cut(rows, "tuples")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(rows.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()), "ranged")
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "part").select(*key, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*key)) - 1).alias("ref"))
+    return ranged.join(F.broadcast(before), "part").select(*key, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1).alias("ref"))
 
 
 def constraint_kind(source: Column, constraint: Column) -> Column:
@@ -363,6 +365,31 @@ def lock_rows(picked: DataFrame, declared: DataFrame) -> DataFrame:
     return rows.select(F.col("dep").alias("name"), F.when(~path, F.col("rev")).alias("revision"), F.when(~path, F.col("text")).alias("version"), F.when(path, "Path").otherwise("Git").alias("source_kind"), F.col("source").alias("source_uri"), F.coalesce("dependencies", F.expr("cast(array() as array<string>)")).alias("dependencies"))
 
 
+def update(lock: DataFrame, declared: DataFrame, tags: DataFrame, root: str, requested: list[str] | None = None, *, new_only: bool = False, recursive: bool = False, frozen: bool = False, overrides: DataFrame | None = None, checked_out: DataFrame | None = None, decisions: DataFrame | None = None, order: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new lock, difference, told) of an update run: which rows of ``lock`` stay (``workspace.kept_locked``), their
+    constraints in the place of declared ones, versions of the rest by ``tags`` (source, version, text, rev), and the rows
+    that changed. ``told`` has W23 rows for kept revisions that are gone; those are chosen anew. A package that cannot be
+    chosen is an error, with its constraints."""
+    from .audit import lock_diff
+    from .workspace import kept_locked
+
+    names_ = kept_locked(lock, requested, new_only=new_only, recursive=recursive, frozen=frozen).select(F.col("name").alias("dep"))
+    asked = cut(lock_constraints(lock).join(names_, "dep", "left_semi"), "kept")
+    said = declared if "parent_rev" in declared.columns else declared.withColumn("parent_rev", F.lit(None).cast("string"))
+    first = available(said.select("dep", "source", "constraint").unionByName(asked.select("dep", "source", "constraint")), tags)
+    kept, told = kept_locks(asked, first)
+    kept = cut(kept, "kept")
+    rows = cut(overlaid(said, kept, overrides, checked_out).drop("origin"), "said")
+    held = kept.select("dep", "source", F.coalesce("revision", F.lit("")).alias("rev"))
+    picked, failed = resolve(rows, available(rows, tags), root, locked=held, decisions=decisions, order=order)
+    bad = failed.orderBy("dep").first()
+    if bad:
+        listed = conflict_order(rows.where(F.col("dep") == bad["dep"])).orderBy("place").limit(20).collect()
+        raise LookupError(f"{bad['dep']} is {bad['reason']}: " + "; ".join(f"{r['constraint'] or 'a path'} at {r['source']}" for r in listed))
+    new = cut(lock_rows(picked, rows), "lock")
+    return new, lock_diff(lock, new), told
+
+
 def grouped_constraints(asked: DataFrame) -> DataFrame:
     """(dep, asked): who asks for a package, with constraint and source, in order of arrival. ``asked`` (dep, parent,
     constraint, source, pos)."""

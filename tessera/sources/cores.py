@@ -106,3 +106,33 @@ def core_text(name: str, filesets: list, defaults: list[str], simulation: list[s
     doc = {"name": name, "filesets": sets, "targets": {"default": {"filesets": list(defaults)}, "simulation": {"filesets": list(simulation)}}}
     head = "".join(["CAPI=2:\n", f"# {note}\n\n", *(f"# {line}\n" for line in license_lines)])
     return f"{head}\n{dump(doc)}"
+
+
+#: Fixed value: the targets that the simulation of a core has besides.
+SIMULATION = {"simulation", "test"}
+
+
+def core_documents(groups: DataFrame, headers: DataFrame, cores: DataFrame, *, note: str = "", license_lines: tuple[str, ...] = ()) -> DataFrame:
+    """(pkg, text): the core file of every package of flattened groups; ``target`` is each group's own, shown. Filesets whose
+    target holds for nothing are the default's, those that hold for SIMULATION the simulation's. A task writes one package's
+    file, as long as that is."""
+    from ..shipping import ship_package
+
+    ship_package(groups.sparkSession)
+    files, depends, named = core_files(groups, headers, cores)
+    merged = merged_filesets(files, depends)
+    per = merged.groupBy("pkg").agg(F.collect_list(F.struct("fileset", "files", "depend")).alias("sets"))
+    told = named.groupBy("pkg").agg(F.collect_set(F.struct("fileset", "target")).alias("named"))
+    rows = per.join(told, "pkg").join(cores.select(F.col("dep").alias("pkg"), "vlnv"), "pkg").select("pkg", "vlnv", "sets", "named")
+
+    def run(batches):
+        for pdf in batches:
+            texts = []
+            for name, sets, names in zip(pdf["vlnv"], pdf["sets"], pdf["named"], strict=True):
+                names = sorted((n["target"] or "*", n["fileset"]) for n in names)
+                sets = [{k: list(v) if k != "fileset" and v is not None else v for k, v in r.items()} for r in sets]
+                of = lambda active, names=names: list(dict.fromkeys(f for t, f in names if t in chosen([t], active)))
+                texts.append(core_text(name, sorted(sets, key=lambda r: r["fileset"]), of(set()), of(SIMULATION), note=note, license_lines=list(license_lines)))
+            yield pdf[["pkg"]].assign(text=texts)
+
+    return rows.mapInPandas(run, "pkg string, text string")

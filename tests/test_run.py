@@ -369,3 +369,85 @@ def test_clean(spark):
     path = frames.shared_path(spark, "x").rsplit("/", 1)[0]
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_core_files_from_manifests(groups, spark):
+    from tessera.sources import cores, documents
+
+    shown = groups.withColumn("target", sources.shown_target(F.col("chain")))
+    vlnvs = spark.createDataFrame([(x, f"::{x}:0") for x in ("top", "a", "b", "c", "d")], "dep string, vlnv string")
+    heads = shown.where("pkg = 'a'").select("pkg", "at", F.lit("inc/h.svh").alias("path"), F.lit("inc").alias("include_path")).limit(1)
+    texts = {r.pkg: r.text for r in cores.core_documents(shown, heads, vlnvs, note="made", license_lines=("free",)).collect()}
+    doc = documents.load(texts["top"].split("\n", 1)[1])
+    assert texts["top"].startswith("CAPI=2:\n# made\n\n# free\n") and doc["name"] == "::top:0"
+    assert [x if isinstance(x, str) else next(iter(x)) for x in doc["filesets"]["files_rtl"]["files"]] == ["/w/top/one.sv", "/w/top/two.sv", "/w/top/notes.txt", "/w/top/new/c.sv"]
+    assert doc["filesets"]["sim"]["depend"] == ["::a:0", "::b:0", "::d:0"] and doc["targets"]["default"]["filesets"] == ["files_rtl"]
+    own = documents.load(texts["a"].split("\n", 1)[1])["filesets"]
+    assert set(own) == {"files_rtl", "fast"} and {"inc/h.svh": {"is_include_file": True, "include_path": "inc"}} in own["files_rtl"]["files"]
+
+
+@pytest.fixture(scope="module")
+def project(spark):
+    from tessera.functions import semver
+    from tessera.plans import resolve
+
+    tags = spark.createDataFrame([("u/a", "1.0.0", "a0"), ("u/a", "1.1.0", "a1"), ("u/b", "1.0.0", "b0"), ("u/b", "1.1.0", "b1"), ("u/c", "1.0.0", "c0")], "source string, text string, rev string")
+    tags = tags.select("source", semver.version(F.col("text")).alias("version"), "text", "rev").cache()
+    said = spark.createDataFrame([("top", None, "a", 0, "u/a", "1"), ("top", None, "p", 1, "/p", None), ("a", "a1", "c", 0, "u/c", "1"), ("a", None, "b", 1, "u/b", "1")], resolve.DECLARED).cache()
+    lock = spark.createDataFrame([("a", "a0", "1.0.0", "Git", "u/a", ["b"]), ("b", "b0", "1.0.0", "Git", "u/b", []), ("p", None, None, "Path", "/p", [])], D.LOCK).cache()
+    return lock, said, tags
+
+
+@pytest.mark.parametrize("options, versions, changed", [
+    ({}, {"a": "1.1.0", "b": "1.1.0", "c": "1.0.0", "p": None}, {("a", "1.0.0", "1.1.0"), ("b", "1.0.0", "1.1.0"), ("c", "", "1.0.0")}), ({"new_only": True}, {"a": "1.0.0", "b": "1.0.0", "p": None}, set()),
+    ({"requested": ["b"]}, {"a": "1.0.0", "b": "1.1.0", "p": None}, {("b", "1.0.0", "1.1.0")}), ({"requested": ["a"]}, {"a": "1.1.0", "b": "1.0.0", "c": "1.0.0", "p": None}, {("a", "1.0.0", "1.1.0"), ("c", "", "1.0.0")}),
+    ({"requested": ["a"], "recursive": True}, {"a": "1.1.0", "b": "1.1.0", "c": "1.0.0", "p": None}, {("a", "1.0.0", "1.1.0"), ("b", "1.0.0", "1.1.0"), ("c", "", "1.0.0")}),
+])
+def test_update_run(project, options, versions, changed):
+    from tessera.plans import resolve
+
+    new, diff, told = resolve.update(*project, "top", **options)
+    assert {r.name: r.version for r in new.collect()} == versions and {tuple(r) for r in diff.collect()} == changed and told.count() == 0
+
+
+def test_update_errors(project, spark):
+    from tessera.plans import resolve
+
+    lock, said, tags = project
+    for options in ({"frozen": True}, {"requested": ["zz"]}):
+        with pytest.raises(ValueError):
+            resolve.update(lock, said, tags, "top", **options)
+    with pytest.raises(LookupError, match="a is unsatisfiable: \\^9 at u/a"):
+        resolve.update(lock, said.where("dep <> 'a'").unionByName(spark.createDataFrame([("top", None, "a", 0, "u/a", "^9")], resolve.DECLARED)), tags, "top")
+    gone = lock.withColumn("revision", F.when(F.col("name") == "b", "zz").otherwise(F.col("revision"))).withColumn("version", F.when(F.col("name") != "b", F.col("version")))
+    new, _, told = resolve.update(gone, said, tags, "top", new_only=True)
+    assert [(r.subject, r.code) for r in told.collect()] == [("b", "W23")] and {r.name: r.version for r in new.collect()} == {"a": "1.0.0", "b": "1.1.0", "p": None}
+
+
+def test_list_sections(spark):
+    files = spark.createDataFrame([(1, "a.sv"), (2, "b.sv")], "id long, path string").withColumn("pkg", F.lit("p"))
+    dirs, defines = spark.createDataFrame([("p", "inc")], "pkg string, dir string"), spark.createDataFrame([("p", "A", "1"), ("p", "B", ""), ("p", "C", None)], "pkg string, name string, value string")
+    lines = lambda only: [r.line for r in render.flist_plus(files, dirs, defines, ["pkg"], "id", only).orderBy("section", "key").collect()]
+    assert lines(None) == ["+incdir+inc", "+define+A=1", "+define+B", "+define+C", "a.sv", "b.sv"]
+    assert lines("defines") == ["+define+A=1", "+define+B", "+define+C"] and lines("incdirs") == ["+incdir+inc"] and lines("files") == ["a.sv", "b.sv"]
+
+
+def test_lock_edges_and_names(spark):
+    lock = spark.createDataFrame([("a", ["b"]), ("b", [])], "name string, dependencies array<string>")
+    assert [tuple(r) for r in sources.locked_edges(lock).collect()] == [("a", "b")] and sources.names(["B", "a", "b"]) == ["b", "a"]
+    with pytest.raises(LookupError, match="the lock has no b"):
+        sources.locked_edges(lock.where("name = 'a'"))
+
+
+def test_two_ways_to_one_folder_are_no_conflict(spark):
+    from tessera.functions import semver
+    from tessera.plans import audit
+
+    locked = spark.createDataFrame([("common", None, None)], "pkg string, rev string, text string").withColumn("version", semver.version(F.col("text")))
+    offered = locked.select("pkg", "version").limit(0)
+    said = spark.createDataFrame([("common", "top", 0, None, "/w/ip/common"), ("common", "foo", 1, None, "/w/ip/foo/../common"), ("common", "bar", 2, None, "/w/ip/bar/./../common/")], "pkg string, parent string, parent_pos long, constraint string, source string")
+    assert [r.state for r in audit.states(locked, offered, said).collect()] == ["path"]
+    assert {r.state for r in audit.states(locked, offered, said.unionByName(said.limit(1).withColumn("source", F.lit("/w/other")))).collect()} == {"path", "conflict"}
+    ranks = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "pkg string, rank long")
+    rows = audit.listed(ranks, spark.createDataFrame([("a", "1.0.0"), ("b", None), ("c", "2.0.0")], "name string, version string"), "top").orderBy("place").collect()
+    assert [(r.name, r["rank"], r.version) for r in rows] == [("b", 1, None), ("c", 1, "2.0.0"), ("a", 0, "1.0.0"), ("top", -1, None)]
