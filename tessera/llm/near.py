@@ -204,10 +204,11 @@ def overlaps(bags: list[np.ndarray]) -> np.ndarray:
     row, column = np.repeat(np.arange(n), sizes)[shared], new[column[shared]]
     by_column = np.argsort(column, kind="stable")
     row, column = row[by_column], column[by_column]
-    out, step = np.zeros((n, n), np.float32), max(64, DENSE // max(1, n))
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    out, width = np.zeros((n, n), np.float32), int(column[-1]) + 1 if len(column) else 0
+    step = max(64, DENSE // max(1, n))
+    for start in range(0, width, step):
         part = slice(*np.searchsorted(column, [start, start + step]))
-        dense = np.zeros((n, step), np.float32)
+        dense = np.zeros((n, min(step, width - start)), np.float32)
         dense[row[part], column[part] - start] = 1
         out += dense @ dense.T
     return out
