@@ -243,6 +243,20 @@ def lock_rows(text: str, root: str) -> list[tuple]:
     return rows
 
 
+def locks(documents: DataFrame) -> DataFrame:
+    """Rows of LOCK of many locks (root, text), parsed where they are, with each one's root."""
+    ship_package(documents.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(root, *r) for root, text in zip(pdf["root"], pdf["text"], strict=True) for r in lock_rows(text or "", root)]
+            yield pd.DataFrame(rows, columns=["root", *(x.split(" ")[0] for x in LOCK.split(", "))])
+
+    return documents.select("root", "text").mapInPandas(run, f"root string, {LOCK}")
+
+
 def read_lock(spark: SparkSession, path: str, root: str) -> DataFrame:
     """A lock file as a table; a missing one is an empty table. A lock is one small document: the driver reads it."""
     found = spark.read.format("binaryFile").load(path).select("content").collect() if _exists(spark, path) else []

@@ -1,7 +1,7 @@
 import pytest
 
 from oracle_check import agree
-from tessera.plans import catalog, catalog_sources  # noqa: F401
+from tessera.plans import catalog, catalog_sources, catalog_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
