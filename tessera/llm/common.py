@@ -142,11 +142,13 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     sums = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
     before = now.agg(*sums).first()
     for _ in range(rounds):
+        # nodes are at most twice as many as edges; a hub has many, and a join by nodes would bring them to one task
+        side = F.broadcast if 2 * before["n"] <= BROADCAST_ROWS else lambda df: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
+        star = large.join(side(least), "u")
         now = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         now, new = keep(now)
         remove(spark, path)
