@@ -168,16 +168,16 @@ def test_manifest_of_the_picked_version(spark, monkeypatch):
     assert (lock["a"].version, lock["a"].dependencies, lock["z"].dependencies, lock["c"].source_kind) == ("1.0.0", ["b"], ["a"], "Git")
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_both_ways_of_settling(spark, monkeypatch, seed):
     import random
 
     rng = random.Random(seed)
-    rows = [(f"p{i}", f"{v}.{m}.0", f"r{i}{v}{m}") for i in range(6) for v in (1, 2) for m in range(2)]
+    rows = [(f"p{i}", f"{v}.{m}.0", f"r{i}{v}{m}") for i in range(5) for v in (1, 2) for m in range(2)]
     c = candidates(spark, rows)
     asks = ["*", "1", "2", ">=1.1.0", "<2.0.0", "=1.0.0", "~2.1"]
     say = [("root", None, f"p{i}", i, "git", rng.choice(asks[:2])) for i in range(2)]
-    say += [(p, r, f"p{j}", k, "git", rng.choice(asks)) for p, _, r in rows for k, j in enumerate(rng.sample(range(6), 2)) if f"p{j}" != p and rng.random() < 0.6]
+    say += [(p, r, f"p{j}", k, "git", rng.choice(asks)) for p, _, r in rows for k, j in enumerate(rng.sample(range(5), 2)) if f"p{j}" != p and rng.random() < 0.6]
     df = spark.createDataFrame(say, resolve.DECLARED)
     got = []
     for few in (resolve.SMALL_ROWS, -1):
