@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from ..frames import cut, in_order
 from ..functions import semver
+from ..operators import graph
 from ..shipping import ship_package
 
-#: Rows of declarations and fits up to which one task settles them: some 200 MB.
-SMALL_ROWS = 500_000
+#: Declarations, candidates and fits up to which one task settles them: some 300 MB.
+SMALL_ROWS = 2_000_000
 ROUNDS = 200
 DECLARED = "parent string, parent_rev string, dep string, pos long, source string, constraint string"
 
@@ -154,7 +155,7 @@ class Settled:
         self.failed: dict[str, str] = {}
 
     def needs(self, parent: str, rev: str | None) -> list[tuple]:
-        return [(d, s, c) for r, _, d, s, c in self.declared.get(parent, []) if r is None or r == rev]
+        return [(d, s, c) for revs, d, s, c in self.declared.get(parent, []) if revs is None or rev in revs]
 
     def register(self, rows: list[tuple]) -> None:
         for dep, source, _ in rows:
@@ -224,19 +225,23 @@ class Settled:
 def _settled_in_one_task(declared: DataFrame, candidates: DataFrame, fits: DataFrame, root: str, locked: DataFrame | None, decisions: DataFrame | None) -> DataFrame:
     """(dep, source, rev, reason): picks, and packages without one with the reason."""
     ship_package(declared.sparkSession)
-    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    shape = ["kind", "a", "b", "c", "d", "e", "n"]
+    # a row for each list: the revisions that ask for one thing, a source's candidates, what a constraint admits in order
+    asked = declared.groupBy("parent", "dep", "pos", "source", "constraint").agg(F.when(F.count_if(F.col("parent_rev").isNull()) == 0, F.collect_set("parent_rev")).alias("revs"))
+    offered = candidates.select("dep", "source", "rev").distinct().groupBy("dep", "source").agg(F.array_sort(F.collect_list("rev")).alias("revs"))
+    admitted = fits.groupBy("dep", "constraint", "source").agg(in_order("rev", "place", "rev").alias("revs"))
+    row = lambda kind, a, b, c, d, n, revs: [F.lit(kind).alias("kind"), *[(F.col(x) if x else F.lit(None)).cast("string").alias(k) for k, x in zip("abcd", (a, b, c, d), strict=True)], n.cast("long").alias("n"), revs.alias("revs")]
+    zero = F.lit(0)
     parts = [
-        declared.select(F.lit("d").alias("kind"), F.col("parent").alias("a"), F.col("parent_rev").alias("b"), F.col("dep").alias("c"), F.col("source").alias("d"), F.coalesce("constraint", F.lit("")).alias("e"), F.col("pos").cast("long").alias("n")),
-        candidates.select(F.lit("c").alias("kind"), F.col("dep").alias("a"), F.col("source").alias("b"), F.col("rev").alias("c"), *none("d", "e"), F.lit(0).cast("long").alias("n")).distinct(),
-        fits.select(F.lit("f").alias("kind"), F.col("dep").alias("a"), F.col("constraint").alias("b"), F.col("source").alias("c"), F.col("rev").alias("d"), *none("e"), F.col("place").cast("long").alias("n")),
+        asked.withColumn("constraint", F.coalesce("constraint", F.lit(""))).select(*row("d", "parent", "dep", "source", "constraint", F.col("pos"), F.col("revs"))),
+        offered.select(*row("c", "dep", "source", "", "", zero, F.col("revs"))),
+        admitted.select(*row("f", "dep", "constraint", "source", "", zero, F.col("revs"))),
     ]
     for kind, df in (("l", locked), ("x", decisions)):
         if df is not None:
-            parts.append(df.select(F.lit(kind).alias("kind"), F.col("dep").alias("a"), F.col("source").alias("b"), F.col("rev").alias("c"), *none("d", "e"), F.lit(0).cast("long").alias("n")))
-    rows = parts[0].select(*shape)
+            parts.append(df.select(*row(kind, "dep", "source", "rev", "", zero, F.expr("cast(array() as array<string>)"))))
+    rows = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p.select(*shape))
+        rows = rows.unionByName(p)
 
     def run(frames) -> Iterator:
         import pandas as pd
@@ -244,15 +249,15 @@ def _settled_in_one_task(declared: DataFrame, candidates: DataFrame, fits: DataF
         got = [r for pdf in frames for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)]
         if not got:
             return
-        got.sort(key=lambda r: (r[0], r[6], str(r[2]), str(r[3]), str(r[4])))
+        got.sort(key=lambda r: (r[0], r[5], str(r[1]), str(r[2]), str(r[3]), str(r[4])))
         said, offered, admitted, kept, chosen = {}, {}, {}, {}, {}
-        for kind, a, b, c, d, e, n in got:
+        for kind, a, b, c, d, _, revs in got:
             if kind == "d":
-                said.setdefault(a, []).append((b, n, c, d, e))
+                said.setdefault(a, []).append((None if revs is None else frozenset(revs), b, c, d))
             elif kind == "c":
-                offered.setdefault((a, b), []).append(c)
+                offered[a, b] = list(revs)
             elif kind == "f":
-                admitted.setdefault((a, b), {}).setdefault(c, []).append(d)
+                admitted.setdefault((a, b), {})[c] = list(revs)
             else:
                 (kept if kind == "l" else chosen)[a] = b, c
         fix = Settled(root, said, offered, admitted, kept, chosen)
@@ -340,6 +345,11 @@ def resolve(declared: DataFrame, candidates: DataFrame, root: str, refs: DataFra
     conflicts that would else be reported. A dependency called like the root or its own package is an error."""
     if "parent_rev" not in declared.columns:
         declared = declared.withColumn("parent_rev", F.lit(None).cast("string"))
+    # what no version of anything leads to from the root is left out first
+    named = declared.select(F.col("parent").alias("src"), F.col("dep").alias("dst"))
+    reached = cut(graph.closure(named, declared.sparkSession.createDataFrame([(root,)], "node string")), "reached")
+    declared = declared.join(reached, F.col("parent") == F.col("node"), "left_semi")
+    candidates = candidates.join(reached, F.col("dep") == F.col("node"), "left_semi")
     declared = cut(declared.select(*[c.split(" ")[0] for c in DECLARED.split(", ")]), "declared")
     clash = name_clashes(declared, root).orderBy("parent", "dep").first()
     if clash:
