@@ -92,11 +92,12 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> Da
     keys, of which there can be HOT_PART for each partition at most, are broadcast, so that no task gets all rows of one;
     the rest shuffles. Both sides are read twice: hand in written tables."""
     parts = parts_for(rows)
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
-    hot = keyed.where(F.col(weight) > max(1, total // (HOT_PART * parts)))
-    keys = hot.select(key)
-    if keys.isEmpty():
+    total, most = keyed.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(1, (total or 0) // (HOT_PART * parts))
+    if (most or 0) <= limit:
         return rows.join(keyed, key)
+    hot = keyed.where(F.col(weight) > limit)
+    keys = hot.select(key)
     cold = rows.join(F.broadcast(keys), key, "left_anti").join(keyed.join(F.broadcast(keys), key, "left_anti"), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
